@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import cooccur, credentials, encode
+from graphloom.llm import cooccur, credentials, docpairs, encode, handwritten, mix, quality, split
 from graphloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.found(table(spark, d, "files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.found(table(spark, d, "symbols"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find(table(spark, d, "files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.found(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.pieces(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.found(table(spark, d, "commit_files"))
 
@@ -22,6 +38,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix.report(*mix.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 P7_SQL = r"""
 with r as (
   select distinct repo_id, commit_sha, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') as path
@@ -41,9 +73,15 @@ where support * repo.n >= 3 * a.n * b.n
 """
 
 
+P6_SQL = """
+select distinct s.id from symbols s join files f on f.repo_id = s.repo_id and f.path = s.file_path
+where s.start_byte >= 0 and s.start_byte < s.end_byte and s.end_byte <= octet_length(f.raw_content) and s.end_byte - s.start_byte > 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": P7_SQL}
+    return {"p6_found": P6_SQL, "p7_found": P7_SQL}
