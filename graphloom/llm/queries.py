@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import cooccur, credentials, docpairs, encode, handwritten, mix, quality, split
+from graphloom.llm import cooccur, credentials, docpairs, encode, handwritten, mix, parses, quality, split
 from graphloom.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return parses.found(table(spark, d, "files"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parses.rates(table(spark, d, "files"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.found(table(spark, d, "files"))
 
