@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import cooccur, credentials, docpairs, encode, handwritten, mix, parses, quality, split
+from graphloom.llm import cooccur, credentials, docpairs, encode, handwritten, mix, parses, quality, split, vectorgraph
 from graphloom.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.found(table(spark, d, "files"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectorgraph.found(table(spark, d, "symbol_vectors"))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectorgraph.neighbours(table(spark, d, "symbol_vectors")).drop("dim")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.found(table(spark, d, "symbols"))
 
