@@ -2,8 +2,8 @@
 
 1. Vectors are checked, scaled to length one and routed to shards: centroids are fitted on a bounded sample
    (`sample` rows, a parameter), every vector is indexed in the shard of its nearest centroid and queried against
-   the shards of its `probes` nearest centroids.  A shard that outgrows `shard_rows` twice is divided by a hash of
-   the id, and queries of that shard go to all its parts.
+   the shards of its `probes` nearest centroids.  A shard that the sample shows to outgrow `shard_rows` twice is
+   divided by a hash of the id, and queries of that shard go to all its parts.
 2. In a shard a graph is built: neighbours proposed inside blocks and then by greedy searches from every vector are
    pruned so that an edge stays only if no kept neighbour is `alpha` times closer to its end; reverse edges are added.
 3. Beam searches over the graph answer the queries of a shard, many at once as array operations.
@@ -13,32 +13,45 @@ Only (vector, shard) rows and k answers per row are shuffled; nothing is compare
 
 Defined results: null, empty, short, all-zero vectors and ones that hold null, NaN or infinity are left out, as are
 null ids and providers; providers and lengths are never mixed; a repeated row counts once, and of several vectors of
-one id the smallest holds; ties in similarity go to the smaller id; an empty table gives no rows.
+one id the one with the smallest hash holds; ties in similarity go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import cut
+INPUT = ["symbol_id", "provider", "dimension", "embedding"]
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """(provider, dim, id, v array<float>): usable vectors of length one, each id once."""
-    v = F.col("embedding")
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 3.0e38))
-    kept = vectors.filter(
-        F.col("symbol_id").isNotNull() & F.col("provider").isNotNull() & v.isNotNull() & (F.size(v) > 0) & (F.size(v) == F.col("dimension")) & whole
-    ).select("provider", F.col("dimension").alias("dim"), F.col("symbol_id").alias("id"), v.alias("v"))
-    once = kept.groupBy("provider", "dim", "id").agg(F.min("v").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return once.withColumn("norm", norm).filter("norm > 0").select("provider", "dim", "id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+def usable(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, positions, unit vectors) of the usable rows of a batch of INPUT columns."""
+    lists = batch.column(3)
+    length = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
+    dim = batch.column(2).fill_null(-2).to_numpy(zero_copy_only=False)
+    ok = (length == dim) & (length > 0) & pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False) & pc.is_valid(batch.column(1)).to_numpy(zero_copy_only=False)
+    for d in np.unique(length[ok]):
+        at = np.flatnonzero(ok & (length == d))
+        x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)  # nulls become NaN
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        good = np.isfinite(norm) & (norm > 0)
+        if good.any():
+            yield int(d), at[good], (x[good] / norm[good, None]).astype(np.float32)
+
+
+def _hashes(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every vector."""
+    return np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in np.ascontiguousarray(x)], np.int64)
 
 
 # ------------------------------------------------------------------------------------------------ one shard
@@ -47,11 +60,12 @@ def valid(vectors: DataFrame) -> DataFrame:
 def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Edges of `nodes` out of `cand` (sorted by similarity, -1 for none); free places are filled with the nearest."""
     out = np.full((len(nodes), degree), -1, np.int32)
-    for at in range(0, len(nodes), 512):
-        c = cand[at : at + 512]
-        p = x[nodes[at : at + 512]]
+    buffer: dict = {}
+    for at in range(0, len(nodes), 256):
+        c = cand[at : at + 256]
+        p = x[nodes[at : at + 256]]
         there = c >= 0
-        y = x[np.where(there, c, 0)]
+        y = gathered(x, c, buffer)
         far = 1.0 - np.matmul(y, p[:, :, None])[:, :, 0]
         between = 1.0 - np.matmul(y, y.transpose(0, 2, 1))
         alive = there.copy()
@@ -65,27 +79,35 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int
         # kept first, then the nearest others
         order = np.argsort(np.where(kept, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :degree]
         chosen = np.take_along_axis(c, order, 1)
-        out[at : at + 512, : chosen.shape[1]] = chosen
+        out[at : at + 256, : chosen.shape[1]] = chosen
     return out
 
 
-def with_reverse(x: np.ndarray, graph: np.ndarray, width: int) -> np.ndarray:
-    """Candidates of every node: its edges and the edges that lead to it, the `width` most similar."""
+def gathered(x: np.ndarray, index: np.ndarray, buffer: dict) -> np.ndarray:
+    """x[index] in a buffer that is used again: fresh memory would cost more than the copy."""
+    flat = np.maximum(index, 0).ravel()
+    room = buffer.get("room")
+    if room is None or len(room) < len(flat) or room.shape[1] != x.shape[1]:
+        room = buffer["room"] = np.empty((len(flat), x.shape[1]), np.float32)
+    out = room[: len(flat)]
+    np.take(x, flat, axis=0, out=out, mode="clip")
+    return out.reshape(*index.shape, x.shape[1])
+
+
+def with_reverse(graph: np.ndarray, width: int) -> np.ndarray:
+    """Candidates of every node: its edges, and the edges that lead to it, those first that rank high at their start."""
     n, degree = graph.shape
-    src = np.repeat(np.arange(n, dtype=np.int32), degree)
-    dst = graph.ravel()
+    dst = graph.T.ravel()
+    src = np.tile(np.arange(n, dtype=np.int32), degree)
     ok = dst >= 0
-    src, dst = src[ok], dst[ok]
-    key = np.unique(np.concatenate([src.astype(np.int64) * n + dst, dst.astype(np.int64) * n + src]))
-    a, b = (key // n).astype(np.int32), (key % n).astype(np.int32)
-    sim = np.einsum("ij,ij->i", x[a], x[b])
-    order = np.lexsort((-sim, a))
-    a, b = a[order], b[order]
-    first = np.searchsorted(a, np.arange(n))
-    rank = np.arange(len(a)) - first[a]
-    keep = rank < width
+    dst, src = dst[ok], src[ok]
+    order = np.argsort(dst, kind="stable")
+    dst, src = dst[order], src[order]
+    rank = np.arange(len(dst)) - np.searchsorted(dst, np.arange(n))[dst]
+    keep = rank < width - degree
     out = np.full((n, width), -1, np.int32)
-    out[a[keep], rank[keep]] = b[keep]
+    out[:, :degree] = graph
+    out[dst[keep], degree + rank[keep]] = src[keep]
     return out
 
 
@@ -94,105 +116,127 @@ def beam_search(x: np.ndarray, graph: np.ndarray, pivots: np.ndarray, queries: n
     n = len(x)
     beam = min(beam, n)
     nodes_out, sims_out = np.empty((len(queries), beam), np.int32), np.empty((len(queries), beam), np.float32)
-    batch = max(64, min(1024, 40_000_000 // max(1, n)))
-    for at in range(0, len(queries), batch):
+    batch = 256
+    buffer: dict = {}
+    at_pivots = x[pivots].T.copy()
+    marks = np.zeros((batch, n + 1), np.int32)  # the batch that saw a node last: no clearing between batches
+    for stamp, at in enumerate(range(0, len(queries), batch), 1):
         q = queries[at : at + batch]
         m = len(q)
+        seen = marks[:m]
+        seen[:, n] = stamp
         rows = np.arange(m)[:, None]
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, n] = True
-        sims0 = q @ x[pivots].T
-        k = min(beam, len(pivots))
+        sims0 = q @ at_pivots
+        k = min(beam, len(pivots), 16)
         top = np.argpartition(-sims0, k - 1, axis=1)[:, :k]
         nodes = np.full((m, beam), n, np.int32)
         sims = np.full((m, beam), -2.0, np.float32)
-        nodes[:, :k], sims[:, :k] = pivots[top], np.take_along_axis(sims0, top, 1)
-        seen[rows, nodes] = True
+        nodes[:, :k], sims[:, :k] = pivots[top], sims0[rows, top]
+        seen[rows, nodes] = stamp
         done = nodes == n
         for _ in range(steps):
             open_sims = np.where(done, -3.0, sims)
             pick = np.argpartition(-open_sims, expand - 1, axis=1)[:, :expand] if expand < beam else np.argsort(-open_sims, axis=1)[:, :expand]
-            if np.take_along_axis(open_sims, pick, 1).max() <= -3.0:
+            if open_sims[rows, pick].max() <= -3.0:
                 break
-            here = np.where(np.take_along_axis(done, pick, 1), n, np.take_along_axis(nodes, pick, 1))
-            np.put_along_axis(done, pick, True, 1)
+            here = np.where(done[rows, pick], n, nodes[rows, pick])
+            done[rows, pick] = True
             next_ = graph[here].reshape(m, -1)
-            next_ = np.where(next_ < 0, n, next_)
-            fresh = ~seen[rows, next_]
-            seen[rows, next_] = True
-            s = np.matmul(x[np.where(next_ == n, 0, next_)], q[:, :, None])[:, :, 0]
-            s = np.where(fresh, s, -2.0)
-            all_nodes = np.concatenate([nodes, np.where(fresh, next_, n)], 1)
+            next_[next_ < 0] = n
+            fresh = seen[rows, next_] != stamp
+            seen[rows, next_] = stamp
+            s = np.matmul(gathered(x, np.minimum(next_, n - 1), buffer), q[:, :, None])[:, :, 0]
+            s[~fresh] = -2.0
+            next_[~fresh] = n
+            all_nodes = np.concatenate([nodes, next_], 1)
             all_sims = np.concatenate([sims, s], 1)
             all_done = np.concatenate([done, ~fresh], 1)
             best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            nodes, sims, done = (np.take_along_axis(z, best, 1) for z in (all_nodes, all_sims, all_done))
+            nodes, sims, done = all_nodes[rows, best], all_sims[rows, best], all_done[rows, best]
         order = np.argsort(-sims, axis=1, kind="stable")
-        nodes, sims = np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
-        # two expansions of one step may bring the same node; it keeps its first place
+        nodes, sims = nodes[rows, order], sims[rows, order]
+        # expansions of one step may bring the same node twice; it keeps its first place
         again = np.zeros_like(nodes, bool)
         for shift in range(1, 2 * expand):
             again[:, shift:] |= (nodes[:, shift:] == nodes[:, :-shift]) & (nodes[:, shift:] < n)
-        nodes, sims = np.where(again, n, nodes), np.where(again, -2.0, sims)
+        nodes[again], sims[again] = n, -2.0
         order = np.argsort(-sims, axis=1, kind="stable")
-        nodes_out[at : at + m], sims_out[at : at + m] = np.take_along_axis(nodes, order, 1), np.take_along_axis(sims, order, 1)
+        nodes_out[at : at + m], sims_out[at : at + m] = nodes[rows, order], sims[rows, order]
     return np.where(nodes_out == n, -1, nodes_out), sims_out
 
 
+def keep_memory() -> None:
+    """Let the C library keep freed memory: returning and fetching pages would take most of a search's time."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 28)
+        libc.mallopt(-1, 1 << 29)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Shard:
     """A robust-pruned graph over the vectors of one shard."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.2, seed: int = 7, block: int = 384):
-        self.x, self.beam, n = x, beam, len(x)
+    def __init__(self, x: np.ndarray, degree: int = 16, beam: int = 24, alpha: float = 1.2, seed: int = 7, block: int = 384, steps: int = 8):
+        keep_memory()
+        self.x, self.beam, n = np.ascontiguousarray(x), beam, len(x)
         rng = np.random.default_rng(seed)
         self.pivots = np.sort(rng.choice(n, min(n, 256), replace=False)).astype(np.int32)
         width = 2 * degree
-        proposals = [rng.integers(0, n, (n, 4)).astype(np.int32)]
+        proposals = [rng.integers(0, n, (n, 3)).astype(np.int32)]
         for _ in range(2):
             anchors = x[rng.choice(n, min(n, 64), replace=False)]
             order = np.lexsort((x @ rng.standard_normal(x.shape[1]).astype(np.float32), np.argmax(x @ anchors.T, 1))).astype(np.int32)
-            found = np.full((n, 10), -1, np.int32)
+            found = np.full((n, 8), -1, np.int32)
             for at in range(0, n, block):
                 part = order[at : at + block]
                 s = x[part] @ x[part].T
                 np.fill_diagonal(s, -2)
-                k = min(10, len(part) - 1)
+                k = min(8, len(part) - 1)
                 if k > 0:
                     found[part, :k] = part[np.argpartition(-s, k - 1, axis=1)[:, :k]]
             proposals.append(found)
-        rough = self._prune(np.concatenate(proposals, 1), width, degree, 1.0)
-        self.graph = self._prune(with_reverse(x, rough[:n], width), width, degree, 1.0)
+        self.graph = self._prune(with_reverse(self._prune(np.concatenate(proposals, 1), width, degree, 0.0), width), width, degree, 1.0)
+        self._close()
         # greedy searches from every vector propose its neighbours
-        nodes, _ = self.search(x, beam, steps=12)
+        nodes, _ = self.search(self.x, beam, steps)
         merged = self._prune(np.concatenate([nodes, self.graph[:n]], 1), width, degree, alpha)
-        self.graph = self._prune(with_reverse(x, merged[:n], width), width, degree, alpha)
+        self.graph = self._prune(with_reverse(merged, width), width, degree, alpha)
+        self._close()
+
+    def _close(self) -> None:
+        """A last row, of node n, that leads nowhere."""
+        self.graph = np.concatenate([self.graph, np.full((1, self.graph.shape[1]), -1, np.int32)])
 
     def _prune(self, cand: np.ndarray, width: int, degree: int, alpha: float) -> np.ndarray:
-        """Sort, drop repeats and the node itself, prune; the last row, of node n, leads nowhere."""
+        """Sort candidates by similarity, drop repeats and the node itself, prune; without alpha the nearest stay."""
         x, n = self.x, len(self.x)
         cand = np.where(cand == np.arange(n)[:, None], -1, cand)
         cand = np.sort(cand, axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-        best = np.full((n, min(width, cand.shape[1])), -1, np.int32)
-        for at in range(0, n, 2048):
-            c = cand[at : at + 2048]
-            s = np.matmul(x[np.where(c < 0, 0, c)], x[at : at + 2048][:, :, None])[:, :, 0]
-            order = np.argsort(np.where(c < 0, 3.0, -s), axis=1)[:, : best.shape[1]]
-            best[at : at + 2048] = np.take_along_axis(c, order, 1)
-        edges = robust_prune(x, np.arange(n), best, degree, alpha)
-        return np.concatenate([edges, np.full((1, degree), -1, np.int32)])
-
-    def search(self, queries: np.ndarray, beam: int | None = None, steps: int = 24) -> tuple[np.ndarray, np.ndarray]:
+        wide = min(width, cand.shape[1]) if alpha else degree
+        best = np.full((n, wide), -1, np.int32)
+        buffer: dict = {}
+        for at in range(0, n, 256):
+            c = cand[at : at + 256]
+            s = np.matmul(gathered(x, c, buffer), x[at : at + 256][:, :, None])[:, :, 0]
+            order = np.argsort(np.where(c < 0, 3.0, -s), axis=1)[:, :wide]
+            best[at : at + 256, : order.shape[1]] = np.take_along_axis(c, order, 1)
+        return robust_prune(x, np.arange(n), best, degree, alpha) if alpha else best
+
+    def search(self, queries: np.ndarray, beam: int | None = None, steps: int = 16) -> tuple[np.ndarray, np.ndarray]:
         return beam_search(self.x, self.graph, self.pivots, queries, beam or self.beam, steps)
 
 
-def shard_answers(x: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """k + 1 best nodes of a shard for every query (a query may be a member itself)."""
+def shard_answers(x: np.ndarray, queries: np.ndarray, k: int, effort: int) -> tuple[np.ndarray, np.ndarray]:
+    """k + 1 best nodes of a shard for every query (a query may be a member itself); effort 1 or more."""
     if len(x) <= 64:  # no graph is needed to look at a handful
         s = queries @ x.T
         order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
         return order.astype(np.int32), np.take_along_axis(s, order, 1)
-    nodes, sims = Shard(x, beam=beam).search(queries)
+    graph = Shard(x, degree=12 + 4 * effort, beam=16 + 8 * effort, steps=6 + 2 * effort)
+    nodes, sims = graph.search(queries, steps=8 + 8 * effort)
     return nodes[:, : k + 1], sims[:, : k + 1]
 
 
@@ -214,76 +258,123 @@ def fit_centroids(sample: np.ndarray, parts: int, seed: int = 3, rounds: int = 1
     return c.astype(np.float32)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, shard_rows: int = 16_384, probes: int = 3, beam: int = 32, sample: int = 20_000) -> DataFrame:
-    """(provider, dim, id, neighbour, similarity, rank): the k most similar vectors that the search finds, per vector."""
-    spark = vectors.sparkSession
-    clean = cut(valid(vectors))
+def _census(vectors: DataFrame) -> DataFrame:
+    """(provider, dim, id, h): usable rows without their vectors."""
+
+    def scan(batches):
+        for b in batches:
+            for d, at, x in usable(b):
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.array(np.full(len(at), d, np.int32)), b.column(0).take(pa.array(at)), pa.array(_hashes(x))], ["provider", "dim", "id", "h"])
+
+    return vectors.select(*INPUT).mapInArrow(scan, "provider string, dim int, id string, h bigint")
+
+
+def _sample(vectors: DataFrame, provider: str, dim: int, share: float, most: int) -> np.ndarray:
+    """Unit vectors of about `share` of a provider's rows, `most` at most: the only vectors the driver sees."""
+    limit = int(share * 1_000_000)
+
+    def scan(batches):
+        for b in batches:
+            for d, at, x in usable(b):
+                names = b.column(0).take(pa.array(at)).to_pylist()
+                keep = np.array([d == dim and zlib.crc32(n.encode()) % 1_000_000 < limit for n in names], bool)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x[keep]], pa.binary())], ["v"])
+
+    rows = vectors.filter(F.col("provider") == provider).select(*INPUT).mapInArrow(scan, "v binary").limit(most).collect()
+    return np.array([np.frombuffer(r.v, np.float32) for r in rows], np.float32).reshape(-1, dim)
+
+
+def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_rows: int = 16_384, probes: int = 6, effort: int = 3, sample: int = 20_000) -> DataFrame:
+    """(provider, dim, id, neighbour, similarity, rank): the k most similar vectors that the search finds, per vector.
+
+    probes and effort (beam, degree, steps) buy recall with time.  Answers below `at_least` are not passed on: they
+    cannot change the rank of those above.  An answer counts for both of its ends.
+    """
+    census = _census(vectors)
+    per_id = census.groupBy("provider", "dim", "id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # one row per provider and length: what the vectors were made by, not how many there are
-    groups = clean.groupBy("provider", "dim").count().collect()
-    schema = "provider string, dim int, id string, v array<float>, shard string, home boolean"
-    routed: DataFrame | None = None
+    groups = per_id.groupBy("provider", "dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("torn")).collect()
+    centroids: dict[tuple[str, int], np.ndarray] = {}
+    parts: dict[tuple[str, int], list[int]] = {}
     for g in groups:
-        part = clean.filter((F.col("provider") == g["provider"]) & (F.col("dim") == g["dim"]))
-        shards = min(4096, math.ceil(g["count"] / shard_rows))
-        fraction = min(1.0, 1.2 * sample / g["count"])
-        picked = part.select("v") if fraction >= 1.0 else part.sample(fraction=fraction, seed=5).select("v")
-        rows = picked.limit(sample).collect() if shards > 1 else []
-        centroids = fit_centroids(np.array([r.v for r in rows], np.float32), shards) if rows else np.zeros((1, g["dim"]), np.float32)
-
-        def route(batches, centroids=centroids, take=min(probes, len(centroids))):
-            for b in batches:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                s = x @ centroids.T
-                near = np.argsort(-s, axis=1, kind="stable")[:, :take]
-                for j in range(take):
-                    yield pa.RecordBatch.from_arrays(
-                        [*b.columns, pa.array([str(c) for c in near[:, j]], pa.string()), pa.array(np.full(b.num_rows, j == 0))],
-                        ["provider", "dim", "id", "v", "shard", "home"],
-                    )
-
-        one = part.mapInArrow(route, schema)
-        routed = one if routed is None else routed.unionByName(one)
-    if routed is None:
-        routed = spark.createDataFrame([], schema)
-
-    sizes = clean_sizes = routed.filter("home").groupBy("provider", "dim", "shard").count()
-    del clean_sizes
-    over = [r for r in sizes.filter(F.col("count") > 2 * shard_rows).limit(4097).collect()]  # at most one row per centroid
-    if over:
-        wide = spark.createDataFrame([(r["provider"], r["dim"], r["shard"], math.ceil(r["count"] / shard_rows)) for r in over], "provider string, dim int, shard string, parts int")
-        j = routed.join(F.broadcast(wide), ["provider", "dim", "shard"], "left")
-        parts = F.coalesce("parts", F.lit(1))
-        own = F.pmod(F.xxhash64("id"), parts)
-        routed = (
-            j.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
-            .withColumn("home", F.col("home") & (F.col("p") == own))
-            .select("provider", "dim", "id", "v", F.concat_ws("/", "shard", F.col("p").cast("string")).alias("shard"), "home")
-        )
+        key = (g["provider"], g["dim"])
+        shards = min(4096, math.ceil(g["n"] / shard_rows))
+        if shards > 1:
+            x = _sample(vectors, *key, min(1.0, sample / g["n"]), 2 * sample)
+            centroids[key] = c = fit_centroids(x, shards)
+            share = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)) / max(1, len(x))
+            parts[key] = [max(1, round(r * g["n"] / shard_rows)) if r * g["n"] > 2 * shard_rows else 1 for r in share]
+        else:
+            centroids[key], parts[key] = np.zeros((1, g["dim"]), np.float32), [1]
+
+    def route(batches):
+        for b in batches:
+            providers = b.column(1)
+            for d, at, x in usable(b):
+                names = np.array(providers.take(pa.array(at)).to_pylist(), object)
+                for p in set(names):
+                    c, split = centroids.get((p, d)), parts.get((p, d))
+                    if c is None:
+                        continue
+                    mine = names == p
+                    y, ids = x[mine], b.column(0).take(pa.array(at[mine]))
+                    take = min(probes, len(c))
+                    s = y @ c.T
+                    near = np.argsort(-s, axis=1, kind="stable")[:, :take] if take > 1 else np.argmax(s, 1)[:, None]
+                    raw = pa.array([v.tobytes() for v in y], pa.binary())
+                    h = pa.array(_hashes(y)) if torn else pa.nulls(len(y), pa.int64())
+                    own = np.array([zlib.crc32(n.encode()) for n in ids.to_pylist()]) if max(split) > 1 else np.zeros(len(y), np.int64)
+                    for j in range(take):
+                        many = np.array(split)[near[:, j]]
+                        for q in range(many.max()):
+                            here = np.flatnonzero(many > q)
+                            pick = pa.array(here)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([p] * len(here), pa.string()), pa.array(np.full(len(here), d, np.int32)), ids.take(pick), raw.take(pick), pa.array(near[here, j].astype(np.int32)), pa.array(np.full(len(here), q, np.int32)), pa.array((j == 0) & (own[here] % many[here] == q)), h.take(pick)],
+                                ["provider", "dim", "id", "v", "shard", "part", "home", "h"],
+                            )
+
+    torn = sum(g["torn"] for g in groups) > 0
+    schema = "provider string, dim int, id string, v binary, shard int, part int, home boolean, h bigint"
+    routed = vectors.select(*INPUT).mapInArrow(route, schema)
+    if torn:  # ids with several vectors: the one with the smallest hash holds
+        held = per_id.filter(F.col("lo") != F.col("hi")).select("provider", "dim", "id", "lo")
+        routed = routed.join(held, ["provider", "dim", "id"], "left").filter(F.col("lo").isNull() | (F.col("lo") == F.col("h")))
+    routed = routed.drop("h", "lo")
 
     def answer(t: pa.Table) -> pa.Table:
-        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        ids = np.array(t.column("id").to_pylist(), dtype=object)
-        base = np.flatnonzero(home)
         names = ["provider", "dim", "id", "neighbour", "similarity"]
-        empty = pa.table({"provider": pa.array([], pa.string()), "dim": pa.array([], pa.int32()), "id": pa.array([], pa.string()), "neighbour": pa.array([], pa.string()), "similarity": pa.array([], pa.float32())})
-        if not len(base):
-            return empty
-        nodes, sims = shard_answers(x[base], x, k, beam)
-        rows, places = np.nonzero((nodes >= 0) & (base[np.maximum(nodes, 0)] != np.arange(len(x))[:, None]))
-        hit = base[nodes[rows, places]]
         provider, dim = t.column("provider")[0].as_py(), t.column("dim")[0].as_py()
-        return pa.table([pa.array([provider] * len(rows), pa.string()), pa.array(np.full(len(rows), dim, np.int32)), pa.array(ids[rows], pa.string()), pa.array(ids[hit], pa.string()), pa.array(sims[rows, places].astype(np.float32))], names=names)
-
-    answers = routed.groupBy("provider", "dim", "shard").applyInArrow(answer, "provider string, dim int, id string, neighbour string, similarity float")
+        ids = np.array(t.column("id").to_pylist(), dtype=object)
+        home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        # repeated rows count once, and a home row stands before a visit
+        order = np.lexsort((~home, ids))
+        ids, home = ids[order], home[order]
+        first = np.append(True, ids[1:] != ids[:-1])
+        order, ids, home = order[first], ids[first], home[first]
+        x = np.frombuffer(b"".join(t.column("v").take(pa.array(order)).to_pylist()), np.float32).reshape(len(order), -1)
+        base = np.flatnonzero(home)
+        rows = np.zeros(0, np.int64)
+        hit, value = rows, np.zeros(0, np.float32)
+        if len(base):
+            nodes, sims = shard_answers(x[base], x, k, effort)
+            own = base[np.maximum(nodes, 0)] == np.arange(len(x))[:, None]
+            rows, places = np.nonzero((nodes >= 0) & ~own & (sims >= at_least))
+            hit, value = base[nodes[rows, places]], sims[rows, places]
+        return pa.table([pa.array([provider] * len(rows), pa.string()), pa.array(np.full(len(rows), dim, np.int32)), pa.array(ids[rows], pa.string()), pa.array(ids[hit], pa.string()), pa.array(value.astype(np.float32))], names=names)
+
+    answers = routed.groupBy("provider", "dim", "shard", "part").applyInArrow(answer, "provider string, dim int, id string, neighbour string, similarity float")
+    ends = F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
+    both = answers.select("provider", "dim", "similarity", F.explode(ends).alias("e")).select("provider", "dim", "e.id", "e.neighbour", "similarity")
+    once = both.groupBy("provider", "dim", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = W.partitionBy("provider", "dim", "id").orderBy(F.desc("similarity"), "neighbour")
-    return answers.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def found(vectors: DataFrame, min_similarity: float = 0.9) -> DataFrame:
+def found(vectors: DataFrame, min_similarity: float = 0.9, probes: int = 2, effort: int = 2) -> DataFrame:
     """(symbol_id_a, symbol_id_b), smaller first: each is among the other's five nearest, at `min_similarity` or more."""
-    # float32 sums may miss the limit by a hair; candidates just below are let through and checked in double below
-    near = cut(neighbours(vectors)).filter(F.col("similarity") >= min_similarity - 1e-4)
-    a = near.select("provider", "dim", "similarity", F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b"))
-    both = a.groupBy("provider", "dim", "symbol_id_a", "symbol_id_b").agg(F.count(F.lit(1)).alias("n"), F.max("similarity").alias("similarity")).filter("n = 2")
-    return both.filter(F.col("similarity") >= F.lit(min_similarity).cast("float")).select("symbol_id_a", "symbol_id_b").distinct()
+    near = neighbours(vectors, at_least=min_similarity, probes=probes, effort=effort)
+    a = near.select("provider", "dim", F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b"))
+    both = a.groupBy("provider", "dim", "symbol_id_a", "symbol_id_b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2")
+    return both.select("symbol_id_a", "symbol_id_b").distinct()
