@@ -77,7 +77,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """
     e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    parts: list[DataFrame] = []
+    parts: list[DataFrame] = [nodes.limit(0).withColumn("component", F.col("node"))]
     left = nodes
     for _ in range(most_rounds):
         # trim: what has no way in or no way out is alone
@@ -151,7 +151,7 @@ def most_connected(edges: DataFrame, keep: int) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     degree = e.select(F.col("src").alias("node")).unionAll(e.select("dst")).groupBy("node").count()
     top = degree.orderBy(F.desc("count"), "node").limit(keep).select("node")
-    return e.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return e.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def layer_violations(edges: DataFrame, layers: DataFrame, rules: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
 
     keep: a condition on `text` that whole files must meet first; it is the cheap filter before the explode.
     """
-    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.decode("raw_content", "UTF-8").alias("text"))
+    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.col("raw_content").cast("string").alias("text"))
     if keep is not None:
         text = text.filter(keep)
     split = text.select("repo_id", "path", F.split("text", "\n", -1).alias("all"))
@@ -31,7 +31,7 @@ def lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
 
 def plain_lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
     """(repo_id, path, line_no, line), without offsets."""
-    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.decode("raw_content", "UTF-8").alias("text"))
+    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.col("raw_content").cast("string").alias("text"))
     if keep is not None:
         text = text.filter(keep)
     return text.select("repo_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select(
@@ -47,7 +47,7 @@ def search(files: DataFrame, pattern: str) -> DataFrame:
 
 def context(files: DataFrame, pattern: str, around: int = 1) -> DataFrame:
     """(repo_id, path, line_no, before, after): hits with the lines around them, joined by newlines."""
-    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.split(F.decode("raw_content", "UTF-8"), "\n", -1).alias("all"))
+    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.split(F.col("raw_content").cast("string"), "\n", -1).alias("all"))
     hits = text.select("repo_id", "path", "all", F.posexplode("all").alias("i", "line")).filter(F.regexp_replace("line", "\r$", "").rlike(pattern))
     first = F.greatest(F.lit(0), F.col("i") - around)
     clean = lambda a: F.array_join(F.transform(a, lambda x: F.regexp_replace(x, "\r$", "")), "\n")
@@ -84,7 +84,7 @@ def mentions(names: DataFrame, files: DataFrame) -> DataFrame:
     names: (repo_id, id, name); files: (repo_id, path, raw_content).  Words of files are distinct per file before they
     are shuffled; short names never match.
     """
-    word = F.array_distinct(F.regexp_extract_all(F.decode("raw_content", "UTF-8"), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    word = F.array_distinct(F.regexp_extract_all(F.col("raw_content").cast("string"), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
     w = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.explode(word).alias("name")).distinct()
     n = names.filter(F.length("name") >= 3).select("repo_id", "id", "name").distinct()
     counted = w.join(n.select("repo_id", "name").distinct(), ["repo_id", "name"], "left_semi").groupBy("repo_id", "name").agg(F.count(F.lit(1)).alias("file_count"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import substrate as sub
 from graphloom.functions.scalars import entry_point, half_up, is_test_path
-from graphloom.operators import graph, history, ingest, metrics, search, text, vectors
+from graphloom.operators import code, graph, history, ingest, metrics, search, text, vectors
 from graphloom.sources.tables import table
 from graphloom.streaming import changes
 
@@ -454,7 +454,7 @@ def mention_map(spark, d):
 select n.name, count(distinct w.repo_id) as repos, count(*) as files from (select distinct name, repo_id from n) n join w on w.w = n.name and w.repo_id <> n.repo_id group by 1""")
 def cross_repo_usages(spark, d):
     n = table(spark, d, "symbols").filter("kind = 'class' and length(name) >= 3").select(F.col("repo_id").alias("home"), "name").distinct()
-    word = F.array_distinct(F.regexp_extract_all(F.decode("raw_content", "UTF-8"), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
+    word = F.array_distinct(F.regexp_extract_all(F.col("raw_content").cast("string"), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))
     w = table(spark, d, "files").filter("raw_content is not null").select("repo_id", "path", F.explode(word).alias("name")).distinct()
     # only words that name a class go on
     hits = w.join(n.select("name").distinct(), "name", "left_semi")
@@ -579,7 +579,7 @@ def resolved_imports(spark, d):
     from graphloom.functions.scalars import directory
 
     src = table(spark, d, "files").filter(F.col("raw_content").isNotNull() & F.col("path").rlike(r"\.(js|ts)$"))
-    spec = F.regexp_extract_all(F.decode("raw_content", "UTF-8"), F.lit(r'(?:require\(|from )"\./([A-Za-z0-9_.-]+)"'), F.lit(1))
+    spec = F.regexp_extract_all(F.col("raw_content").cast("string"), F.lit(r'(?:require\(|from )"\./([A-Za-z0-9_.-]+)"'), F.lit(1))
     records = src.select("repo_id", "path", F.explode(spec).alias("specifier")).distinct()
     base = F.when(F.col("path").contains("/"), F.concat(directory(F.col("path")), F.lit("/"))).otherwise("")
     ends = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(x).alias("end")) for i, x in enumerate((".ts", ".js", "/index.ts", "/index.js"))])
@@ -590,6 +590,89 @@ def resolved_imports(spark, d):
     return out.select(part("source", 0).alias("repo_id"), part("source", 1).alias("source"), "specifier", part("target", 1).alias("target"))
 
 
+# ------------------------------------------------------------------------------------------------- code
+
+_SRC = """sp as (select distinct repo_id, id, name, kind, file_path as path, start_byte as st, end_byte as en from symbols where id is not null and start_byte >= 0 and end_byte > start_byte),
+src as (select distinct sp.repo_id, id, name, kind, raw_content[st + 1:en] as source from sp join files f on f.repo_id = sp.repo_id and f.path = sp.path where raw_content is not null and en <= octet_length(raw_content))"""
+_CALLS = _SRC + ", nm as (select distinct repo_id, name, id as dst from symbols where id is not null and name is not null and kind in ('function', 'method')), cl as (select repo_id, id as src, unnest(list_distinct(regexp_extract_all(decode(source), '\\b([A-Za-z_]\\w*)\\s*\\(', 1))) as name from src where kind in ('function', 'method')), calls as (select distinct cl.repo_id, src, dst from cl join nm using (repo_id, name) where src <> dst and name not in (" + ", ".join(f"'{w}'" for w in code.NOT_CALLS) + "))"
+
+
+@query(f"with {_SRC} select repo_id, id, octet_length(source) as bytes, md5(source) as digest from src")
+def symbol_sources(spark, d):
+    s = code.sources(table(spark, d, "symbols"), table(spark, d, "files"))
+    return s.select("repo_id", "id", F.octet_length("source").cast("bigint").alias("bytes"), F.md5("source").alias("digest"))
+
+
+@query("select distinct repo_id, path, array_to_string(string_split(decode(raw_content), chr(10))[3:8], chr(10)) as lines from files where raw_content is not null")
+def file_content_slice(spark, d):
+    return code.file_slice(table(spark, d, "files"), 3, 8)
+
+
+@query(f"with {_CALLS} select * from calls")
+def call_edges(spark, d):
+    return code.calls(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
+@query(f"with recursive {_CALLS}, edges as (select src, dst from calls), r(source, node, depth) as (select src, src, 0 from (select distinct src from edges) union select r.source, e.dst, r.depth + 1 from r join edges e on e.src = r.node where r.depth < 3) select source, node, min(depth) as depth from r group by 1, 2")
+def call_hierarchy_depth3(spark, d):
+    e = code.calls(table(spark, d, "symbols"), table(spark, d, "files")).select("src", "dst")
+    return graph.reach(e, e.select(F.col("src").alias("node")).distinct(), 3)
+
+
+_TYPES = """t as (select distinct repo_id, id, name, regexp_replace(signature, '<[^<>]*>', '', 'g') as sig from symbols where id is not null and kind in ('class', 'interface', 'struct')),
+r as (select repo_id, id, 'extends' as relation, unnest(regexp_split_to_array(regexp_extract(sig, 'class\\s+\\w+\\s*\\(([^)]*)\\)', 1), '\\s*,\\s*')) as target from t union select repo_id, id, 'extends', unnest(regexp_split_to_array(regexp_extract(sig, '\\bextends\\s+([\\w.]+(?:\\s*,\\s*[\\w.]+)*)', 1), '\\s*,\\s*')) from t
+union select repo_id, id, 'implements', unnest(regexp_split_to_array(regexp_extract(sig, '\\bimplements\\s+([\\w.]+(?:\\s*,\\s*[\\w.]+)*)', 1), '\\s*,\\s*')) from t),
+i as (select repo_id, name as target, min(id) as target_id from t group by 1, 2), rel as (select distinct r.repo_id, r.id, relation, r.target, target_id from r left join i on i.repo_id = r.repo_id and i.target = r.target where r.target <> '')"""
+
+
+@query(f"with {_TYPES} select * from rel")
+def type_graph(spark, d):
+    return code.type_relations(table(spark, d, "symbols"))
+
+
+@query(f"with {_TYPES} select repo_id, target, count(distinct id) as implementors from rel group by 1, 2")
+def find_implementations(spark, d):
+    return code.implementors(code.type_relations(table(spark, d, "symbols")))
+
+
+@query("""with n as (select distinct repo_id, name from symbols where kind = 'class' and name is not null), l as (select repo_id, path, i, ls[i] as line from (select repo_id, path, ls, unnest(range(1, len(ls) + 1)) as i from (select repo_id, path, string_split(decode(raw_content), chr(10)) as ls from files where raw_content is not null))),
+h as (select distinct l.repo_id, path, i, line, n.name from (select *, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) as w from l) l join n on n.repo_id = l.repo_id and n.name = w)
+select repo_id, name, case when regexp_matches(line, '^\\s*(//|#|\\*|/\\*)') then 'comment' when regexp_matches(line, '^\\s*(import|from|export .* from|use|require)\\b') then 'import' when regexp_matches(line, '["''`][^"''`]*\\b' || name || '\\b[^"''`]*["''`]') then 'string' when regexp_matches(line, '\\b' || name || '\\s*\\(') then 'call' else 'other' end as kind, count(*) as lines from h group by 1, 2, 3""")
+def rename_reference_kinds(spark, d):
+    return code.reference_kinds(table(spark, d, "symbols").filter("kind = 'class' and name is not null"), table(spark, d, "files"))
+
+
+@query(f"with {BASKETS}{CO}, z as (select g, sha from b group by 1, 2 having count(*) between 1 and 30), hb as (select b.* from b join z using (g, sha)), pr as (select distinct hb.g, hb.sha, partner as item from hb join co on co.g = hb.g and co.target = hb.item where confidence >= 0.4) select g, sha as b, item as missing from pr where not exists (select 1 from hb where hb.g = pr.g and hb.sha = pr.sha and hb.item = pr.item)")
+def verify_change_missing(spark, d):
+    b = sub.baskets(spark, d)
+    return code.missing_partners(b, history.co_change(b))
+
+
+@query(f"""with {SYM}, f as (select * from s where kind in ('function', 'method')) select repo_id, id, 'split_function' as finding, 'high' as impact from f where lc > 30 union all select repo_id, id, 'simplify_branches', 'high' from f where cc >= 8
+union all select repo_id, id, 'flatten_nesting', 'medium' from f where nd >= 4 union all select repo_id, id, 'narrow_parameters', 'medium' from f where pc >= 5 union all select repo_id, id, 'single_exit', 'low' from f where rc >= 4
+union all select repo_id, min(id), 'extract_duplicate', 'medium' from f where name is not null group by repo_id, name having count(distinct file_path) >= 3""")
+def refactoring_union(spark, d):
+    return code.refactoring(_symbols(spark, d))
+
+
+@query(f"""with {COMMITS}, p as (select repo_id, path, count(distinct sha) as commits, min(sec) as first_at, max(sec) as last_at from c where sec <= {AS_OF} group by 1, 2)
+select distinct s.repo_id, s.id, commits, first_at, last_at, floor(commits / greatest(1.0::double, ({AS_OF} - first_at) / 86400.0::double) * 90 * 100 + 0.5) / 100 as churn from symbols s join p on p.repo_id = s.repo_id and p.path = s.file_path where s.id is not null""")
+def symbol_history(spark, d):
+    return code.symbol_history(table(spark, d, "symbols"), history.commits(table(spark, d, "git_metadata")), AS_OF)
+
+
+@query(f"""with {EDGES}, seeds as (select p_partkey as node, p_size::double as score from part where p_size >= 49), u as (select node, score, 'match' as why from seeds union all select dst, score * 0.6::double, 'uses' from seeds join edges on node = src union all select src, score * 0.4::double, 'used_by' from seeds join edges on node = dst)
+select node, max(score) as score, arg_max(why, (score, why)) as why from u group by 1 order by score desc, node limit 60""")
+def task_context_pool(spark, d):
+    seeds = table(spark, d, "part").filter("p_size >= 49").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("score"))
+    return code.context_pool(seeds, sub.part_edges(spark, d))
+
+
+@query()
+def decorated_symbols(spark, d):
+    return code.decorated(table(spark, d, "files")).groupBy("repo_id", "decorator").agg(F.count(F.lit(1)).alias("targets"))
+
+
 # ------------------------------------------------------------------------------------------------- streams, as batches
 
 
