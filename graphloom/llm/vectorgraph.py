@@ -111,8 +111,12 @@ def with_reverse(graph: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, pivots: np.ndarray, queries: np.ndarray, beam: int, steps: int, expand: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, similarities), best first, of the `beam` best nodes that searches over the graph come across."""
+def beam_search(x: np.ndarray, graph: np.ndarray, pivots: np.ndarray, queries: np.ndarray, beam: int, steps: int, expand: int = 2, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, similarities), best first, of the `beam` best nodes that searches over the graph come across.
+
+    Searches begin at the best of the pivots, and at `start` (a node per query, -1 for none): a member of the graph
+    begins at itself.
+    """
     n = len(x)
     beam = min(beam, n)
     nodes_out, sims_out = np.empty((len(queries), beam), np.int32), np.empty((len(queries), beam), np.float32)
@@ -132,6 +136,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, pivots: np.ndarray, queries: n
         nodes = np.full((m, beam), n, np.int32)
         sims = np.full((m, beam), -2.0, np.float32)
         nodes[:, :k], sims[:, :k] = pivots[top], sims0[rows, top]
+        if start is not None and k < beam:
+            own = start[at : at + m]
+            known = own >= 0
+            again = (nodes[:, :k] == own[:, None]).any(1)
+            nodes[known & ~again, k] = own[known & ~again]
+            sims[known & ~again, k] = 1.0
         seen[rows, nodes] = stamp
         done = nodes == n
         for _ in range(steps):
@@ -200,7 +210,7 @@ class Shard:
         self.graph = self._prune(with_reverse(self._prune(np.concatenate(proposals, 1), width, degree, 0.0), width), width, degree, 1.0)
         self._close()
         # greedy searches from every vector propose its neighbours
-        nodes, _ = self.search(self.x, beam, steps)
+        nodes, _ = self.search(self.x, beam, steps, np.arange(n))
         merged = self._prune(np.concatenate([nodes, self.graph[:n]], 1), width, degree, alpha)
         self.graph = self._prune(with_reverse(merged, width), width, degree, alpha)
         self._close()
@@ -225,18 +235,18 @@ class Shard:
             best[at : at + 256, : order.shape[1]] = np.take_along_axis(c, order, 1)
         return robust_prune(x, np.arange(n), best, degree, alpha) if alpha else best
 
-    def search(self, queries: np.ndarray, beam: int | None = None, steps: int = 16) -> tuple[np.ndarray, np.ndarray]:
-        return beam_search(self.x, self.graph, self.pivots, queries, beam or self.beam, steps)
+    def search(self, queries: np.ndarray, beam: int | None = None, steps: int = 16, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return beam_search(self.x, self.graph, self.pivots, queries, beam or self.beam, steps, start=start)
 
 
-def shard_answers(x: np.ndarray, queries: np.ndarray, k: int, effort: int) -> tuple[np.ndarray, np.ndarray]:
-    """k + 1 best nodes of a shard for every query (a query may be a member itself); effort 1 or more."""
+def shard_answers(x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, effort: int) -> tuple[np.ndarray, np.ndarray]:
+    """k + 1 best nodes of a shard for every query; own: the node that a query is, -1 for visitors; effort 1 or more."""
     if len(x) <= 64:  # no graph is needed to look at a handful
         s = queries @ x.T
         order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
         return order.astype(np.int32), np.take_along_axis(s, order, 1)
     graph = Shard(x, degree=12 + 4 * effort, beam=16 + 8 * effort, steps=6 + 2 * effort)
-    nodes, sims = graph.search(queries, steps=8 + 8 * effort)
+    nodes, sims = graph.search(queries, steps=4 + 4 * effort, start=own)
     return nodes[:, : k + 1], sims[:, : k + 1]
 
 
@@ -358,7 +368,9 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
         rows = np.zeros(0, np.int64)
         hit, value = rows, np.zeros(0, np.float32)
         if len(base):
-            nodes, sims = shard_answers(x[base], x, k, effort)
+            place = np.full(len(x), -1)
+            place[base] = np.arange(len(base))
+            nodes, sims = shard_answers(x[base], x, place, k, effort)
             own = base[np.maximum(nodes, 0)] == np.arange(len(x))[:, None]
             rows, places = np.nonzero((nodes >= 0) & ~own & (sims >= at_least))
             hit, value = base[nodes[rows, places]], sims[rows, places]
@@ -372,7 +384,7 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def found(vectors: DataFrame, min_similarity: float = 0.9, probes: int = 2, effort: int = 2) -> DataFrame:
+def found(vectors: DataFrame, min_similarity: float = 0.9, probes: int = 2, effort: int = 1) -> DataFrame:
     """(symbol_id_a, symbol_id_b), smaller first: each is among the other's five nearest, at `min_similarity` or more."""
     near = neighbours(vectors, at_least=min_similarity, probes=probes, effort=effort)
     a = near.select("provider", "dim", F.least("id", "neighbour").alias("symbol_id_a"), F.greatest("id", "neighbour").alias("symbol_id_b"))
