@@ -91,6 +91,10 @@ _PY = re.compile(
 _PY_KW = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 _PY_HEAD = {"def": "D_def", "class": "D_def", "if": "D_if", "elif": "D_if", "else": "D_end", "for": "D_if", "while": "D_if", "with": "D_end", "try": "D_try", "except": "D_except", "finally": "D_end", "match": "D_end", "case": "D_end"}
 _PY_SOFT = re.compile(r"(?:match|case)\b[^\n]*:[ \t]*(?:#[^\n]*)?\n")
+_PY_SIMPLE = {
+    **dict.fromkeys(["==", "!=", "<=", ">=", "<", ">", "//", "%", "|", "&", "^", "<<", ">>"], "BIN"), **dict.fromkeys(["+", "-"], "ADD"), "*": "STAR", "**": "POW", "=": "EQ",
+    **dict.fromkeys(["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="], "AUG"), ".": ".", ",": ",", "->": "->", "/": "/", "...": "...", ":=": ":=", "~": "~", ";": ";",
+}
 _PY_AUG = frozenset(["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="])
 
 
@@ -115,7 +119,19 @@ def lex_python(text: str) -> tuple[set, list[str]]:
 
     for m in _PY.finditer(text):
         kind = m.lastgroup
-        tok, at = m[kind], m.start(kind)
+        tok = m[kind]
+        if not start or stack:
+            if kind == "id":
+                if tok not in _PY_KW:
+                    pairs.add((prev, "ID", False))
+                    prev = "ID"
+                    continue
+            elif tok in _PY_SIMPLE:
+                label = _PY_SIMPLE[tok]
+                pairs.add((prev, label, False))
+                prev = label
+                continue
+        at = m.start(kind)
         if kind == "com" or kind == "fin":
             continue
         if kind == "nl":
@@ -316,6 +332,11 @@ _JS_KW = frozenset("break case catch class const continue debugger default do el
 _JS_HARD = frozenset("break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new return switch throw try typeof var void while with".split())
 _TS_SOFT = frozenset("public private protected readonly abstract declare override interface namespace module implements enum keyof infer unique is asserts satisfies".split())
 _WORDS = _JS_KW | _JS_HARD | _TS_SOFT | {"typeof", "void", "delete", "type"}
+#: operators whose label needs no look at their place
+_JS_SIMPLE = {
+    **dict.fromkeys(["===", "!==", "==", "!=", "<=", ">=", "&&", "||", "??", "**", "%", "^", "<<"], "BIN"), **dict.fromkeys(["+", "-"], "ADD"), **dict.fromkeys(["++", "--"], "INC"),
+    **dict.fromkeys(["+=", "-=", "*=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>=", ">>>=", "&&=", "||=", "??="], "AUG"), "*": "STAR", "!": "NOT", "~": "PRE", ".": ".", "?.": "?.", "...": "...", "=>": "=>", "@": "@",
+}
 _END_OPERAND = frozenset(["ID", "NUM", "STR", "TPL", "RE", ")g", "]", "}o", "}fx", "}c", "INC"])
 _TYPE_ARGS = re.compile(r"<[\w\s,.\[\]|&<>\"'{}:;?]*?>(?=\s*[({=,)\];>|\[]|\s*$|\s+(?:extends|implements)\b)")
 _MEMBER = re.compile(r"\s*[:(,}?=;<!]")
@@ -345,7 +366,24 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
     while pos < n:
         m = match(text, pos)
         kind = m.lastgroup
-        tok, at = m[kind], m.start(kind)
+        tok = m[kind]
+        if kind == "id":
+            if tok not in _WORDS and prev != "@":
+                pairs.add((prev, "ID", line))
+                prev, line, pos = "ID", False, m.end()
+                continue
+        elif tok in _JS_SIMPLE:
+            label = _JS_SIMPLE[tok]
+            pairs.add((prev, label, line))
+            prev, line, pos = label, False, m.end()
+            continue
+        elif kind == "nl":
+            line, pos = True, m.end()
+            top = stack[-1]
+            if top[4] and top[0] in ("{c", "{t") and prev not in ("A:", "PIPE", ","):
+                top[4] = False
+            continue
+        at = m.start(kind)
         if tok == "/" or tok == "/=":
             if prev not in _END_OPERAND:
                 r = _RE.match(text, at)
@@ -356,12 +394,6 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
         pos = m.end()
         if kind == "fin":
             break
-        if kind == "nl":
-            line = True
-            top = stack[-1]
-            if top[4] and top[0] in ("{c", "{t") and prev not in ("A:", "PIPE", ","):
-                top[4] = False
-            continue
         if kind == "com":
             if "\n" in tok:
                 line = True
@@ -372,9 +404,6 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
             pos = _DOTTED.match(text, at).end()
             put("ANAME")
             continue
-        if kind == "id" and tok not in _WORDS:
-            put("ID")
-            continue
         if kind == "id":
             member = prev in (".", "?.")
             key_place = top[0] in ("{o", "{c", "{t", "{m") and (prev in ("{o", "{c", "{t", "{m", ",", ";", "}b", "static", "ASYNC", "get", "set", "STAR", "public", "private", "protected", "readonly") or line) and not (top[0] == "{o" and prev == "K:")
@@ -669,6 +698,10 @@ _GO = re.compile(
     re.S,
 )
 _GO_KW = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
+_GO_SIMPLE = {
+    **dict.fromkeys(["==", "!=", "<=", ">=", "<", ">", "&&", "||", "/", "%", "|", "<<", ">>", "&^"], "BIN"), **dict.fromkeys(["+", "-", "&", "^"], "ADD"), **dict.fromkeys(["++", "--"], "INC"),
+    **dict.fromkeys(["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "&^="], "AUG"), "*": "MUL", "!": "NOT", "<-": "ARROW", ".": ".", ",": ",", ":": ":", "...": "...", "=": "EQ", ":=": "DEF", ";": ";",
+}
 _GO_SEMI = frozenset(["ID", "NUM", "STR", "INC", ")g", ")f", ")d", "]", "}b", "}o", "}s", "break", "continue", "return", "fallthrough"])
 
 
@@ -696,7 +729,19 @@ def lex_go(text: str) -> tuple[set, list[str]]:
 
     for m in _GO.finditer(text):
         kind = m.lastgroup
-        tok, at = m[kind], m.start(kind)
+        tok = m[kind]
+        if len(stack) > 1:
+            if kind == "id":
+                if tok not in _GO_KW:
+                    pairs.add((prev, "ID", False))
+                    prev = "ID"
+                    continue
+            elif tok in _GO_SIMPLE:
+                label = _GO_SIMPLE[tok]
+                pairs.add((prev, label, False))
+                prev = label
+                continue
+        at = m.start(kind)
         if kind == "fin":
             continue
         if kind == "nl" or kind == "com" and ("\n" in tok):
@@ -808,6 +853,10 @@ _JAVA = re.compile(
     + r"|(?P<id>[A-Za-z_$\u0080-￿][\w$\u0080-￿]*)|(?P<op>>>>=|\.\.\.|<<=|>>=|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|<<|[-+*/%&|^]=|[-+*/%&|^!~<>=?:.,;()\[\]{}@])|(?P<bad>.)|(?P<fin>\Z))",
     re.S,
 )
+_JAVA_SIMPLE = {
+    **dict.fromkeys(["==", "!=", "<=", ">=", ">", "&&", "||", "/", "%", "|", "&", "^", "<<"], "BIN"), **dict.fromkeys(["+", "-"], "ADD"), **dict.fromkeys(["++", "--"], "INC"),
+    **dict.fromkeys(["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="], "AUG"), "*": "STAR", "!": "PRE", "~": "PRE", ".": ".", ",": ",", "...": "...", "->": "->", "::": "::",
+}
 _JAVA_KW = frozenset("abstract assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try volatile while".split())
 _JAVA_TYPE = re.compile(r"(?:[A-Za-z_$\u0080-￿][\w$\u0080-￿]*)(?:\.[A-Za-z_$][\w$]*)*(?:<[^;(){}=+\-\"]*?>+)?(?:\s*\[\s*\])*(?=\s+[A-Za-z_$\u0080-￿]|\s*\.\.\.)")
 _JAVA_NOTYPE = frozenset("return throw new else case package import assert break continue do instanceof yield goto extends implements throws public private protected static final abstract native synchronized transient volatile class interface enum default if for while switch try catch finally this super".split())
@@ -831,8 +880,14 @@ def lex_java(text: str) -> tuple[set, list[str]]:
     while pos < n:
         m = _JAVA.match(text, pos)
         kind = m.lastgroup
-        tok, at = m[kind], m.start(kind)
+        tok = m[kind]
         pos = m.end()
+        if tok in _JAVA_SIMPLE:
+            label = _JAVA_SIMPLE[tok]
+            pairs.add((prev, label, False))
+            prev = label
+            continue
+        at = m.start(kind)
         if kind == "com":
             continue
         if kind == "fin":
@@ -846,6 +901,10 @@ def lex_java(text: str) -> tuple[set, list[str]]:
             if prev == ".":
                 put(tok if tok in ("class", "this", "new") else "ID")
                 continue
+            if prev == "ID" or prev == "BIN" or prev == "EQ":
+                if tok not in _JAVA_KW and tok not in ("record", "sealed", "yield"):
+                    put("ID")
+                    continue
             type_place = prev in starts or prev == "," and top[0] == "(f" or prev in ("extends", "implements", "throws") or prev == "," and klass or prev == ")g" and stack[-1][3] == "anno" or prev == "(g" and _JAVA_LAMBDA_TYPE.match(text, at)
             if prev in ("extends", "implements", "throws") or prev == "," and klass and top[0] in ("{top", "{c"):
                 t = _P12.match(text, at)
