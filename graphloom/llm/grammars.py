@@ -55,7 +55,7 @@ comp = (async? CFOR exprs in expr (CIF expr)*)+
 ECMA = """
 file = BOF body EOF
 body = stmt* open?
-open = simple | (if | while) '(h' exprs ')h' (stmt else)? open | for await? '(h' forhead ')h' open | ID 'C:' open | export open
+open = simple | (if | while) '(h' exprs ')h' (stmt else)? open | for await? '(h' forhead ')h' open | ID 'C:' open
 end = ';' | ASI
 stmt = simple end | compound | ';'
 simple = exprs | vars | return exprs? | throw exprs | (break | continue) ID? | import_ | export exporting | debugger | do stmt while '(h' exprs ')h'
@@ -67,7 +67,7 @@ clause = STAR as ID | '{m' specs? '}m'
 specs = spec (',' spec)* ','?
 spec = TYPEKW? ID (as ID)?
 exporting = vars | default (exprs | funct | klass) | '{m' specs? '}m' (from STR)? | STAR (as ID)? from STR | EQ expr
-compound = export (funct | klass | tdecl) | export default (funct | klass) | funct | klass | tdecl | '{b' body '}b' | if '(h' exprs ')h' stmt (else stmt)? | while '(h' exprs ')h' stmt | for await? '(h' forhead ')h' stmt | switch '(h' exprs ')h' '{b' cases '}b' | try '{b' body '}try' (catch ('(h' target note? ')h')? '{b' body ('}b' | '}try' finally '{b' body '}b') | finally '{b' body '}b') | ID 'C:' stmt
+compound = export (funct | klass | tdecl) | export default (funct | klass) | funct | klass | tdecl | '{b' body '}b' | if '(h' exprs ')h' stmt (else stmt)? | while '(h' exprs ')h' stmt | for await? '(h' forhead ')h' stmt | switch '(h' exprs ')h' '{b' cases '}b' | try '{b' body '}try' (catch ('(h' target note? ')h')? '{b' body '}b' (finally '{b' body '}b')? | finally '{b' body '}b') | ID 'C:' stmt
 cases = ((case exprs | default) 'C:' body)*
 forhead = (vars | exprs)? ';' exprs? ';' exprs? | (const | let | var)? target (of | in) exprs
 funct = ASYNC? function STAR? ID generic? params ret? '{b' body '}b'
@@ -117,7 +117,7 @@ enums = (key (EQ expr)? ',')* (key (EQ expr)?)?
 type = PIPE? tunary (PIPE tunary)* | tunary extends tunary 'T?' type 'T:' type
 tunary = (keyof | typeof_ | readonly | infer | unique)* tatom ('[' type? ']')*
 typeof_ = PRE
-tatom = ID ('.' ID)* generic? | STR | NUM | TPL | '{t' tmembers '}t' | '(g' (tparam (',' tparam)*)? ')g' ('=>' type)? | '[' (type (',' type)*)? ']' | new '(g' tparam* ')g' '=>' type
+tatom = ID ('.' ID)* generic? | STR | NUM | TPL | '{t' tmembers '}t' | '(g' (tparam (',' tparam)*)? ')g' ('=>' type)? | '[' (type (',' type)*)? ']' | new '(g' (tparam (',' tparam)*)? ')g' '=>' type
 tparam = '...'? type 'O?'? note?
 tsuffix = NOT | generic | (as | satisfies) type
 arrow = ASYNC? (ID | '(g' (tsparam (',' tsparam)*)? ')g' note?) '=>' (expr | '{b' body '}b')
@@ -130,17 +130,18 @@ import_ = import (ispec | '(d' (ispec ';')* ispec? ')d')
 ispec = (ID | '.')? STR
 decl = cdecl | func ('(f' params? ')f')? ID generic? sig ('{b' body '}b')?
 cdecl = (var | const) (vspec | '(d' (vspec ';')* vspec? ')d') | type (tspec | '(d' (tspec ';')* tspec? ')d')
-vspec = ids typ? (EQ exprs)?
-tspec = ID generic? EQ? typ
+vspec = ids EQ exprs | (ID ',')* NAME typ (EQ exprs)? | ids
+tspec = (ID generic | ID EQ | NAME) typ
 ids = ID (',' ID)*
-generic = '[' ids typ (',' ids typ)* ']'
+named = (ID ',')* NAME
+generic = '[' named typ (',' named typ)* ']'
 sig = '(f' params? ')f' result?
 result = typ | '(f' params ')f'
 params = param (',' param)* ','?
-param = ID typ | ID? '...' typ | typ
+param = NAME typ | NAME? '...' typ | typ
 typ = ID ('.' ID)? targs? | MUL typ | '[' (expr | '...')? ']' typ | map '[' typ ']' typ | chan typ | ARROW chan typ | chan ARROW typ | func sig | struct '{s' (field ';')* field? '}s' | interface '{s' (imember ';')* imember? '}s' | '(g' typ ')g'
 targs = '[' typ (',' typ)* ']'
-field = ids typ STR? | MUL? ID ('.' ID)? STR?
+field = named typ STR? | MUL? ID ('.' ID)? STR?
 imember = ID sig | typ (BIN typ)*
 body = (stmt ';')* stmt?
 stmt = simple | cdecl | return exprs? | (break | continue | goto) ID? | fallthrough | (go | defer) expr | '{b' body '}b' | if_ | for forhead? '{b' body '}b' | switch (simple ';')? (simple)? '{b' cases '}b' | select '{b' cases '}b' | ID ':' stmt? | ';'
@@ -179,7 +180,7 @@ init = EQ (expr | arrayinit)
 arrayinit = '{o' ((expr | arrayinit) (',' (expr | arrayinit))* ','?)? '}o'
 body = stmt*
 stmt = (final | anno)* TYPE ID dims? init? (',' ID dims? init?)* ';' | typedecl | expr ';' | return expr? ';' | throw expr ';' | (break | continue) ID? ';' | yield expr ';' | assert expr (AC expr)? ';' | ';' | '{b' body '}b' | if '(h' expr ')h' stmt (else stmt)? | while '(h' expr ')h' stmt | for '(h' forhead ')h' stmt | do stmt while '(h' expr ')h' ';' | switch '(h' expr ')h' '{b' cases '}b' | try ('{b' body '}try' (catches | finally '{b' body '}b') | '(h' res (';' res)* ';'? ')h' '{b' body '}b' catches?) | synchronized '(h' expr ')h' '{b' body '}b' | ID 'C:' stmt
-catches = (catch '(h' final? TYPE ID ')h' '{b' body '}catch')+ (finally '{b' body '}b')?
+catches = (catch '(h' final? (ID BIN)* TYPE ID ')h' '{b' body '}catch')+ (finally '{b' body '}b')?
 res = final? TYPE ID EQ expr | name
 forhead = forinit? ';' expr? ';' exprs? | final? TYPE ID 'C:' expr
 forinit = final? TYPE ID init? (',' ID init?)* | exprs

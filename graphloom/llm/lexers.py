@@ -415,6 +415,8 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                     put(tok)
                 elif tok in ("typeof",):
                     put("PRE")
+                elif tok in ("as", "satisfies"):
+                    put(tok)
                 elif tok in ("new",):
                     put("new")
                 elif tok in ("const", "let", "var", "function", "class", "export", "import", "return", "if", "for", "interface") and line:
@@ -702,6 +704,9 @@ _GO_SIMPLE = {
     **dict.fromkeys(["==", "!=", "<=", ">=", "<", ">", "&&", "||", "/", "%", "|", "<<", ">>", "&^"], "BIN"), **dict.fromkeys(["+", "-", "&", "^"], "ADD"), **dict.fromkeys(["++", "--"], "INC"),
     **dict.fromkeys(["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", "&^="], "AUG"), "*": "MUL", "!": "NOT", "<-": "ARROW", ".": ".", ",": ",", ":": ":", "...": "...", "=": "EQ", ":=": "DEF", ";": ";",
 }
+#: where a name may stand before its type
+_GO_NAMES, _GO_DECL = frozenset(["(f", "(d", "{s", "["]), frozenset(["var", "const", "type"])
+_GO_TYPED = re.compile(r"[ \t]+(?:[A-Za-z_*\[]|\.\.\.|<-)")
 _GO_SEMI = frozenset(["ID", "NUM", "STR", "INC", ")g", ")f", ")d", "]", "}b", "}o", "}s", "break", "continue", "return", "fallthrough"])
 
 
@@ -732,7 +737,7 @@ def lex_go(text: str) -> tuple[set, list[str]]:
         tok = m[kind]
         if len(stack) > 1:
             if kind == "id":
-                if tok not in _GO_KW:
+                if tok not in _GO_KW and stack[-1][0] not in _GO_NAMES and prev not in _GO_DECL:
                     pairs.add((prev, "ID", False))
                     prev = "ID"
                     continue
@@ -765,7 +770,8 @@ def lex_go(text: str) -> tuple[set, list[str]]:
                 if tok == "func" and header == "control":
                     stack[-1][1] = "func-in-control"
             else:
-                put("ID")
+                typed = (stack[-1][0] in _GO_NAMES or prev in _GO_DECL or prev == "," and decl in _GO_DECL) and prev not in (".", "MUL", "]", "map", "chan")
+                put("NAME" if typed and _GO_TYPED.match(text, m.end()) else "ID")
         elif kind == "str":
             put("STR")
         elif kind == "num":
@@ -901,11 +907,12 @@ def lex_java(text: str) -> tuple[set, list[str]]:
             if prev == ".":
                 put(tok if tok in ("class", "this", "new") else "ID")
                 continue
-            if prev == "ID" or prev == "BIN" or prev == "EQ":
+            caught = top[0] == "(h" and top[3] == "catch"
+            if (prev == "ID" or prev == "BIN" or prev == "EQ") and not caught:
                 if tok not in _JAVA_KW and tok not in ("record", "sealed", "yield"):
                     put("ID")
                     continue
-            type_place = prev in starts or prev == "," and top[0] == "(f" or prev in ("extends", "implements", "throws") or prev == "," and klass or prev == ")g" and stack[-1][3] == "anno" or prev == "(g" and _JAVA_LAMBDA_TYPE.match(text, at)
+            type_place = prev in starts or caught and prev == "BIN" or prev == "instanceof" or prev == "," and top[0] == "(f" or prev in ("extends", "implements", "throws") or prev == "," and klass or prev == ")g" and stack[-1][3] == "anno" or prev == "(g" and _JAVA_LAMBDA_TYPE.match(text, at)
             if prev in ("extends", "implements", "throws") or prev == "," and klass and top[0] in ("{top", "{c"):
                 t = _P12.match(text, at)
                 put("TYPE")
