@@ -33,10 +33,12 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
-def items_of(rows: DataFrame, group: str, basket: str, item: str, path_items: bool = True) -> DataFrame:
-    """Distinct (g, b, item): group, basket, item."""
+def keyed(rows: DataFrame, group: str, basket: str, item: str, path_items: bool = True) -> DataFrame:
+    """(g, item, bk, ik): group and item, and 16-byte keys of (group, basket) and (group, item), which stand for them."""
     it = clean_path(F.col(item)) if path_items else F.col(item)
-    return rows.select(F.col(group).alias("g"), F.col(basket).alias("b"), it.alias("item")).dropna().dropDuplicates()
+    flat = rows.select(F.col(group).alias("g"), F.col(basket).alias("b"), it.alias("item")).dropna()
+    key = lambda *c: F.unhex(F.md5(F.concat_ws("\0", *c)))
+    return flat.select("g", "item", key("g", "b").alias("bk"), key("g", "item").alias("ik"))
 
 
 def cooccurrence(
@@ -54,34 +56,37 @@ def cooccurrence(
 
     support counts baskets of `min_items` to `max_items` items; n_a, n_b and n count baskets of every size.
     """
-    all_rows = items_of(rows, group, basket, item, path_items)
-    sizes = all_rows.groupBy("g", "b").agg(F.count(F.lit(1)).alias("size"))
+    flat = keyed(rows, group, basket, item, path_items)
+    all_rows = flat.select("bk", "ik").distinct()
+    # names and owners are looked up once per item and basket; the rows in between carry keys only
+    names = flat.select("ik", "g", "item").distinct()
+    owners = flat.select("bk", "g").distinct()
+    sizes = all_rows.groupBy("bk").agg(F.count(F.lit(1)).alias("size"))
     counted = F.col("size").between(min_items, max_items)
-    totals = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("baskets"), F.count_if(counted).alias("counted"))
+    totals = sizes.join(owners, "bk").groupBy("g").agg(F.count(F.lit(1)).alias("baskets"), F.count_if(counted).alias("counted"))
     # a basket above the limit, of whatever size, leaves here; the join splits it if it fills a partition
-    occurrences = all_rows.join(sizes.filter(counted).select("g", "b"), ["g", "b"])
-    per_item = all_rows.groupBy("g", "item").agg(F.count(F.lit(1)).alias("n_item"))
-    per_counted = occurrences.groupBy("g", "item").agg(F.count(F.lit(1)).alias("n_counted"))
+    occurrences = all_rows.join(sizes.filter(counted).select("bk"), "bk")
+    per_item = all_rows.groupBy("ik").agg(F.count(F.lit(1)).alias("n_item"))
+    per_counted = occurrences.groupBy("ik").agg(F.count(F.lit(1)).alias("n_counted"))
     # an item of fewer counted baskets than min_support is in no pair
-    frequent = per_counted.filter(F.col("n_counted") >= min_support).join(per_item, ["g", "item"]).join(totals, "g")
-    frequent = frequent.withColumn("heavy", F.col("n_counted") * dense >= F.col("counted"))
+    frequent = per_counted.filter(F.col("n_counted") >= min_support).join(per_item, "ik").join(names, "ik").join(totals, "g")
+    frequent = cut(frequent.withColumn("heavy", F.col("n_counted") * dense >= F.col("counted")))
 
-    frequent = cut(frequent)
-    spread = occurrences.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    salted = frequent.select("g", "item", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    known = spread.join(salted, ["g", "item", "salt"]).select("g", "b", "item", "heavy")
+    spread = occurrences.withColumn("salt", F.pmod(F.xxhash64("bk"), F.lit(SALTS)).cast("int"))
+    salted = frequent.select("ik", "g", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    known = spread.join(salted, ["ik", "salt"]).select("g", "bk", "ik", "heavy")
 
     # one row a basket, its light and its heavy items; at most max_items of them
-    split = known.groupBy("g", "b").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("heavy"), F.col("item")))).alias("light"),
-        F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("item")))).alias("dense"),
+    split = known.groupBy("g", "bk").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("heavy"), F.col("ik")))).alias("light"),
+        F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("ik")))).alias("dense"),
     )
     split = cut(split)  # read by each of the three ways of counting
     # baskets are numbered inside hash buckets of about 4,000, by repository
     numbered = (
         split.join(totals.select("g", F.greatest(F.lit(1), F.expr("counted div 4096")).alias("buckets")), "g")
-        .withColumn("bucket", F.pmod(F.xxhash64("b"), F.col("buckets")).cast("int"))
-        .withColumn("k", F.row_number().over(W.partitionBy("g", "bucket").orderBy("b")) - 1)
+        .withColumn("bucket", F.pmod(F.xxhash64("bk"), F.col("buckets")).cast("int"))
+        .withColumn("k", F.row_number().over(W.partitionBy("g", "bucket").orderBy("bk")) - 1)
         .select("g", "bucket", F.expr("k div 64").cast("int").alias("word"), F.expr("k % 64").cast("int").alias("bit"), "light", "dense")
     )
     at = ["g", "bucket", "word"]
@@ -89,49 +94,50 @@ def cooccurrence(
     light = F.col("light")
     light_pairs = (
         split.filter(F.size("light") > 1)
-        .select("g", F.posexplode("light").alias("i", "item_a"), "light")
-        .select("g", "item_a", F.explode(F.slice(light, F.col("i") + 2, F.size(light))).alias("item_b"))
-        .groupBy("g", "item_a", "item_b")
+        .select(F.posexplode("light").alias("i", "a"), "light")
+        .select("a", F.explode(F.slice(light, F.col("i") + 2, F.size(light))).alias("b"))
+        .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("support"))
     )
 
     # the bit matrix: one word of 64 baskets, one long per heavy item
     bits = (
         numbered.filter(F.size("dense") > 0)
-        .select(*at, "bit", F.explode("dense").alias("item"))
-        .groupBy(*at, "item")
+        .select(*at, "bit", F.explode("dense").alias("ik"))
+        .groupBy(*at, "ik")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         .groupBy(*at)
-        .agg(F.sort_array(F.collect_list(F.struct("item", "bits"))).alias("row"))
+        .agg(F.sort_array(F.collect_list(F.struct("ik", "bits"))).alias("row"))
     )
     row = F.col("row")
     heavy_pairs = (
         bits.filter(F.size("row") > 1)
-        .select("g", F.posexplode("row").alias("i", "a"), "row")
-        .select("g", "a", F.explode(F.slice(row, F.col("i") + 2, F.size(row))).alias("c"))
-        .select("g", F.col("a.item").alias("item_a"), F.col("c.item").alias("item_b"), F.bit_count(F.col("a.bits").bitwiseAND(F.col("c.bits"))).cast("long").alias("shared"))
+        .select(F.posexplode("row").alias("i", "x"), "row")
+        .select("x", F.explode(F.slice(row, F.col("i") + 2, F.size(row))).alias("y"))
+        .select(F.col("x.ik").alias("a"), F.col("y.ik").alias("b"), F.bit_count(F.col("x.bits").bitwiseAND(F.col("y.bits"))).cast("long").alias("shared"))
         .filter("shared > 0")
-        .groupBy("g", "item_a", "item_b")
+        .groupBy("a", "b")
         .agg(F.sum("shared").alias("support"))
     )
 
     mixed = (
         numbered.filter(F.size("light") > 0)
         .join(bits, at)
-        .select("g", "bit", "row", F.explode("light").alias("item"))
-        .select("g", "item", "bit", F.explode("row").alias("h"))
+        .select("bit", "row", F.explode("light").alias("ik"))
+        .select("ik", "bit", F.explode("row").alias("h"))
         .filter(F.expr("(shiftrightunsigned(h.bits, bit) & 1L) = 1L"))
-        .select("g", F.least("item", "h.item").alias("item_a"), F.greatest("item", "h.item").alias("item_b"))
-        .groupBy("g", "item_a", "item_b")
+        .select(F.col("ik").alias("a"), F.col("h.ik").alias("b"))
+        .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("support"))
     )
 
     pairs = light_pairs.unionByName(heavy_pairs).unionByName(mixed).filter(F.col("support") >= min_support)
-    stats = frequent.select("g", "item", "n_item", "baskets")
-    a = stats.select("g", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), F.col("baskets").alias("n"))
-    b = stats.select("g", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    return pairs.join(a, ["g", "item_a"]).join(b, ["g", "item_b"]).withColumn(
-        "lift", F.col("support") * F.col("n") / (F.col("n_a") * F.col("n_b")).cast("double")
+    stat = lambda k: frequent.select(F.col("ik").alias(k), F.struct("item", "n_item").alias(f"s{k}"))
+    one = frequent.select(F.col("ik").alias("a"), "g", F.col("baskets").alias("n"), F.struct("item", "n_item").alias("sa"))
+    named = pairs.join(one, "a").join(stat("b"), "b").select("g", "support", "n", F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"))
+    return named.select(
+        "g", F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), "support", F.col("x.n_item").alias("n_a"), F.col("y.n_item").alias("n_b"), "n",
+        (F.col("support") * F.col("n") / (F.col("x.n_item") * F.col("y.n_item")).cast("double")).alias("lift"),
     )
 
 
