@@ -95,10 +95,12 @@ def _round(df: DataFrame, keys: list[str], seed: int, last: bool) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["slot", "doc_id", "part"], kind="stable").reset_index(drop=True)
         group = list(zip(rows["slot"], rows["tokens"], rows["fraction"], strict=True))
+        fractions = rows["fraction"].tolist()
         for at, f in pivot(group, seed):
             if last and EPS < f < 1 - EPS:
                 f = float(random.Random(f"{seed}:last:{group[at][0]}").random() < f)
-            rows.loc[at, "fraction"] = f
+            fractions[at] = f
+        rows["fraction"] = fractions
         return rows[["doc_id", "source", "tokens", "slot", "part", "whole", "fraction"]]
 
     return df.groupBy(*keys).applyInPandas(one, schema)
