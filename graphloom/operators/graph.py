@@ -14,10 +14,14 @@ from graphloom.sources.tables import cut
 
 
 def coupling(edges: DataFrame) -> DataFrame:
-    """(node, ce, ca, instability): distinct outgoing and incoming neighbours; instability ce / (ce + ca), 3 digits."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("ce"))
-    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("ca"))
-    both = out.join(into, "node", "full").na.fill(0, ["ce", "ca"])
+    """(node, ce, ca, instability): distinct outgoing and incoming neighbours; instability ce / (ce + ca), 3 digits.
+
+    Each distinct edge counts once at either end, so the edges are read once and no outer join is needed.  Edges with a
+    null end are ignored.
+    """
+    end = lambda c, ce, ca: F.struct(F.col(c).alias("node"), F.lit(ce).alias("ce"), F.lit(ca).alias("ca"))
+    ends = edges.select("src", "dst").dropna().distinct().select(F.explode(F.array(end("src", 1, 0), end("dst", 0, 1))).alias("e"))
+    both = ends.groupBy("e.node").agg(F.sum("e.ce").alias("ce"), F.sum("e.ca").alias("ca"))
     return both.withColumn("instability", half_up(F.col("ce") / (F.col("ce") + F.col("ca")), 3))
 
 

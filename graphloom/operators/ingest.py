@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import short_id
+from graphloom.sources.tables import spread
 
 
 def discover(spark, root: str, limit: int = 10_000, max_bytes: int = 524_288) -> DataFrame:
@@ -136,7 +137,7 @@ def extract(files: DataFrame) -> DataFrame:
                 out += [(repo, path, "import", i, None, None, None) for i in imports]
             yield pd.DataFrame(out, columns=["repo_id", "path", "what", "name", "kind", "line", "end_line"])
 
-    return files.select("repo_id", "path", "raw_content").mapInPandas(run, "repo_id string, path string, what string, name string, kind string, line int, end_line int")
+    return spread(files.select("repo_id", "path", "raw_content")).mapInPandas(run, "repo_id string, path string, what string, name string, kind string, line int, end_line int")
 
 
 def symbol_ids(symbols: DataFrame) -> DataFrame:
