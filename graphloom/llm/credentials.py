@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import spread
+
 #: Lower-case substrings of which a line with a credential holds at least one.
 KEYWORDS = """
 passw passwd pwd passphrase pass_word pass-word kennwort passwort contrase clave senha mot_de_passe motdepasse
@@ -290,7 +292,7 @@ def find(files: DataFrame) -> DataFrame:
                     repos.append(repo.as_py()), paths.append(path), lines.append(line)
             yield pa.RecordBatch.from_arrays([pa.array(repos, pa.string()), pa.array(paths, pa.string()), pa.array(lines, pa.int32())], ["repo_id", "path", "line_no"])
 
-    return files.select("repo_id", "path", "raw_content").mapInArrow(scan, "repo_id string, path string, line_no int").distinct()
+    return spread(files.select("repo_id", "path", "raw_content")).mapInArrow(scan, "repo_id string, path string, line_no int").distinct()
 
 
 def redact(files: DataFrame) -> DataFrame:

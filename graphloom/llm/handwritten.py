@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import cut
+from graphloom.sources.tables import cut, spread
 
 #: Directories that package managers and people keep other people's code in.
 VENDORED_DIR = frozenset(
@@ -163,7 +163,7 @@ def leaves(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo_id", "path", "leaf", "code_chars", "says"])
 
     schema = "repo_id string, path string, leaf bigint, code_chars int, says string"
-    return files.select("repo_id", "path", "raw_content").mapInArrow(scan, schema).dropDuplicates(["repo_id", "path"])
+    return spread(files.select("repo_id", "path", "raw_content")).mapInArrow(scan, schema).dropDuplicates(["repo_id", "path"])
 
 
 def merkle(leaves_: DataFrame, max_depth: int) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import grammars, lexers
+from graphloom.sources.tables import spread
 
 LANGUAGES = ("py", "ts", "js", "go", "java", "json")
 #: More than any grammar here gives: the table is fixed by this package, and checked before it is broadcast.
@@ -56,7 +57,7 @@ def tokens(files: DataFrame) -> DataFrame:
         .select("repo_id", "path", language(F.col("path")).alias("lang"), "raw_content")
         .filter(F.col("lang").isin(*LANGUAGES))
     )
-    return known.mapInArrow(scan, "repo_id string, path string, lang string, pairs array<string>, windows array<string>")
+    return spread(known).mapInArrow(scan, "repo_id string, path string, lang string, pairs array<string>, windows array<string>")
 
 
 def rest_of(windows: Column) -> Column:

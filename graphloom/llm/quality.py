@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import spread
+
 CHUNK = 65_536
 RUN = 64
 
@@ -135,7 +137,7 @@ def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
             counts = [None if t is None else text_counts(t, common) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "counts"])
 
-    short = small.select("doc_id", "text").mapInArrow(whole, f"doc_id {id_type}, counts array<bigint>")
+    short = spread(small.select("doc_id", "text")).mapInArrow(whole, f"doc_id {id_type}, counts array<bigint>")
 
     # chunks end at a line end where one lies within; a line longer than a chunk grows over several
     n = F.expr(f"cast((length(text) - 1) div {CHUNK} as int)")
