@@ -1,6 +1,7 @@
 r"""Credentials embedded in source and configuration files (problem 5): find them, and redact them in place.
 
 1. A keyword automaton runs once over each file; only lines with a hit go on (a file without one costs one pass).
+   Its words are parts of all names and formats below, so it drops no line that a pattern would accept.
 2. Issuer formats, key blocks, URL user info, headers, command options, assignments and prose are matched there.
 3. A match counts when its literal is plausible: issuer lengths and alphabets, decodable tokens, no stand-in, no
    reference to where a secret is kept, no digest or id, a mix of character classes.
@@ -29,18 +30,16 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.tables import spread
 
-#: Lower-case substrings of which a line with a credential holds at least one.
+#: Lower-case substrings of which a line with a credential holds at least one: a part of every name in
+#: SECRET_NAME, of every format in ISSUERS (but "prefixed", which has PREFIXED) and of every other pattern.
 KEYWORDS = """
-passw passwd pwd passphrase pass_word pass-word kennwort passwort contrase clave senha mot_de_passe motdepasse
-mot-de-passe mot de passe пароль 密码 密碼 密钥 口令 パスワード 비밀번호
-secret token apikey api_key api-key api key access_key accesskey access-key access key auth bearer credential
-signing_key signingkey signing-key signing key encryption_key encryptionkey encryption-key encryption key
-private_key privatekey private-key private key master_key masterkey login_pw loginpw login.pw _pw pass= pass: pass"
-://
-akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxb- xoxp- xoxa- xoxr- xoxs- sk_live_ sk_test_ rk_live_ pk_live_
-sk-ant- sk-proj- aiza npm_ pypi- sg. eyj hbl_ shpat_ dop_v1_ hf_ ya29. hooks.slack.com accountkey= sharedaccesskey
------begin login
+pass pw key kennwort contrase clave senha пароль 密码 密碼 密钥 口令 パスワード 비밀번호 secret token auth bearer credential
+akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xoxb- xoxp- xoxa- xoxr- xoxs- hooks.slack.com sk_live_ rk_live_ aiza
+npm_ pypi- sg. shpat_ dop_v1_ hf_ sk-
+:// basic eyj -----begin
 """
+#: What the issuers' format "prefixed" ends with; it has no fixed word.
+PREFIXED = re.compile(r"_[A-Za-z0-9]{32}(?![A-Za-z0-9])")
 
 #: Published formats of issuers' keys.  (name, pattern)
 ISSUERS = [
@@ -104,8 +103,6 @@ BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"(?:\\r|\\n|[\s\"'`+,;#*/|>\\])*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*(?P<v>[A-Za-z0-9+/=]{24,})")
 UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
 CONCAT = re.compile(r"^(?P<q>[\"'`])\s*\+\s*(?P<p>[\"'`])(?P<v>[^\"'`]*)(?P=p)")
-#: A run without space or quote that is no plain identifier: what every credential has, and few lines of code do.
-LITERAL = re.compile(r"(?<![^\s\"'`(),;{}\[\]:=<>])(?=[^\s\"'`(),;{}\[\]<>]{6})(?=[^\s\"'`(),;{}\[\]<>]*[A-Za-z])[^\s\"'`(),;{}\[\]<>]*[\d!@#%^&*+~$]")
 CONFIG = ("yml", "yaml", "ini", "env", "properties", "toml", "cfg", "conf", "tf", "tfvars")
 
 
@@ -114,8 +111,7 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    words = [w for line in KEYWORDS.strip().split("\n") for w in line.split(" ")]
-    for w in {*words, "api key", "access key", "mot de passe", "signing key", "encryption key", "private key"} - {"api", "key", "access", "mot", "de", "signing", "encryption", "private", "passe", ""}:
+    for w in KEYWORDS.split():
         a.add_word(w, len(w))
     a.make_automaton()
     return a
@@ -137,7 +133,7 @@ def plausible(value: str, named: bool = True) -> bool:
     if not digits or not letters:
         upper, lower = any(c.isupper() for c in value), any(c.islower() for c in value)
         odd = sum(not c.isalnum() and c not in "_-. /" for c in value)
-        if not (letters and len(value) >= 8 and ((upper and lower and odd >= 1) or (upper and lower and len(value) >= 20 and not re.fullmatch(r"(?:[A-Z]?[a-z]+)+", value)))):
+        if not (letters and len(value) >= 8 and ((upper and lower and odd >= 1) or (upper and lower and len(value) >= 20 and not re.fullmatch(r"(?:[A-Z]?[a-z])+", value)))):
             return False
     if re.fullmatch(r"v?\d+(?:\.\d+)+[\w\-.]*|\d{4}-\d\d-\d\d.*|sha\d+-.*|sha\d+:.*|\$2[aby]\$.*|\$argon2.*|ssh-\w+.*|[0-9]+[a-z]{1,2}|0x[0-9a-f]+", value, re.I):
         return False
@@ -169,13 +165,11 @@ def _basic(value: str) -> bool:
 
 def line_hits(line: str, ext: str) -> list[tuple[int, int]]:
     """Spans of credentials that lie on one line (key blocks are found in the whole file)."""
-    if not LITERAL.search(line):
-        return []
     spans: list[tuple[int, int]] = []
     low = line.lower()
     for m in ISSUED.finditer(line):
         if _issued(m[0]) and (m[0][:2] != "sk" or re.search(r"\d", m[0])):
-            if m.re is ISSUED and re.fullmatch(r"[a-z]{2,5}_[A-Za-z0-9]{32}", m[0]) and not re.search(r"(?=.*\d)(?=.*[A-Z])(?=.*[a-z])", m[0][3:]):
+            if not m[0].startswith("shpat_") and re.fullmatch(r"[a-z]{2,5}_[A-Za-z0-9]{32}", m[0]) and not re.search(r"(?=.*\d)(?=.*[A-Z])(?=.*[a-z])", m[0][3:]):
                 continue
             spans.append(m.span())
     for m in JWT.finditer(line):
@@ -235,9 +229,11 @@ def text_hits(text: str, ext: str) -> list[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if not low.isascii():  # letters that the patterns take for i and s whatever their case
+        low = low.translate({0x130: "i", 0x131: "i", 0x17F: "s"})
     spans: list[tuple[int, int]] = []
     done = -1
-    for end, _ in _automaton().iter(low):
+    for end in sorted({*(end for end, _ in _automaton().iter(low)), *(m.start() for m in PREFIXED.finditer(text))}):
         if end < done:
             continue
         start = text.rfind("\n", 0, end) + 1
