@@ -84,25 +84,35 @@ REFERENCE = re.compile(
     r"(?i)(^\$|\$\{|\$\(|%\w+%|\{\{|^\{\w*\}$|^env[.:(]|^vault:|^ssm:|^secretsmanager|^sops|^op://|^arn:|^keyring|^file:|^@|getenv|process\.env|os\.environ|"
     r"^secrets?[./]|^/|^\.{1,2}/|^[a-z]:\\|^gcp:|^aws:|^azure:|^kms:|^enc\[|^!(?:secret|vault|ref|sub|env)\b|://)"
 )
-VALUE = r"[^\s\"'`]"
+# Lines are read whole, however long: no pattern bounds a literal, and none begins again at every place of a long run.
+NAME = re.compile(SECRET_NAME, re.I)
+RUN = re.compile(r"[\w.\-]*")
 ASSIGNED = re.compile(
-    r"(?P<name>" + SECRET_NAME + r"[\w.\-]*)[\"'`\]]*\s*(?::\s*[A-Za-z<>\[\], ]{1,30}?(?==))?\s*(?:=>|:=|=|:|,)\s*(?:[a-zA-Z]{0,3}(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).){6,400})(?P=q)|(?P<u>[^\s\"'`,;(){}\[\]][^\s\"'`,;]{5,400}))",
-    re.I,
+    r"[\"'`\]]*\s*(?::\s*[A-Za-z<>\[\], ]{1,30}?(?==))?\s*(?:=>|:=|=|:|,)\s*(?:[a-zA-Z]{0,3}(?P<q>[\"'`])(?P<v>(?:(?!(?P=q)).){6,})(?P=q)|(?P<u>[^\s\"'`,;(){}\[\]][^\s\"'`,;]{5,}))"
 )
+#: A rejected literal longer than this may be two quotes that do not belong together, or a run of minified code: the
+#: search goes on inside the quotes, and after so many characters of the run.
+LOOSE = 400
 PREFIX = re.compile(r"[\w.\-]*\Z")
 PROSE = re.compile(
-    r"(?i)(?:" + SECRET_NAME + r")\b(?: (?:is|was|for [\w.\-]+(?: is)?))?\s*[:=]?\s+(?P<v>[^\s\"'`,;]{8,200})"
+    r"(?i)(?:" + SECRET_NAME + r")\b(?: (?:is|was|for [\w.\-]+(?: is)?))?\s*[:=]?\s+(?P<v>[^\s\"'`,;]{8,})"
 )
-OPTION = re.compile(r"(?i)--?[\w\-]*" + SECRET_NAME + r"[\w\-]*[= ](?P<v>[^\s\"'`]{8,400})")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://(?P<user>[^\s:/@\"'`]*):(?P<v>[^\s/@\"'`]{3,200})@[\w.\-\[\]]+")
-DSN = re.compile(r"(?i)(?:^|[;\"'`\s?&])(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*(?P<v>[^;\"'`\s&]{6,400})")
-BASIC = re.compile(r"(?i)\bbasic\s+(?P<v>[A-Za-z0-9+/]{8,400}={0,2})")
-BEARER = re.compile(r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9_\-.=+/]{16,2000})")
-JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
+OPTION = re.compile(r"[= ](?P<v>[^\s\"'`]{8,})")
+OPTION_RUN = re.compile(r"[\w\-]*")
+WORD = re.compile(r"\w*")
+URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://(?P<user>[^\s:/@\"'`]*):(?P<v>[^\s/@\"'`]{3,})@[\w.\-\[\]]+")
+DSN = re.compile(r"(?i)(?:^|[;\"'`\s?&])(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*(?P<v>[^;\"'`\s&]{6,})")
+BASIC = re.compile(r"(?i)\bbasic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})")
+BEARER = re.compile(r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9_\-.=+/]{16,})")
+JWT = re.compile(r"(?<![A-Za-z0-9_\-])(?P<head>[A-Za-z0-9_\-]++)\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
+JWT_HEAD = re.compile(r"eyJ[A-Za-z0-9_\-]{8}")
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"(?:\\r|\\n|[\s\"'`+,;#*/|>\\])*(?:[A-Za-z\-]+: [^\n\\]*(?:\\n|\s)+)*(?P<v>[A-Za-z0-9+/=]{24,})")
+BODY_END = re.compile(r"(?:\\r|\\n|[\s\"'`+,;#*/|>\\])*(?P<v>[A-Za-z0-9+/]+={1,2}(?![A-Za-z0-9+/=]))")
+#: What may stand between BEGIN and END of a key block of any length.
+KEY_TEXT = re.compile(r"[A-Za-z0-9+/=\s\"'`,;:#*|>\\.\-]*")
 UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)
-CONCAT = re.compile(r"^(?P<q>[\"'`])\s*\+\s*(?P<p>[\"'`])(?P<v>[^\"'`]*)(?P=p)")
+CONCAT = re.compile(r"(?P<q>[\"'`])\s*\+\s*(?P<p>[\"'`])(?P<v>[^\"'`]*)(?P=p)")
 CONFIG = ("yml", "yaml", "ini", "env", "properties", "toml", "cfg", "conf", "tf", "tfvars")
 
 
@@ -163,6 +173,96 @@ def _basic(value: str) -> bool:
     return bool(sep) and plausible(password)
 
 
+def _names(line: str) -> list[tuple[int, int]]:
+    """(start, end) of every name of a secret on a line; names may overlap."""
+    out = []
+    m = NAME.search(line)
+    while m:
+        out.append(m.span())
+        if " " in m[0] and (short := NAME.match(line, m.start(), m.start() + m[0].index(" "))):
+            out.append(short.span())
+        m = NAME.search(line, m.start() + 1)
+    return out
+
+
+def _scheme(line: str, end: int) -> bool:
+    """Whether a URL scheme, with a letter in it, ends at `end`."""
+    while end > 0 and (line[end - 1].isascii() and line[end - 1].isalnum() or line[end - 1] in "+.-"):
+        end -= 1
+        if line[end].isalpha():
+            return True
+    return False
+
+
+def _jwt_spans(line: str) -> list[tuple[int, int]]:
+    spans, at = [], 0
+    while m := JWT.search(line, at):
+        head = JWT_HEAD.search(line, m.start(), m.end("head"))
+        at = m.end() if head else m.end("head")
+        if head and _jwt(line[head.start() : m.end()]):
+            spans.append((head.start(), m.end()))
+    return spans
+
+
+def _option_spans(line: str, names: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Values of command options: a dash, a name of a secret in the same run, and a value."""
+    spans: list[tuple[int, int]] = []
+    done = run = -1
+    for a, b in names:
+        if a < done:
+            continue
+        if b > run:
+            run = OPTION_RUN.match(line, b).end()
+        dash = line.rfind("-", 0, a)
+        if dash < 0 or WORD.match(line, dash + 1, a).end() < a:
+            continue
+        m = OPTION.match(line, run)
+        if m and plausible(m["v"]):
+            spans.append(m.span("v"))
+            done = m.end()
+    return spans
+
+
+def _assigned_spans(line: str, names: list[tuple[int, int]], ext: str, comment: re.Match | None) -> list[tuple[int, int]]:
+    spans: list[tuple[int, int]] = []
+    config = ext in CONFIG or ext.endswith("env")
+    done = run = -1
+    for a, b in names:
+        if a < done or b <= run:  # the run after a name has been looked at
+            continue
+        run = RUN.match(line, b).end()
+        m = ASSIGNED.match(line, run)
+        if m is None:
+            continue
+        done = m.end()
+        name = PREFIX.search(line, max(0, a - 80), a)[0] + line[a:run]
+        quoted = m["v"]
+        value = quoted if quoted is not None else m["u"]
+        span = m.span("v") if quoted is not None else m.span("u")
+        if not _assigned(line, name, value, quoted is not None, m, ext, config, comment and comment.start() < a, run):
+            if len(value) > LOOSE:
+                done = span[0] if quoted is not None else span[0] + LOOSE
+            continue
+        spans.append(span)
+    return spans
+
+
+def _assigned(line: str, name: str, value: str, quoted: bool, m: re.Match, ext: str, config: bool, commented: bool | None, run: int) -> bool:
+    """Whether the value that is assigned to a name is a credential."""
+    if NOT_SECRET.search(name) and not re.search(r"(?i)(password|passwd|secret|pwd|api[_-]?key)$", name):
+        return False
+    if not quoted:
+        if not config and not commented:
+            return False
+        if not config and (re.search(r"[(){}\[\]<>]", value) or "," in line[run : m.start("u")]):
+            return False
+    elif (c := CONCAT.match(line, m.end("v"))) is not None:
+        value += c["v"]
+    if re.search(r"(?i)key[\"'`\]]*$", name) and not re.search(r"(?i)(?:api|access|account|signing|encrypt\w*|private|master|secret|auth|license|service|client|deploy|session|admin|storage|shared)[_\-. ]?key[\"'`\]]*$", name) and not ISSUED.search(value):
+        return False
+    return plausible(value) and not re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*|(?:[a-z]+[-_])+\d{1,3}", value)
+
+
 def line_hits(line: str, ext: str) -> list[tuple[int, int]]:
     """Spans of credentials that lie on one line (key blocks are found in the whole file)."""
     spans: list[tuple[int, int]] = []
@@ -172,12 +272,13 @@ def line_hits(line: str, ext: str) -> list[tuple[int, int]]:
             if not m[0].startswith("shpat_") and re.fullmatch(r"[a-z]{2,5}_[A-Za-z0-9]{32}", m[0]) and not re.search(r"(?=.*\d)(?=.*[A-Z])(?=.*[a-z])", m[0][3:]):
                 continue
             spans.append(m.span())
-    for m in JWT.finditer(line):
-        if _jwt(m[0]):
-            spans.append(m.span())
+    if ".eyj" in low:
+        spans += _jwt_spans(line)
     if "://" in low:
         for m in URL.finditer(line):
             v = m["v"]
+            if not _scheme(line, m.start()):
+                continue
             if not PLACEHOLDER.search(v) and not REFERENCE.search(v) and v.lower() not in ("password", "pass", "secret", "pwd", "user", "token") and (plausible(v) or len(v) >= 8 and len(set(v)) >= 5 and not re.fullmatch(r"[a-z]+|\{.*\}|%s", v)):
                 spans.append(m.span("v"))
     if "basic" in low:
@@ -192,30 +293,9 @@ def line_hits(line: str, ext: str) -> list[tuple[int, int]]:
         for m in DSN.finditer(line):
             if ";" in line[max(0, m.start() - 120) : m.end() + 60] and plausible(m["v"]):
                 spans.append(m.span("v"))
-    for m in OPTION.finditer(line):
-        if plausible(m["v"]):
-            spans.append(m.span("v"))
     comment = re.search(r"(?:^|\s)(?://|#|\*|/\*|;|<!--|--)\s", line)
-    for m in ASSIGNED.finditer(line):
-        name = PREFIX.search(line, max(0, m.start() - 80), m.start())[0] + m["name"]
-        if NOT_SECRET.search(name) and not re.search(r"(?i)(password|passwd|secret|pwd|api[_-]?key)$", name):
-            continue
-        quoted = m["v"]
-        value = quoted if quoted is not None else m["u"]
-        if quoted is None:
-            config = ext in CONFIG or ext.endswith("env")
-            if not config and not (comment and comment.start() < m.start()):
-                continue
-            if not config and (re.search(r"[(){}\[\]<>]", value) or "," in line[m.end("name") : m.start("u")]):
-                continue
-        elif (c := CONCAT.match(line[m.end("v") :])) is not None:
-            value = quoted + c["v"]
-        if re.search(r"(?i)key[\"'`\]]*$", name) and not re.search(r"(?i)(?:api|access|account|signing|encrypt\w*|private|master|secret|auth|license|service|client|deploy|session|admin|storage|shared)[_\-. ]?key[\"'`\]]*$", name) and not ISSUED.search(value):
-            continue
-        if plausible(value) and not re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*", value):
-            if re.fullmatch(r"(?:[a-z]+[-_])+\d{1,3}", value):
-                continue
-            spans.append((m.start("v"), m.end("v")) if quoted is not None else m.span("u"))
+    if names := _names(line):
+        spans += _option_spans(line, names) + _assigned_spans(line, names, ext, comment)
     if comment:
         for m in PROSE.finditer(line, comment.start()):
             v = m["v"].rstrip(".)")
@@ -224,6 +304,17 @@ def line_hits(line: str, ext: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _block_end(text: str, begin: int, end: int) -> int:
+    """Where the key block ends whose BEGIN line ends at `begin` and whose first body line ends at `end`."""
+    closing = text.find("-----END", begin)
+    if closing >= 0 and (closing < begin + 20_000 or KEY_TEXT.match(text, begin, closing).end() == closing and "-----BEGIN" not in text[begin:closing]):
+        return closing
+    while body := BODY.match(text, end):  # no END of its own: as far as the body goes on
+        end = body.end("v")
+    last = BODY_END.match(text, end)
+    return last.end("v") if last else end
+
+
 def text_hits(text: str, ext: str) -> list[tuple[int, int]]:
     """Character spans (start, end) of all credentials of a file, sorted; overlapping ones are merged."""
     low = text.lower()
@@ -241,15 +332,11 @@ def text_hits(text: str, ext: str) -> list[tuple[int, int]]:
         stop = len(text) if stop < 0 else stop
         done = stop
         line = text[start:stop]
-        for i in range(0, max(1, len(line)), 4000):  # a very long line goes in overlapping windows
-            window = line[max(0, i - 500) : i + 4000]
-            at = start + max(0, i - 500)
-            spans += [(at + a, at + b) for a, b in line_hits(window, ext)]
+        spans += [(start + a, start + b) for a, b in line_hits(line, ext)]
         for m in BLOCK.finditer(text, start, stop):
             body = BODY.match(text, m.end())
             if body and len(set(body["v"])) > 6:
-                closing = text.find("-----END", m.end())
-                spans.append((m.start(), closing if 0 <= closing < m.end() + 20_000 else body.end("v")))
+                spans.append((m.start(), _block_end(text, m.end(), body.end("v"))))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a < merged[-1][1]:
