@@ -1,13 +1,14 @@
 """Splitting oversized items at natural boundaries (problem 6), without loading whole files.
 
-Files are cut into byte ranges with a halo on the left; every cut of an item is decided inside one range:
+1. A map over byte ranges of the files (with a halo of a few bytes) emits the table of boundaries: where a cut may
+   lie, by kind.  A lesser kind is listed only where the kinds above it leave more than a piece's room, so the table is
+   a fraction of the bytes.
+2. The tables of a file's ranges meet its items, sorted by range, and every item is walked: a piece ends at the best
+   boundary within `limit` of its start, the next one starts `overlap` before that.
 
-* cut k of an item lies in the `slack` bytes that end at start + k * stride, so cuts need no order of work;
-* the best boundary there wins: blank line, line end, sentence or statement end, white space, any character;
-* the table of cuts is stitched by a window over the item: piece k runs from cut k - overlap to cut k + 1.
-
-stride + slack + overlap + 3 <= limit, so no piece is too long whatever the cuts are.  Only the ranges of files
-that hold an oversized item are shuffled; an item of any length is spread over the ranges it crosses.
+The best boundary is the last blank line in the second half of the piece, else its last line end, sentence or statement
+end, white space, or any character.  A boundary inside the overlap with the piece before does not count: a piece that
+ended there would not go beyond that piece.  Only ranges and tables of files that hold an oversized item are shuffled.
 
 Defined results: null, swapped or negative spans, spans beyond the content and items of at most `limit` bytes give
 no piece; repeated rows count once; of several versions of a file the latest with content holds; CRLF is not
@@ -16,52 +17,90 @@ split; bytes that are no UTF-8 may be cut anywhere, characters are never cut.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RANGE = 65_536
 
 
-def _continues(byte: int) -> bool:
-    return byte & 0xC0 == 0x80
-
-
-def char_start(data: bytes, at: int) -> int:
-    """The position at or up to 3 bytes before `at` at which no character is cut."""
-    for back in range(4):
-        if at - back <= 0 or at - back >= len(data) or not _continues(data[at - back]):
-            return max(0, at - back)
+HALO = 4
+KINDS = ("blank", "line", "sentence", "space")
+
+
+def _beyond(lesser: np.ndarray, better: np.ndarray, room: int, first: int, last: int) -> np.ndarray:
+    """The lesser boundaries in stretches of `room` or more without a better one; stretches at an edge count as long."""
+    edges = np.concatenate([[first - room], better, [last + room]])
+    at = np.searchsorted(edges, lesser, "right")
+    return lesser[edges[np.minimum(at, len(edges) - 1)] - edges[at - 1] >= room]
+
+
+def boundaries(data: bytes, first: int, last: int, room: int) -> dict[str, np.ndarray]:
+    """Where data may be cut in (first, last], as numbers of bytes on the left, by kind; `inner`: where it must not be."""
+    x = np.frombuffer(data, np.uint8)
+    before = np.concatenate([np.zeros(HALO, np.uint8), x])  # before[p + HALO - i]: byte p - i
+
+    def back(i: int) -> np.ndarray:
+        return before[first + 1 + HALO - i : last + 1 + HALO - i]
+
+    b1, b2, b3 = back(1), back(2), back(3)
+    nl = b1 == 10
+    blank = nl & ((b2 == 10) | (b2 == 13) & (b3 == 10))
+    sentence = (b1 == 32) & np.isin(b2, np.frombuffer(b";}.!?:,", np.uint8))
+    for mark in "。！？；":
+        c3, c2, c1 = mark.encode()
+        sentence |= (b1 == c1) & (b2 == c2) & (b3 == c3)
+    here = np.arange(first + 1, last + 1)
+    out = {"blank": here[blank], "line": here[nl]}
+    out["sentence"] = _beyond(here[sentence], out["line"], room, first, last)
+    better = np.union1d(out["line"], out["sentence"])
+    out["space"] = _beyond(here[(b1 == 32) | (b1 == 9)], better, room, first, last)
+    after = np.concatenate([x, [0]])[first + 1 : last + 1]
+    out["inner"] = here[(after & 0xC0 == 0x80) | (b1 == 13) & (after == 10)]
+    return out
+
+
+def char_start(inner: np.ndarray, at: int) -> int:
+    """The position at or up to 3 bytes before `at` at which no character and no CRLF is cut."""
+    for p in range(at, at - 4, -1):
+        i = np.searchsorted(inner, p)
+        if i == len(inner) or inner[i] != p:
+            return p
     return at
 
 
-def best_cut(data: bytes, first: int) -> int:
-    """The best position to cut in [first, len(data)): the number of bytes of data to keep on the left."""
-    for mark, skip in ((b"\n\n", 2), (b"\r\n\r\n", 4), (b"\n", 1)):
-        at = data.rfind(mark, first - skip)
-        if at >= 0 and first <= at + skip < len(data):
-            return at + skip
-    ends = [data.rfind(m, first - 2, -1) + 2 for m in (b"; ", b"} ", b". ", b"! ", b"? ", b": ", b", ")]
-    ends += [data.rfind(m.encode(), first - 3, -1) + 3 for m in "。！？；"]
-    if (at := max(ends)) >= first:
-        return at
-    if (at := max(data.rfind(b" ", first - 1, -1), data.rfind(b"\t", first - 1, -1)) + 1) >= first:
-        return at
-    return max(first, char_start(data, len(data) - 1))
-
-
-def ranges(files: DataFrame, keys: DataFrame, halo: int) -> DataFrame:
-    """(repo_id, path, range_no, from_byte, bytes, n_bytes) of the latest version of the files in `keys`."""
+def walk(marks: dict[str, np.ndarray], start: int, end: int, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of an item."""
+    out = []
+    while end - start > limit:
+        least, most = start + overlap + 4, start + limit
+        for kind, first in zip(KINDS, (max(least, start + limit // 2), least, least, least), strict=True):
+            i = np.searchsorted(marks[kind], most, "right")
+            if i and marks[kind][i - 1] >= first:
+                cut = int(marks[kind][i - 1])
+                break
+        else:
+            cut = char_start(marks["inner"], most)
+        out.append((start, cut))
+        start = char_start(marks["inner"], cut - overlap)
+    return [*out, (start, end)]
+
+
+def ranges(files: DataFrame, keys: DataFrame, halo: int, after: int = 0) -> DataFrame:
+    """(repo_id, path, range_no, from_byte, bytes, n_bytes, version), with a halo on either side, of the latest version of the files in `keys`."""
     there = files.filter(F.col("raw_content").isNotNull())
     latest = there.groupBy("repo_id", "path").agg(F.coalesce(F.max("indexed_at"), F.lit(-1)).alias("at")).join(keys, ["repo_id", "path"], "left_semi")
     kept = there.select("repo_id", "path", F.coalesce("indexed_at", F.lit(-1)).alias("at"), "raw_content").join(latest, ["repo_id", "path", "at"], "left_semi")
-    sized = kept.withColumn("n_bytes", F.octet_length("raw_content"))
+    sized = kept.withColumn("n_bytes", F.octet_length("raw_content")).withColumn("version", F.xxhash64("raw_content"))
     numbered = sized.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(n_bytes - 1, 0) div {RANGE} as int)"))).alias("range_no"))
     start = F.greatest(F.lit(0), F.col("range_no") * RANGE - halo)
     return numbered.select(
-        "repo_id", "path", "range_no", "n_bytes", start.alias("from_byte"),
-        F.substring("raw_content", start + 1, (F.col("range_no") + 1) * RANGE - start).alias("bytes"),
+        "repo_id", "path", "range_no", "n_bytes", "version", start.alias("from_byte"),
+        F.substring("raw_content", start + 1, (F.col("range_no") + 1) * RANGE + after - start).alias("bytes"),
     )
 
 
@@ -72,55 +111,66 @@ def oversized(symbols: DataFrame, limit: int) -> DataFrame:
 
 def pieces(symbols: DataFrame, files: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
     """(id, piece_no, start_byte, end_byte) of every item longer than `limit`; byte offsets into the file."""
-    room = limit - overlap - 3
-    stride = room * 7 // 9
-    slack = room - stride
-    if stride <= overlap or slack < 8:
+    room = limit - overlap - 8
+    if overlap < 0 or room < 8:
         raise ValueError("the overlap leaves no room for a piece")
-    halo = slack + overlap + 8
     wide = oversized(symbols, limit)
-    count = F.expr(f"cast((end_byte - start_byte - 1) div {stride} as int)")
-    windows = wide.select("*", F.explode(F.sequence(F.lit(1), count)).alias("k"))
-    windows = windows.withColumn("right", F.col("start_byte") + F.col("k") * stride)
-    windows = windows.withColumn("range_no", F.expr(f"cast((right - 1) div {RANGE} as int)"))
-    spread = ranges(files, wide.select("repo_id", "path").distinct(), halo)
-
-    @F.pandas_udf("struct<cut:int,back:int>")
-    def cut(data: pd.Series, first: pd.Series) -> pd.DataFrame:
-        cuts, backs = [], []
-        for d, f in zip(data, first, strict=True):
-            d = bytes(d)
-            # the slice holds a byte beyond the window, to see whether a character goes on there
-            c = best_cut(d, f)
-            cuts.append(c)
-            backs.append(char_start(d, c - overlap) if c > overlap else 0)
-        return pd.DataFrame({"cut": cuts, "back": backs})
-
-    left = F.greatest(F.col("from_byte"), F.col("right") - slack - overlap - 4)
-    seen = (
-        windows.join(spread, ["repo_id", "path", "range_no"])
-        .filter(F.col("end_byte") <= F.col("n_bytes"))
-        .withColumn("left", left)
-        .select(
-            "id", "repo_id", "path", "start_byte", "end_byte", "k", "left",
-            cut(F.substring("bytes", F.col("left") - F.col("from_byte") + 1, F.col("right") + 1 - F.col("left")), F.col("right") - slack - F.col("left")).alias("c"),
-        )
-        .dropDuplicates(["id", "repo_id", "path", "start_byte", "end_byte", "k"])
-    )
-    item = W.partitionBy("id", "repo_id", "path", "start_byte", "end_byte").orderBy("k")
-    cuts = seen.select("*", (F.col("left") + F.col("c.cut")).alias("at"), (F.col("left") + F.col("c.back")).alias("back"))
-    stitched = cuts.withColumn("next", F.coalesce(F.lead("at").over(item), "end_byte"))
-    # the first cut also emits the first piece
-    both = F.when(
-        F.col("k") == 1,
-        F.array(
-            F.struct(F.lit(0).alias("piece_no"), F.col("start_byte").alias("a"), F.col("at").alias("b")),
-            F.struct(F.col("k").alias("piece_no"), F.greatest("start_byte", "back").alias("a"), F.col("next").alias("b")),
-        ),
-    ).otherwise(F.array(F.struct(F.col("k").alias("piece_no"), F.greatest("start_byte", "back").alias("a"), F.col("next").alias("b"))))
-    return stitched.select("id", "repo_id", "path", F.explode(both).alias("p")).select(
-        "id", "repo_id", "path", F.col("p.piece_no"), F.col("p.a").cast("int").alias("start_byte"), F.col("p.b").cast("int").alias("end_byte")
-    )
+    lists = [*KINDS, "inner"]
+
+    @F.pandas_udf(", ".join(f"{k} binary" for k in lists).join(["struct<", ">"]).replace(" binary", ":binary"))
+    def table(data: pd.Series, from_byte: pd.Series, range_no: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d, at, no in zip(data, from_byte, range_no, strict=True):
+            found_ = boundaries(bytes(d), no * RANGE - at, min((no + 1) * RANGE - at, len(d)), room)
+            rows.append([(found_[k] + at).astype(np.int32).tobytes() for k in lists])
+        return pd.DataFrame(rows, columns=lists)
+
+    reach = wide.groupBy("repo_id", "path").agg(F.min("start_byte").alias("lo"), F.max("end_byte").alias("hi"))
+    there = ranges(files, wide.select("repo_id", "path").distinct(), HALO, 1).join(reach, ["repo_id", "path"])
+    there = there.filter(((F.col("range_no") + 1) * RANGE >= F.col("lo") - HALO) & (F.col("range_no") * RANGE <= F.col("hi")))
+    tables = there.select("repo_id", "path", F.lit(1).alias("kind"), "version", "range_no", "n_bytes", table("bytes", "from_byte", "range_no").alias("t"))
+    items = wide.select("repo_id", "path", F.lit(0).alias("kind"), "id", "start_byte", "end_byte")
+    met = items.unionByName(tables.select("repo_id", "path", "kind", "version", "range_no", "n_bytes", "t.*"), allowMissingColumns=True)
+    order = ["repo_id", "path", "kind", "version", "range_no"]
+    met = met.filter(F.col("repo_id").isNotNull() & F.col("path").isNotNull()).repartition("repo_id", "path").sortWithinPartitions(*order)
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "repo_id", "path", "piece_no", "start_byte", "end_byte"]
+        types = [pa.string()] * 3 + [pa.int32()] * 3
+        out: list[tuple] = []
+        key, spans, version, size, seen, marks = None, [], None, 0, -1, {k: [] for k in lists}
+
+        def close() -> None:
+            if not spans or version is None:
+                return
+            whole = {k: np.frombuffer(b"".join(v), np.int32) for k, v in marks.items()}
+            for i, a, b in spans:
+                if b <= size:
+                    out.extend((i, *key, n, *piece) for n, piece in enumerate(walk(whole, a, b, limit, overlap)))
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["repo_id"], r["path"]) != key:
+                    close()
+                    key, spans, version, size, seen, marks = (r["repo_id"], r["path"]), [], None, 0, -1, {k: [] for k in lists}
+                if r["kind"] == 0:
+                    spans.append((r["id"], r["start_byte"], r["end_byte"]))
+                elif version in (None, r["version"]) and r["range_no"] > seen:  # one content, each range once
+                    version, size, seen = r["version"], r["n_bytes"], r["range_no"]
+                    for k in lists:
+                        marks[k].append(r[k])
+            if len(out) >= 10_000:
+                yield flush()
+        close()
+        yield flush()
+
+    return met.mapInArrow(walked, "id string, repo_id string, path string, piece_no int, start_byte int, end_byte int")
 
 
 def emit(pieces_: DataFrame, files: DataFrame, limit: int = 2000) -> DataFrame:

@@ -119,6 +119,30 @@ def test_split_spans_ranges(spark):
     assert got[-1].end_byte == len(body)
 
 
+def test_split_ends_at_lines(spark):
+    """A piece ends in mid-line only if no line end beyond the overlap lies within its 2,000 bytes."""
+    rng = np.random.default_rng(5)
+    lines = [("a" * 9 + " ") * int(n) for n in rng.choice([1, 3, 6, 90, 130, 170, 250], 900)]
+    body = "\n".join(lines).encode() + b"\n" + "é; ".encode() * 3000 + b"\r\n" * 2500 + "🚧".encode() * 3000
+    f = file_rows(spark, [("r", "a.py", body), ("r", "a.py", body)])
+    data = [("1", 0, len(body)), ("2", 12345, 200_000), ("3", 65_000, 67_500), ("4", 64_000, 131_100)]
+    s = spark.createDataFrame([(i, "r", "f", "function", "a.py", a, b, None, None) for i, a, b in data], SYMBOLS)
+    got = split.pieces(s, f).collect()
+    for i, start, end in data:
+        mine = sorted((r for r in got if r.id == i), key=lambda r: r.piece_no)
+        assert [r.piece_no for r in mine] == list(range(len(mine))) and mine[0].start_byte == start and mine[-1].end_byte == end
+        for a, b in itertools.pairwise(mine):
+            assert 200 <= a.end_byte - b.start_byte <= 203
+            part = body[a.start_byte : a.start_byte + 2000]
+            assert a.end_byte - a.start_byte <= 2000 and body[a.end_byte - 1 : a.end_byte + 1] != b"\r\n"
+            if b"\n" in part[203:]:
+                assert part[a.end_byte - a.start_byte - 1] == 10, (i, a)
+            elif b" " in part[203:]:
+                assert part[a.end_byte - a.start_byte - 1] == 32, (i, a)
+            body[a.end_byte : a.end_byte + 4].decode("utf-8", "ignore")
+            assert body[a.end_byte] & 0xC0 != 0x80 and body[b.start_byte] & 0xC0 != 0x80
+
+
 def test_cooccur_edges(spark):
     schema = "repo_id string, commit_sha string, file_path string, commit_date bigint"
     data = [("r", f"s{i}", p, None) for i in range(6) for p in ("a", "./b")] + [("r", "s1", "a", 5), ("r", "s1", None, 5), (None, "s", "a", 1), ("r", None, "a", 1)] + [("r", f"t{i}", "c", 1) for i in range(30)] + [("r", "big", f"f{i}", 1) for i in range(50)] + [("r", "big", "a", 1), ("r", "big", "b", 1)]
