@@ -2,7 +2,7 @@
 
 1. Vectors are checked, scaled to length one and routed to shards: centroids are fitted on a bounded sample
    (`sample` rows, a parameter), every vector is indexed in the shard of its nearest centroid and queried against
-   the shards of its `probes` nearest centroids.  A shard that the sample shows to outgrow `shard_rows` twice is
+   the shards of its nearest centroids (`probes`, more where there are many).  A shard that the sample shows to outgrow `shard_rows` twice is
    divided by a hash of the id, and queries of that shard go to all its parts.
 2. In a shard a graph is built: neighbours proposed inside blocks and then by greedy searches from every vector are
    pruned so that an edge stays only if no kept neighbour is `alpha` times closer to its end; reverse edges are added.
@@ -268,6 +268,11 @@ def fit_centroids(sample: np.ndarray, parts: int, seed: int = 3, rounds: int = 1
     return c.astype(np.float32)
 
 
+def visits(probes: int, shards: int) -> int:
+    """Shards that a vector is queried against: they grow with the root of the number of shards, from `probes` up."""
+    return min(shards, max(probes, math.ceil(probes * math.sqrt(shards) / 6)))
+
+
 def _census(vectors: DataFrame) -> DataFrame:
     """(provider, dim, id, h): usable rows without their vectors."""
 
@@ -329,7 +334,7 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
                         continue
                     mine = names == p
                     y, ids = x[mine], b.column(0).take(pa.array(at[mine]))
-                    take = min(probes, len(c))
+                    take = visits(probes, len(c))
                     s = y @ c.T
                     near = np.argsort(-s, axis=1, kind="stable")[:, :take] if take > 1 else np.argmax(s, 1)[:, None]
                     raw = pa.array([v.tobytes() for v in y], pa.binary())

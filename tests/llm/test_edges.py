@@ -77,6 +77,18 @@ def test_vector_edges(spark):
     assert rows(vectorgraph.found(v.limit(0))) == []
 
 
+def test_neighbours_recall_with_many_shards(spark):
+    rng = np.random.default_rng(2)
+    x = np.tanh(rng.standard_normal((3000, 10)) @ rng.standard_normal((10, 32))) + 0.05 * rng.standard_normal((3000, 32))
+    v = spark.createDataFrame([(f"{i:05d}", "r", list(map(float, e)), 32, "p") for i, e in enumerate(x)], "symbol_id string, repo_id string, embedding array<float>, dimension int, provider string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"{i:05d}", f"{j:05d}") for i, row in enumerate(np.argsort(-s, 1)[:, :5]) for j in row}
+    got = {(r.id, r.neighbour) for r in vectorgraph.neighbours(v, shard_rows=10).collect()}
+    assert len(got & want) / len(want) >= 0.98  # six visits reach 0.962 at most
+
+
 def test_docpair_edges(spark):
     data = [("1", "r", "f", "function", "a.py", 0, 9, "def f(x)", "Drops rows that nobody reads."), ("1", "r", "f", "function", "a.py", 0, 9, "def f(x)", "Drops rows that nobody reads."), ("2", "r", "g", "method", "a.py", 0, 9, None, "Drops rows that nobody reads."),
             ("3", "r", "g", "method", "a.py", 0, 9, " ", "Drops rows that nobody reads."), ("4", "r", "g", "method", "a.py", 0, 9, "g()", None), ("5", "r", "g", "method", "a.py", 0, 9, "g()", "  "), (None, "r", "g", "method", "a.py", 0, 9, "g()", "Drops rows that nobody reads."),
