@@ -13,7 +13,8 @@ Only (vector, shard) rows and k answers per row are shuffled; nothing is compare
 
 Defined results: null, empty, short, all-zero vectors and ones that hold null, NaN or infinity are left out, as are
 null ids and providers; providers and lengths are never mixed; a repeated row counts once, and of several vectors of
-one id the one with the smallest hash holds; ties in similarity go to the smaller id; an empty table gives no rows.
+one id the one with the smallest hash holds; ties in similarity go to the smaller id (equal unit vectors
+are searched as one and told apart by id afterwards); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import cut
+
 INPUT = ["symbol_id", "provider", "dimension", "embedding"]
 
 
@@ -46,7 +49,7 @@ def usable(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         good = np.isfinite(norm) & (norm > 0)
         if good.any():
-            yield int(d), at[good], (x[good] / norm[good, None]).astype(np.float32)
+            yield int(d), at[good], (x[good] / norm[good, None]).astype(np.float32) + np.float32(0)  # no negative zeros
 
 
 def _hashes(x: np.ndarray) -> np.ndarray:
@@ -309,17 +312,17 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
     census = _census(vectors)
     per_id = census.groupBy("provider", "dim", "id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # one row per provider and length: what the vectors were made by, not how many there are
-    groups = per_id.groupBy("provider", "dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("torn")).collect()
+    groups = per_id.groupBy("provider", "dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.countDistinct("lo").alias("distinct")).collect()
     centroids: dict[tuple[str, int], np.ndarray] = {}
     parts: dict[tuple[str, int], list[int]] = {}
     for g in groups:
         key = (g["provider"], g["dim"])
-        shards = min(4096, math.ceil(g["n"] / shard_rows))
+        shards = min(4096, math.ceil(g["distinct"] / shard_rows))
         if shards > 1:
-            x = _sample(vectors, *key, min(1.0, sample / g["n"]), 2 * sample)
+            x = np.unique(_sample(vectors, *key, min(1.0, sample / g["n"]), 2 * sample), axis=0)
             centroids[key] = c = fit_centroids(x, shards)
             share = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)) / max(1, len(x))
-            parts[key] = [max(1, round(r * g["n"] / shard_rows)) if r * g["n"] > 2 * shard_rows else 1 for r in share]
+            parts[key] = [max(1, round(r * g["distinct"] / shard_rows)) if r * g["distinct"] > 2 * shard_rows else 1 for r in share]
         else:
             centroids[key], parts[key] = np.zeros((1, g["dim"]), np.float32), [1]
 
@@ -357,6 +360,12 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
         held = per_id.filter(F.col("lo") != F.col("hi")).select("provider", "dim", "id", "lo")
         routed = routed.join(held, ["provider", "dim", "id"], "left").filter(F.col("lo").isNull() | (F.col("lo") == F.col("h")))
     routed = routed.drop("h", "lo")
+    # equal vectors are searched as one, the one with the smallest id
+    twins = any(g["distinct"] < g["n"] for g in groups)
+    if twins:
+        alike = per_id.groupBy("provider", "dim", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
+        copies = cut(per_id.select("provider", "dim", "id", "lo").join(alike, ["provider", "dim", "lo"]).select("provider", "dim", "id", "first"))
+        routed = routed.join(copies.filter("id <> first"), ["provider", "dim", "id"], "left_anti")
 
     def answer(t: pa.Table) -> pa.Table:
         names = ["provider", "dim", "id", "neighbour", "similarity"]
@@ -386,7 +395,26 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
     both = answers.select("provider", "dim", "similarity", F.explode(ends).alias("e")).select("provider", "dim", "e.id", "e.neighbour", "similarity")
     once = both.groupBy("provider", "dim", "id", "neighbour").agg(F.max("similarity").alias("similarity"))
     best = W.partitionBy("provider", "dim", "id").orderBy(F.desc("similarity"), "neighbour")
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return _expanded(ranked.drop("rank"), copies, k, at_least) if twins else ranked
+
+
+def _expanded(near: DataFrame, copies: DataFrame, k: int, at_least: float) -> DataFrame:
+    """`near`, found for the first of equal vectors, with the rank for all copies (id, first); no more than the k + 1
+    smallest ids of a group can be anyone's neighbours."""
+    by_id = W.partitionBy("provider", "dim", "first").orderBy("id")
+    smallest = copies.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
+    members = smallest.groupBy("provider", "dim", F.col("first").alias("neighbour")).agg(F.collect_list("id").alias("ids"))
+    own = members.select("provider", "dim", F.col("neighbour").alias("id"), "neighbour", F.lit(1.0).cast("float").alias("similarity")).filter(F.lit(at_least <= 1))
+    wide = near.select("provider", "dim", "id", "neighbour", "similarity").unionByName(own).join(members, ["provider", "dim", "neighbour"], "left")
+    wide = wide.select("provider", "dim", "id", "similarity", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"))
+    best = W.partitionBy("provider", "dim", "id").orderBy(F.desc("similarity"), "neighbour")
+    most = wide.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+    lists = most.groupBy("provider", "dim", F.col("id").alias("first")).agg(F.collect_list(F.struct("rank", "neighbour", "similarity")).alias("list"))
+    every = lists.join(copies, ["provider", "dim", "first"], "left").withColumn("id", F.coalesce("id", "first"))
+    others = F.filter(F.array_sort("list"), lambda e: e["neighbour"] != F.col("id"))
+    out = every.select("provider", "dim", "id", F.posexplode(F.slice(others, 1, k)).alias("at", "e"))
+    return out.select("provider", "dim", "id", "e.neighbour", "e.similarity", (F.col("at") + 1).alias("rank"))
 
 
 def found(vectors: DataFrame, min_similarity: float = 0.9, probes: int = 2, effort: int = 1) -> DataFrame:

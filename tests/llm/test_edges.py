@@ -89,6 +89,23 @@ def test_neighbours_recall_with_many_shards(spark):
     assert len(got & want) / len(want) >= 0.98  # six visits reach 0.962 at most
 
 
+def test_equal_vectors_pair_by_smallest_id(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    x[50:150] = x[7]
+    x[200:203] = x[9]
+    v = spark.createDataFrame([(f"{i:05d}", "r", list(map(float, e)), 16, "p") for i, e in enumerate(x)], "symbol_id string, repo_id string, embedding array<float>, dimension int, provider string")
+    first = ["00007", *(f"{i:05d}" for i in range(50, 55))]
+    few = ["00009", "00200", "00201", "00202"]
+    want = {p for g in (first, few) for p in itertools.combinations(g, 2)}
+    near = {}
+    for r in vectorgraph.neighbours(v, shard_rows=40).collect():
+        near.setdefault(r.id, {})[r.rank] = r.neighbour
+    assert len(near) == 300 and all(sorted(n) == [1, 2, 3, 4, 5] and len(set(n.values())) == 5 and i not in n.values() for i, n in near.items())
+    assert list(map(near["00120"].get, range(1, 6))) == first[:5] and list(map(near["00050"].get, range(1, 6))) == [i for i in first if i != "00050"]
+    assert set(rows(vectorgraph.found(v, min_similarity=0.999))) == want
+
+
 def test_docpair_edges(spark):
     data = [("1", "r", "f", "function", "a.py", 0, 9, "def f(x)", "Drops rows that nobody reads."), ("1", "r", "f", "function", "a.py", 0, 9, "def f(x)", "Drops rows that nobody reads."), ("2", "r", "g", "method", "a.py", 0, 9, None, "Drops rows that nobody reads."),
             ("3", "r", "g", "method", "a.py", 0, 9, " ", "Drops rows that nobody reads."), ("4", "r", "g", "method", "a.py", 0, 9, "g()", None), ("5", "r", "g", "method", "a.py", 0, 9, "g()", "  "), (None, "r", "g", "method", "a.py", 0, 9, "g()", "Drops rows that nobody reads."),
