@@ -54,6 +54,7 @@ VENDOR_HEAD = re.compile(
     r"(?i)(^\W*!?\s*@?(?:license\s+)?[\w.\-/@]+\s+v?\d+\.\d+(?:\.\d+)?\S*\s*(?:$|\*/|[|\-–—(,].*)|@license\s+[\w.\-/@]+ v?\d+\.\d+|\b(?:copied|vendored|taken|imported|forked|adapted|borrowed|ported|synced|mirrored|backported)(?: verbatim| unchanged)? from (?:upstream|the|https?:|github|gitlab|npm|pypi|\S+@\d|\S+ v?\d)|\bkeep in sync with (?:their|upstream)|\bupstream(?: version|:| source| release)|"
     r"\(c\)\s*\d{4}(?:[-–,]\s*\d{4})? (?:the )?(?!contributors of this)[\w.\-]+ (?:authors|contributors|team|project|developers|foundation|inc|ltd|gmbh)|copyright\s*(?:\(c\)|©)?\s*\d{4}.{0,20}\b(?:the )?[\w.\-]+ (?:authors|contributors)|^\W*released under the (?:mit|bsd|apache|isc|mpl|lgpl|gpl)\b|\bsee https?://\S+ for (?:the )?(?:license|licence|original))"
 )
+LINE = re.compile(r"[^\n]+")
 COMMENT_LINE = re.compile(r'^\s*(?://|#|/\*|\*|<!--|--(?=\s)|;(?=\s)|"""|\'\'\')')
 STRIP = {
     "py": re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|#[^\n]*'),
@@ -63,16 +64,30 @@ LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[-+]?\
 CODE = ("py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "go", "java", "c", "cc", "cpp", "h", "hpp", "rs", "rb", "php", "cs", "kt", "swift", "scala", "lua", "css")
 
 
+#: What compilers to JavaScript leave, anywhere in a file.
+SOURCE_MAP = re.compile(r"^//[#@] sourceMappingURL=", re.M)
+ES_MODULE = re.compile(r'(?:^|;)[ \t]*Object\.defineProperty\(exports, "__esModule"', re.M)
+SCRIPT = ("js", "mjs", "cjs", "jsx", "ts", "tsx", "css")
+
+
+def _one_dense_line(text: str) -> bool:
+    """Whether a short script is one line of several statements with hardly a space, as a minifier writes it."""
+    line = text.strip()
+    code = LITERAL.sub("", line)
+    marks = sum(map(code.count, ";{}"))
+    return "\n" not in line and marks >= 5 and line.count(" ") < 0.12 * len(line) and marks + code.count("(") + code.count(")") > 0.08 * len(line)
+
+
 def _ext(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
 
 
 def head_lines(text: str) -> list[str]:
-    """The comment lines before the first line of code, 40 at most of them; a generator writes its mark there."""
+    """The comment lines before the first line of code, however many; a generator writes its mark there."""
     out: list[str] = []
     inside = ""
-    for line in text.split("\n", 200)[:200]:
-        s = line.strip()
+    for m in LINE.finditer(text):
+        s = m[0].strip()
         if inside:
             out.append(s)
             if inside in s:
@@ -98,8 +113,8 @@ def says(path: str, text: str) -> str | None:
         return "vendored"
     if GENERATED_NAME.search(name) or any(s in GENERATED_DIR for s in steps[:-1]):
         return "generated"
-    head = [re.sub(r"^\W*(?:\*/)?", "", h) if not h.startswith(("<", "@")) else h for h in head_lines(text)]
     raw = head_lines(text)
+    head = [re.sub(r"^\W*(?:\*/)?", "", h) if not h.startswith(("<", "@")) else h for h in raw]
     if not any(HAND_HEAD.search(h) for h in raw):
         for h, r in zip(head, raw, strict=True):
             quoted = r.startswith(('"""', "'''"))
@@ -108,12 +123,12 @@ def says(path: str, text: str) -> str | None:
             if not quoted and VENDOR_HEAD.search(h):
                 return "vendored"
     ext = _ext(path)
-    if ext not in CODE or len(text) < 400:
+    if ext not in CODE:
         return None
-    tail = text[-300:]
-    start = text[:400]
-    if re.search(r"^//[#@] sourceMappingURL=", tail, re.M) or 'defineProperty(exports, "__esModule"' in start and "require(" in text and re.search(r"\b_\w+", text):
+    if SOURCE_MAP.search(text) or ('defineProperty(exports, "__esModule"' in text[:400] or ES_MODULE.search(text)) and "require(" in text and re.search(r"\b_\w+", text):
         return "generated"
+    if len(text) < 400:
+        return "minified" if ext in SCRIPT and _one_dense_line(text) else None
     solid = len(text) - sum(text.count(c) for c in " \t\n")
     lines = text.split("\n")
     long = [x for x in lines if len(x) > 400]

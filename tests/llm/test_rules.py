@@ -189,6 +189,25 @@ def test_handwritten(path, text, want):
     assert handwritten.says(path, text) == want
 
 
+PLAIN = "export function add(first, second) {\n  return first + second;\n}\n"
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("src/a.js", PLAIN * 10 + "//# sourceMappingURL=data:application/json;base64," + "eyJ2ZXJzaW9uIjozfQ" * 90 + "\n", "generated"),
+        ("src/a.js", PLAIN + "//# sourceMappingURL=a.js.map\n", "generated"),
+        ("src/a.js", "/*\n" + " * Words of some licence text.\n" * 30 + ' */\n"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\nconst _a = require("./b");\n' + PLAIN * 5, "generated"),
+        ("src/a.py", "# Words of some licence text.\n" * 650 + "# Code generated by x. DO NOT EDIT.\na = 1\n", "generated"),
+        ("src/a.js", "!function(e){var t=1;e.a=function(n){return n+t};e.b=t;e.c=e.a(t)}(this);\n", "minified"),
+        ("src/a.js", "module.exports=require('./lib');\n", None), ("src/a.js", PLAIN, None), ("src/a.js", 'import { a } from "./a"; import { b } from "./b"; export { a, b };\n', None),
+        ("src/a.js", PLAIN * 20 + "const mark = 'Object.defineProperty(exports, \"__esModule\"'; // _x require(\n", None),
+    ],
+)
+def test_marks_anywhere_in_a_file(path, text, want):
+    assert handwritten.says(path, text) == want
+
+
 def test_licence_line_hides_no_copy():
     code = "def f(a):\n    return a + 1\n" * 10
     assert handwritten.leaf_hash("a.py", code) == handwritten.leaf_hash("b/c.py", "# Copyright us\n\n" + code.replace("\n", "\r\n"))
