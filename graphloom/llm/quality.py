@@ -1,9 +1,10 @@
 """Per-document text quality statistics, and whether a document is natural prose (problem 10).
 
-Documents are split into chunks of a fixed number of characters; each chunk yields partial counts over its complete
-lines and the two fragments at its ends (the boundary state).  Partial counts are associative: a merge joins the
-right fragment of one chunk with the left fragment of the next, counts the lines that close, and adds the rest.  Runs
-of chunks are merged first and the runs' results after, so no task folds all chunks of a huge document one by one.
+Documents are split into chunks of a fixed number of characters (most have one); each chunk yields partial counts over
+its complete lines, how prose flows through these lines, and the two fragments at its ends (the boundary state).  States
+are associative: a merge joins the right fragment of one chunk with the left fragment of the next, counts the lines that
+close, and adds the rest, so that the size of the chunks changes no result.  States of huge documents are merged in a
+tree of fan-in `RUN`; a document of one chunk is closed in the map.
 
 Prose is decided line by line.  A line is part of a running sentence when it has enough words, most of it is letters
 and blanks, and function words hold it together (common words of any of the given languages, or else short words, as
@@ -17,6 +18,7 @@ Defined results: null text gives null statistics, empty and blank text zeros, an
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,6 +46,8 @@ SYMBOL = re.compile(r"[^\w\s]|_")
 DIGIT = re.compile(r"\d")
 AROUND = ".,;:!?'\"’‘“”«»()–—…¿¡`*_"
 NO, MAYBE, PROSE = 0, 1, 2
+SOLID = COUNTS.index("solid_chars")
+LINE_END = re.compile(r"\r\n?")
 
 
 def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
@@ -95,27 +99,90 @@ def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
     return counts, kind, ends
 
 
-def text_counts(text: str, common: frozenset) -> list[int]:
-    """Counts of all lines of a text.
-
-    A line that may be prose is, if a neighbour without a blank line between is: the line before goes on in it, or it
-    goes on in the line after.
-    """
-    total = [0] * len(COUNTS)
-    before = False  # the line before is prose and goes on
-    open_: list[int] = []  # sizes of lines that may be prose and go on in the next
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+#: A block of lines as a function of what lies before it.  Before it either a prose line goes on (T), or not (F), then
+#: with some characters pending in lines that may be prose.  [T: prose characters added, whether the block ends in prose
+#: that goes on, characters pending at its end; F: the same, whether the block claims what was pending, whether it
+#: leaves it pending]
+T_PROSE, T_ON, T_PENDING, F_PROSE, F_ON, F_PENDING, F_CLAIMS, F_PASSES = range(8)
+UNMOVED = [0, 1, 0, 0, 0, 0, 0, 1]
+
+
+def then(x: list[int], y: list[int]) -> list[int]:
+    """The flow of two blocks of lines one after the other; associative."""
+    if x[T_ON]:
+        t = y[:3]
+    else:
+        t = [y[F_PROSE] + x[T_PENDING] * y[F_CLAIMS], y[F_ON], y[F_PENDING] + x[T_PENDING] * y[F_PASSES]]
+    if x[F_ON]:
+        f = [*y[:3], x[F_CLAIMS], 0]
+    else:
+        f = [y[F_PROSE] + x[F_PENDING] * y[F_CLAIMS], y[F_ON], y[F_PENDING] + x[F_PENDING] * y[F_PASSES], x[F_CLAIMS] | x[F_PASSES] & y[F_CLAIMS], x[F_PASSES] & y[F_PASSES]]
+    return [x[T_PROSE] + t[0], *t[1:], x[F_PROSE] + f[0], *f[1:]]
+
+
+def line_flow(kind: int, ends: bool, size: int) -> list[int]:
+    """A line that may be prose is, if a neighbour without a blank line between is: the line before goes on in it, or
+    it goes on in the line after."""
+    on = int(not ends)
+    if kind == PROSE:
+        return [size, on, 0, size, on, 0, 1, 0]
+    if kind == MAYBE:
+        return [size, on, 0, 0, 0, size * on, 0, on]
+    return [0] * 8
+
+
+def block_counts(lines: list[str], common: frozenset) -> list[int]:
+    """COUNTS of whole lines, and their flow."""
+    total, flow = [0] * len(COUNTS), UNMOVED
+    for line in lines:
         c, kind, ends = line_counts(line, common)
-        if kind == PROSE or kind == MAYBE and before:
-            c[8] = c[9] + sum(open_)
-            open_, before = [], not ends
-        elif kind == MAYBE and not ends:
-            open_.append(c[9])
-            before = False
-        else:
-            open_, before = [], False
+        flow = then(flow, line_flow(kind, ends, c[SOLID]))
         total = [a + b for a, b in zip(total, c, strict=True)]
-    return total
+    return total + flow
+
+
+def joined(a: list[int], b: list[int]) -> list[int]:
+    """The counts of two neighbouring blocks of lines as those of one."""
+    n = len(COUNTS)
+    return [x + y for x, y in zip(a[:n], b[:n], strict=True)] + then(a[n:], b[n:])
+
+
+def boundary_state(chunk: str, common: frozenset) -> dict:
+    """Counts of the lines that lie whole in the chunk, and its fragments.  broken: the chunk holds a line end."""
+    lines = chunk.split("\n")
+    if len(lines) == 1:
+        return {"counts": block_counts([], common), "head": chunk, "tail": None, "broken": False}
+    return {"counts": block_counts(lines[1:-1], common), "head": lines[0], "tail": lines[-1], "broken": True}
+
+
+def join_states(states: list[dict], common: frozenset) -> dict:
+    """Neighbouring states as one; associative.  A line that spans many of them is put together once."""
+    counts, head, open_ = None, [], []
+    for s in states:
+        (head if counts is None else open_).append(s["head"])
+        if not s["broken"]:
+            continue
+        if counts is None:
+            counts = list(s["counts"])
+        else:
+            counts = joined(joined(counts, block_counts(["".join(open_)], common)), list(s["counts"]))
+        open_ = [s["tail"]]
+    if counts is None:
+        return {"counts": block_counts([], common), "head": "".join(head), "tail": None, "broken": False}
+    return {"counts": counts, "head": "".join(head), "tail": "".join(open_), "broken": True}
+
+
+def closed(state: dict, common: frozenset) -> list[int]:
+    """COUNTS of a text whose chunks were joined to `state`."""
+    first = block_counts([state["head"]], common)
+    counts = joined(joined(first, list(state["counts"])), block_counts([state["tail"]], common)) if state["broken"] else first
+    n = len(COUNTS)
+    return [*counts[: n - 2], counts[n + F_PROSE], counts[n - 1]]
+
+
+def text_counts(text: str, common: frozenset) -> list[int]:
+    """COUNTS of a text of one chunk."""
+    return closed(boundary_state(LINE_END.sub("\n", text) if "\r" in text else text, common), common)
 
 
 def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,38 +206,41 @@ def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
 
     short = spread(small.select("doc_id", "text")).mapInArrow(whole, f"doc_id {id_type}, counts array<bigint>")
 
-    # chunks end at a line end where one lies within; a line longer than a chunk grows over several
-    n = F.expr(f"cast((length(text) - 1) div {CHUNK} as int)")
-    chunks = large.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), n), lambda i: F.substring("text", i * CHUNK + 1, F.lit(CHUNK)))).alias("no", "chunk"))
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                text = LINE_END.sub("\n", text)
+                for at in range(0, len(text), size * 64):
+                    chunks = [text[j : j + size] for j in range(at, min(at + size * 64, len(text)), size)]
+                    same = pa.array([i] * len(chunks), pa.int32())
+                    numbers = pa.array(range(at // size, at // size + len(chunks)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), numbers, pa.array(chunks, pa.string())], ["row", "doc_id", "no", "chunk"])
+
+    size = CHUNK
+    chunks = large.select("row", "doc_id", "text").mapInArrow(cut_up, f"row bigint, doc_id {id_type}, no int, chunk string").repartition("row", "no")
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [boundary_state(chunk, common) for chunk in pdf["chunk"]]
             yield pd.concat([pdf[["row", "doc_id", "no"]].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
-    partial = chunks.mapInPandas(part, f"row bigint, doc_id {id_type}, no int, counts array<bigint>, head string, tail string, broken boolean")
+    schema = f"row bigint, doc_id {id_type}, no int, counts array<bigint>, head string, tail string, broken boolean"
+    states = chunks.mapInPandas(part, schema)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("no")
-        acc = None
-        for r in rows.itertuples(index=False):
-            s = {"counts": list(r.counts), "head": r.head, "tail": r.tail, "broken": bool(r.broken)}
-            acc = s if acc is None else join_states(acc, s, common)
-        return pd.DataFrame([{"row": rows["row"].iloc[0], "doc_id": rows["doc_id"].iloc[0], "no": rows["no"].iloc[0], **acc}])
+        state = join_states(rows.to_dict("records"), common)
+        return pd.DataFrame([{"row": rows["row"].iloc[0], "doc_id": rows["doc_id"].iloc[0], "no": rows["no"].iloc[0] // RUN, **state}])
 
-    schema = f"row bigint, doc_id {id_type}, no int, counts array<bigint>, head string, tail string, broken boolean"
-    runs = partial.withColumn("run", F.expr(f"no div {RUN}")).groupBy("row", "run").applyInPandas(lambda p: fold(p.drop(columns=["run"])), schema)
-
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        merged = fold(rows).iloc[0]
-        counts = list(merged["counts"])
-        fragments = [merged["head"]] if not merged["broken"] else [merged["head"], merged["tail"]]
-        for text in fragments:
-            c = text_counts(text or "", common)
-            counts = [a + b for a, b in zip(counts, c, strict=True)]
-        return pd.DataFrame([{"doc_id": merged["doc_id"], "counts": counts}])
-
-    long = runs.groupBy("row").applyInPandas(close, f"doc_id {id_type}, counts array<bigint>")
+    # a text is at most 2 GB, so that many rounds always leave one state of it
+    for _ in range(math.ceil(math.log(2**31 / size, RUN))):
+        states = states.withColumn("run", F.expr(f"no div {RUN}")).groupBy("row", "run").applyInPandas(lambda p: fold(p.drop(columns=["run"])), schema)
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "counts": [closed(s, common) for s in pdf.to_dict("records")]})
+
+    long = states.mapInPandas(close, f"doc_id {id_type}, counts array<bigint>")
     both = short.unionByName(long)
     c = {name: F.get("counts", F.lit(i)) for i, name in enumerate(COUNTS)}
 
@@ -185,26 +255,6 @@ def statistics(docs: DataFrame, common_words: DataFrame, id_col: str = "doc_id",
     )
 
 
-def boundary_state(chunk: str, common: frozenset) -> dict:
-    """Counts of the lines that lie whole in the chunk, and its fragments.  broken: the chunk holds a line end."""
-    lines = chunk.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    if len(lines) == 1:
-        return {"counts": [0] * len(COUNTS), "head": lines[0], "tail": None, "broken": False}
-    return {"counts": text_counts("\n".join(lines[1:-1]), common) if len(lines) > 2 else [0] * len(COUNTS), "head": lines[0], "tail": lines[-1], "broken": True}
-
-
-def join_states(a: dict, b: dict, common: frozenset) -> dict:
-    """Two neighbouring states as one; associative."""
-    if not a["broken"] and not b["broken"]:
-        return {"counts": a["counts"], "head": a["head"] + b["head"], "tail": None, "broken": False}
-    if not a["broken"]:
-        return {**b, "head": a["head"] + b["head"]}
-    if not b["broken"]:
-        return {**a, "tail": a["tail"] + b["head"]}
-    c = text_counts(a["tail"] + b["head"], common)
-    return {"counts": [x + y + z for x, y, z in zip(a["counts"], b["counts"], c, strict=True)], "head": a["head"], "tail": b["tail"], "broken": True}
-
-
 def found(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """(doc_id) of documents of which more than half the characters are no running sentences."""
     return statistics(docs, common_words).filter(F.col("is_prose") == F.lit(False)).select("doc_id").distinct()

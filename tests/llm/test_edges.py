@@ -240,21 +240,32 @@ def test_quality_edges(spark):
     assert rows(quality.found(docs.limit(0), common)) == []
 
 
-def test_quality_chunks_equal_whole(spark, monkeypatch):
-    """Chunks of any size give the same counts as the whole text."""
-    common = frozenset(["the", "is", "of"])
-    text = "\r\n".join(["The order of the rows is kept. " * 5, "a | b | c", "", "x" * 900, "The end of it is near."] * 30)
+def _prosaic():
+    lines = ["The order of the rows is kept by the writer of the table and", "goes on here", "a | b | c", "", "x" * 900, "The end of it is near.", "short line", "which is the rest of the sentence.", "{;}"]
+    return "\r\n".join(lines[i * j % len(lines)] for i in range(40) for j in (1, 2, 4, 5))
+
+
+def test_quality_chunks_equal_whole():
+    """Chunks of any size, joined in any grouping, give the same counts as the whole text."""
+    common = frozenset(["the", "is", "of", "by", "and"])
+    text = _prosaic()
     whole = quality.text_counts(text, common)
-    for size in (700, 1501, 4096):
-        parts = [text[i : i + size] for i in range(0, len(text), size)]
-        state = None
-        for p in parts:
-            s = quality.boundary_state(p, common)
-            state = s if state is None else quality.join_states(state, s, common)
-        rest = [state["head"]] if not state["broken"] else [state["head"], state["tail"]]
-        counts = list(state["counts"])
-        for r in rest:
-            counts = [a + b for a, b in zip(counts, quality.text_counts(r, common), strict=True)]
-        for name in ("words", "lines", "common", "solid_chars"):
-            i = quality.COUNTS.index(name)
-            assert counts[i] == whole[i], (size, name)
+    assert 0 < whole[quality.COUNTS.index("prose_chars")] < whole[quality.SOLID]
+    flat = text.replace("\r\n", "\n")
+    for size in (1, 7, 64, 701, 4096):
+        states = [quality.boundary_state(flat[i : i + size], common) for i in range(0, len(flat), size)]
+        for fan in (2, 64, len(states)):
+            level = states
+            while len(level) > 1:
+                level = [quality.join_states(level[i : i + fan], common) for i in range(0, len(level), fan)]
+            assert quality.closed(level[0], common) == whole, (size, fan)
+
+
+def test_quality_chunk_path(spark, monkeypatch):
+    """The plan over chunks and a merge tree of several levels gives the rows of the plan over whole documents."""
+    common = spark.createDataFrame([("en", w) for w in ("the", "is", "of", "by", "and")], "lang string, word string")
+    docs = spark.createDataFrame([(1, _prosaic()), (2, "\r" * 50 + "word"), (3, "z" * 5000), (4, "The\r\nend of it is near. " * 300), (5, None), (6, "")], "doc_id bigint, text string")
+    want = rows(quality.statistics(docs, common))
+    monkeypatch.setattr(quality, "CHUNK", 50)
+    monkeypatch.setattr(quality, "RUN", 16)
+    assert rows(quality.statistics(docs, common)) == want
