@@ -46,6 +46,10 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "symbols"), table(spark, d, "files"))
 
 
+def p6_contents(spark: SparkSession, d: str) -> DataFrame:
+    return split.emit(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.found(table(spark, d, "commit_files"))
 

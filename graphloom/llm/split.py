@@ -1,14 +1,15 @@
 """Splitting oversized items at natural boundaries (problem 6), without loading whole files.
 
-1. A map over byte ranges of the files (with a halo of a few bytes) emits the table of boundaries: where a cut may
-   lie, by kind.  A lesser kind is listed only where the kinds above it leave more than a piece's room, so the table is
-   a fraction of the bytes.
-2. The tables of a file's ranges meet its items, sorted by range, and every item is walked: a piece ends at the best
-   boundary within `limit` of its start, the next one starts `overlap` before that.
+1. A map over byte ranges of the files (with a halo of a few bytes), in the stage that scans them, emits the table of
+   boundaries: where a cut may lie, by kind, as 2-byte places in the range.  A lesser kind is listed only where the
+   kinds above it leave more than a piece's room, so the table is a small fraction of the bytes.
+2. The tables of a file's ranges are stitched in order, its items stream past them, and every item is walked: a piece
+   ends at the best boundary within `limit` of its start, the next one starts `overlap` before that.
 
 The best boundary is the last blank line in the second half of the piece, else its last line end, sentence or statement
 end, white space, or any character.  A boundary inside the overlap with the piece before does not count: a piece that
-ended there would not go beyond that piece.  Only ranges and tables of files that hold an oversized item are shuffled.
+ended there would not go beyond that piece.  Tables and items are shuffled once, contents never; a task holds the tables
+of one file at a time, and none of its items.
 
 Defined results: null, swapped or negative spans, spans beyond the content and items of at most `limit` bytes give
 no piece; repeated rows count once; of several versions of a file the latest with content holds; CRLF is not
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import cut
+
 RANGE = 65_536
 
 
@@ -73,6 +76,20 @@ def char_start(inner: np.ndarray, at: int) -> int:
     return at
 
 
+def packed(places: np.ndarray, first: int) -> bytes:
+    """Places in (first, first + RANGE] in two bytes each; many of them as one bit for each byte of the range."""
+    if 16 * len(places) <= RANGE:
+        return (places - first - 1).astype(np.uint16).tobytes()
+    bits = np.zeros(RANGE, bool)
+    bits[places - first - 1] = True
+    return np.packbits(bits).tobytes() + b"\0"  # an odd length tells it from the other form
+
+
+def unpacked(data: bytes, first: int) -> np.ndarray:
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(data[:-1], np.uint8))) if len(data) % 2 else np.frombuffer(data, np.uint16)
+    return places.astype(np.int32) + first + 1
+
+
 def walk(marks: dict[str, np.ndarray], start: int, end: int, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of an item."""
     out = []
@@ -90,16 +107,14 @@ def walk(marks: dict[str, np.ndarray], start: int, end: int, limit: int, overlap
     return [*out, (start, end)]
 
 
-def ranges(files: DataFrame, keys: DataFrame, halo: int, after: int = 0) -> DataFrame:
-    """(repo_id, path, range_no, from_byte, bytes, n_bytes, version), with a halo on either side, of the latest version of the files in `keys`."""
-    there = files.filter(F.col("raw_content").isNotNull())
-    latest = there.groupBy("repo_id", "path").agg(F.coalesce(F.max("indexed_at"), F.lit(-1)).alias("at")).join(keys, ["repo_id", "path"], "left_semi")
-    kept = there.select("repo_id", "path", F.coalesce("indexed_at", F.lit(-1)).alias("at"), "raw_content").join(latest, ["repo_id", "path", "at"], "left_semi")
-    sized = kept.withColumn("n_bytes", F.octet_length("raw_content")).withColumn("version", F.xxhash64("raw_content"))
-    numbered = sized.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(n_bytes - 1, 0) div {RANGE} as int)"))).alias("range_no"))
+def ranges(files: DataFrame, halo: int, after: int = 0) -> DataFrame:
+    """(repo_id, path, at, version, range_no, from_byte, bytes, n_bytes): byte ranges with a halo on either side, of all contents."""
+    there = files.filter(F.col("raw_content").isNotNull() & F.col("repo_id").isNotNull() & F.col("path").isNotNull())
+    kept = there.select("repo_id", "path", F.coalesce("indexed_at", F.lit(-1)).alias("at"), F.xxhash64("raw_content").alias("version"), F.octet_length("raw_content").alias("n_bytes"), "raw_content")
+    numbered = kept.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(n_bytes - 1, 0) div {RANGE} as int)"))).alias("range_no"))
     start = F.greatest(F.lit(0), F.col("range_no") * RANGE - halo)
     return numbered.select(
-        "repo_id", "path", "range_no", "n_bytes", "version", start.alias("from_byte"),
+        "repo_id", "path", "at", "version", "range_no", "n_bytes", start.alias("from_byte"),
         F.substring("raw_content", start + 1, (F.col("range_no") + 1) * RANGE + after - start).alias("bytes"),
     )
 
@@ -122,31 +137,21 @@ def pieces(symbols: DataFrame, files: DataFrame, limit: int = 2000, overlap: int
         rows = []
         for d, at, no in zip(data, from_byte, range_no, strict=True):
             found_ = boundaries(bytes(d), no * RANGE - at, min((no + 1) * RANGE - at, len(d)), room)
-            rows.append([(found_[k] + at).astype(np.int32).tobytes() for k in lists])
+            rows.append([packed(found_[k] + at, no * RANGE) for k in lists])
         return pd.DataFrame(rows, columns=lists)
 
-    reach = wide.groupBy("repo_id", "path").agg(F.min("start_byte").alias("lo"), F.max("end_byte").alias("hi"))
-    there = ranges(files, wide.select("repo_id", "path").distinct(), HALO, 1).join(reach, ["repo_id", "path"])
-    there = there.filter(((F.col("range_no") + 1) * RANGE >= F.col("lo") - HALO) & (F.col("range_no") * RANGE <= F.col("hi")))
-    tables = there.select("repo_id", "path", F.lit(1).alias("kind"), "version", "range_no", "n_bytes", table("bytes", "from_byte", "range_no").alias("t"))
-    items = wide.select("repo_id", "path", F.lit(0).alias("kind"), "id", "start_byte", "end_byte")
-    met = items.unionByName(tables.select("repo_id", "path", "kind", "version", "range_no", "n_bytes", "t.*"), allowMissingColumns=True)
-    order = ["repo_id", "path", "kind", "version", "range_no"]
-    met = met.filter(F.col("repo_id").isNotNull() & F.col("path").isNotNull()).repartition("repo_id", "path").sortWithinPartitions(*order)
+    tables = ranges(files, HALO, 1).select("repo_id", "path", F.lit(0).alias("kind"), "at", "version", "range_no", "n_bytes", table("bytes", "from_byte", "range_no").alias("t"))
+    items = wide.filter(F.col("repo_id").isNotNull() & F.col("path").isNotNull()).select("repo_id", "path", F.lit(1).alias("kind"), "id", "start_byte", "end_byte")
+    met = tables.select("repo_id", "path", "kind", "at", "version", "range_no", "n_bytes", "t.*").unionByName(items, allowMissingColumns=True)
+    # the tables of the latest content come first, then the items
+    order = ["repo_id", "path", "kind", F.desc("at"), "version", "range_no"]
+    met = met.repartition("repo_id", "path").sortWithinPartitions(*order)
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "repo_id", "path", "piece_no", "start_byte", "end_byte"]
         types = [pa.string()] * 3 + [pa.int32()] * 3
         out: list[tuple] = []
-        key, spans, version, size, seen, marks = None, [], None, 0, -1, {k: [] for k in lists}
-
-        def close() -> None:
-            if not spans or version is None:
-                return
-            whole = {k: np.frombuffer(b"".join(v), np.int32) for k, v in marks.items()}
-            for i, a, b in spans:
-                if b <= size:
-                    out.extend((i, *key, n, *piece) for n, piece in enumerate(walk(whole, a, b, limit, overlap)))
+        key, version, size, seen, marks, whole = None, None, 0, -1, {k: [] for k in lists}, None
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [()] * 6
@@ -157,27 +162,40 @@ def pieces(symbols: DataFrame, files: DataFrame, limit: int = 2000, overlap: int
         for batch in batches:
             for r in batch.to_pylist():
                 if (r["repo_id"], r["path"]) != key:
-                    close()
-                    key, spans, version, size, seen, marks = (r["repo_id"], r["path"]), [], None, 0, -1, {k: [] for k in lists}
+                    key, version, size, seen, marks, whole = (r["repo_id"], r["path"]), None, 0, -1, {k: [] for k in lists}, None
                 if r["kind"] == 0:
-                    spans.append((r["id"], r["start_byte"], r["end_byte"]))
-                elif version in (None, r["version"]) and r["range_no"] > seen:  # one content, each range once
-                    version, size, seen = r["version"], r["n_bytes"], r["range_no"]
-                    for k in lists:
-                        marks[k].append(r[k])
-            if len(out) >= 10_000:
-                yield flush()
-        close()
+                    if version in (None, (r["at"], r["version"])) and r["range_no"] > seen:  # one content, each range once
+                        version, size, seen = (r["at"], r["version"]), r["n_bytes"], r["range_no"]
+                        for k in lists:
+                            marks[k].append((r[k], r["range_no"] * RANGE))
+                elif r["end_byte"] <= size:
+                    if whole is None:
+                        whole = {k: np.concatenate([unpacked(*part) for part in v]) for k, v in marks.items()}
+                    out.extend((r["id"], *key, n, *piece) for n, piece in enumerate(walk(whole, r["start_byte"], r["end_byte"], limit, overlap)))
+                    if len(out) >= 10_000:
+                        yield flush()
         yield flush()
 
     return met.mapInArrow(walked, "id string, repo_id string, path string, piece_no int, start_byte int, end_byte int")
 
 
-def emit(pieces_: DataFrame, files: DataFrame, limit: int = 2000) -> DataFrame:
-    """`pieces` with their bytes, read by offset from the ranges."""
+#: Keys of files that may be broadcast to the scan, of 8 bytes each; beyond, contents meet their pieces in a shuffle.
+MOST_KEYS = 2_000_000
+
+
+def emit(symbols: DataFrame, files: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """`pieces` with their bytes, read by offset from the ranges: (id, repo_id, path, piece_no, start_byte, end_byte, content)."""
+    pieces_ = cut(pieces(symbols, files, limit, overlap))
     at = pieces_.withColumn("range_no", F.expr(f"cast((end_byte - 1) div {RANGE} as int)"))
-    spread = ranges(files, pieces_.select("repo_id", "path").distinct(), limit)
-    return at.join(spread, ["repo_id", "path", "range_no"]).select(
+    key = F.xxhash64("repo_id", "path", "range_no").alias("key")
+    keys = at.select(key).distinct()
+    there = ranges(files, limit).withColumn("key", key)
+    if keys.count() <= MOST_KEYS:
+        there = there.join(F.broadcast(keys), "key", "left_semi")  # checked
+    latest = there.groupBy("repo_id", "path").agg(F.max(F.struct("at", F.bitwise_not("version").alias("other"))).alias("latest"))
+    first = there.join(latest, ["repo_id", "path"]).filter((F.col("at") == F.col("latest.at")) & (F.bitwise_not("version") == F.col("latest.other")))
+    once = first.drop("latest", "key").dropDuplicates(["repo_id", "path", "range_no"])
+    return at.join(once, ["repo_id", "path", "range_no"]).select(
         "id", "repo_id", "path", "piece_no", "start_byte", "end_byte",
         F.substring("bytes", F.col("start_byte") - F.col("from_byte") + 1, F.col("end_byte") - F.col("start_byte")).alias("content"),
     )

@@ -130,7 +130,7 @@ def test_split_edges(spark):
         assert r.end_byte - r.start_byte <= 2000
         body[r.start_byte : r.end_byte].decode()
     assert rows(split.found(s.limit(0), f)) == [] and rows(split.found(s, f.limit(0))) == []
-    out = {r.piece_no: bytes(r.content) for r in split.emit(split.pieces(s, f), f).collect()}
+    out = {r.piece_no: bytes(r.content) for r in split.emit(s, f).collect()}
     assert out == {r.piece_no: body[r.start_byte : r.end_byte] for r in got}
 
 
@@ -148,6 +148,23 @@ def test_split_spans_ranges(spark):
     assert got[-1].end_byte == len(body)
 
 
+def test_split_shuffles_no_contents(spark):
+    f = file_rows(spark, [("r", "a.py", b"x = 1\n" * 900)])
+    s = spark.createDataFrame([("1", "r", "f", "function", "a.py", 0, 5000, None, None)], SYMBOLS)
+    for line in split.pieces(s, f)._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        if "Repartition" in line or "Join" in line:
+            assert "raw_content" not in line
+    plan = split.pieces(s, f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2  # one of tables and items, one that takes repeated items together
+
+
+@pytest.mark.parametrize("n", [0, 5, 5000, 30_000])
+def test_packed_places(n):
+    rng = np.random.default_rng(n)
+    places = np.sort(rng.choice(split.RANGE, n, replace=False)).astype(np.int32) + 3 * split.RANGE + 1
+    assert (split.unpacked(split.packed(places, 3 * split.RANGE), 3 * split.RANGE) == places).all()
+
+
 def test_split_ends_at_lines(spark):
     """A piece ends in mid-line only if no line end beyond the overlap lies within its 2,000 bytes."""
     rng = np.random.default_rng(5)
