@@ -3,7 +3,8 @@
 Words are cut by the vocabulary's own pattern on the JVM.  Only *distinct* words are encoded: a Spark
 higher-order function folds the ranked merges over the array of the word's bytes, looking ranks up in a literal
 table that the optimizer folds into one constant (an array of hash buckets, so that a lookup is one index and a
-scan of one or two entries).  The encoded words are handed to blocks of documents.
+scan of one or two entries).  The encoded words are handed to blocks of documents: a block is a bounded number of
+bytes of text, whatever the session's partitions, and its documents stream past its words.
 
 Defined results
 ---------------
@@ -17,15 +18,18 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the word pattern published with the vocabulary; (?U) gives \s its Unicode meaning on the JVM.
@@ -68,44 +72,32 @@ def rank_of(table: Column, piece: Column) -> Column:
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of one word (binary), by folding ranked merges over the array of its bytes."""
+    """Ids of one word (binary), by folding ranked merges over the array of its bytes.
+
+    A step joins the leftmost pair of the best rank; only the ranks of the pairs on its two sides are looked up anew.
+    """
     whole = rank_of(table, word)
     single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
+    ranks = F.transform(F.sequence(F.lit(1), F.length(word) - 1), lambda i: rank_of(table, F.substring(word, i, F.lit(2))))
 
-    def ranked(pieces: Column) -> Column:
-        """rank of each piece joined with its right neighbour; null where there is none"""
-        return F.transform(
-            F.slice(pieces, 1, F.size(pieces) - 1),
-            lambda piece, i: rank_of(table, F.concat(piece, F.get(pieces, i + 1))),
-        )
-
-    def merged(state: Column, best: Column) -> Column:
-        # every occurrence of the best pair is joined, from the left; a piece that was consumed is not used again
+    def merged(state: Column, i: Column) -> Column:
+        """The state after pieces i and i + 1 (from 1) are joined."""
         pieces, ranks = state["pieces"], state["ranks"]
-        step = F.aggregate(
-            F.sequence(F.lit(0), F.size(pieces) - 1),
-            F.struct(F.slice(pieces, 1, 0).alias("out"), F.lit(-1).alias("skip")),
-            lambda acc, i: F.when(acc["skip"] == i, acc)
-            .when(
-                F.get(ranks, i) == best,
-                F.struct(
-                    F.concat(acc["out"], F.array(F.concat(F.get(pieces, i), F.get(pieces, i + 1)))).alias("out"),
-                    (i + 1).alias("skip"),
-                ),
-            )
-            .otherwise(F.struct(F.concat(acc["out"], F.array(F.get(pieces, i))).alias("out"), acc["skip"].alias("skip"))),
+        piece = F.concat(F.get(pieces, i - 1), F.get(pieces, i))
+        none = F.slice(ranks, 1, 0)
+        before = F.when(i > 1, F.array(rank_of(table, F.concat(F.get(pieces, i - 2), piece)))).otherwise(none)
+        after = F.when(i + 1 < F.size(pieces), F.array(rank_of(table, F.concat(piece, F.get(pieces, i + 1))))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(pieces, 1, i - 1), F.array(piece), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
+            F.concat(F.slice(ranks, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(ranks, i + 2, F.size(pieces))).alias("ranks"),
         )
-        return step["out"]
-
-    def state(pieces: Column) -> Column:
-        return F.struct(pieces.alias("pieces"), ranked(pieces).alias("ranks"))
 
     folded = F.aggregate(
         F.sequence(F.lit(2), F.length(word)),
-        state(single),
-        # one-element transforms bind the intermediate values, so that each is computed once
+        F.struct(single.alias("pieces"), ranks.alias("ranks")),
         lambda acc, _: F.when(F.array_min(acc["ranks"]).isNull(), acc).otherwise(
-            F.get(F.transform(F.array(merged(acc, F.array_min(acc["ranks"]))), state), F.lit(0))
+            # a one-element transform binds the place, so that it is looked for once
+            F.get(F.transform(F.array(F.array_position(acc["ranks"], F.array_min(acc["ranks"])).cast("int")), lambda i: merged(acc, i)), F.lit(0))
         ),
     )
     ids = F.transform(folded["pieces"], lambda p: rank_of(table, p))
@@ -166,45 +158,84 @@ def ranks_or_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word]] if word in ranks else heap_merges(word, ranks)
 
 
-def blocks_for(spark: SparkSession) -> int:
-    """Blocks of documents: a few per shuffle partition, so that a block is a small part of a partition."""
-    return 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+#: Bytes of text in a block, about: the distinct words of so much text are what a task holds at a time.
+BLOCK_BYTES = 16 << 20
+#: Blocks of a small corpus, so that it is spread over some cores.
+LEAST_BLOCKS = 32
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) for every row of `docs`.
+def blocked(docs: DataFrame, keep: list[str], text_col: str, block_bytes: int) -> DataFrame:
+    """(block, keep..., text): every row by itself goes to a block, so that repeated rows fill none."""
+    kept = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = kept.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(LEAST_BLOCKS, -(-size // block_bytes))
+    return kept.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).alias("block"), *keep, "text")
 
-    Plan: documents go to blocks by a hash of the row (two shuffles of the block's distinct words, one of the
-    text); a word occurs at most once per block, so a word that makes up a third of the corpus is no hot key, and
-    nothing is broadcast but the vocabulary, whose size is fixed.
+
+def by_blocks(docs: DataFrame, keep: list[str], text_col: str, path: str, count: bool, block_bytes: int) -> DataFrame:
+    """(keep..., ids) or (keep..., tokens int) for every row of `docs`.
+
+    Plan: a word occurs at most once per block in what is shuffled, so a word that makes up a third of the corpus is no
+    hot key; the text is shuffled once, to its block, where it meets the block's words, sorted before it.  Nothing is
+    broadcast but the vocabulary, whose size is fixed.
     """
-    path = path or tokenizer_path("byte_bpe_50k.tiktoken")
-    spark = docs.sparkSession
-    n = blocks_for(spark)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = kept.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
-    split = kept.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
-    per_block = split.select("block", F.explode(F.array_distinct("words")).alias("word")).distinct()
+    placed = blocked(docs, keep, text_col, block_bytes)
+    words_of = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    per_block = placed.select("block", F.explode(F.array_distinct(words_of)).alias("word")).distinct()
     coded = encode_words(per_block.select("word").distinct(), path)
-    lexicon = per_block.join(coded, "word").select(F.col("block").alias("of_block"), "word", "ids")
-
-    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        out = []
-        for words in left.column("words").to_pylist():
-            row: list[int] = []
-            for w in words:
-                row += ids[w]
-            out.append(row)
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    id_type = dict(kept.dtypes)["doc_id"]
-    return (
-        split.select("block", "doc_id", "words")
-        .groupBy("block")
-        .cogroup(lexicon.groupBy("of_block"))
-        .applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
-    )
+    lexicon = per_block.join(coded, "word").select("block", F.lit(0).alias("kind"), "word", "ids")
+    met = lexicon.unionByName(placed.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    met = met.repartition("block").sortWithinPartitions("block", "kind")
+    met = met.select("block", "kind", "word", "ids", *keep, F.when(F.col("kind") == 1, words_of).alias("words"))
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, known, codes = None, [], None, None
+        for batch in batches:
+            of, kind = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edges = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1), len(of)]
+            for a, b in itertools.pairwise(edges):
+                if a == b:
+                    continue
+                if of[a] != block:
+                    block, parts, known = of[a], [], None
+                run = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    parts.append((run.column(2), run.column(3)))
+                    continue
+                if known is None:
+                    known = pa.concat_arrays([w for w, _ in parts]) if parts else pa.array([], pa.string())
+                    codes = pa.concat_arrays([c for _, c in parts]) if parts else pa.array([], pa.list_(pa.int32()))
+                lists = run.column(4 + len(keep))
+                flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+                at = pc.index_in(flat, value_set=known)
+                if at.null_count:  # rows that come in another order when they are read again change blocks
+                    missing = pc.unique(flat.filter(pc.is_null(at)))
+                    ranks = read_ranks(path)
+                    known = pa.concat_arrays([known, missing])
+                    codes = pa.concat_arrays([codes, pa.array([ranks_or_merge(w.encode(), ranks) for w in missing.to_pylist()], codes.type)])
+                    at = pc.index_in(flat, value_set=known)
+                found = codes.take(at)
+                through = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])[ends]
+                if count:
+                    last = pa.array(np.diff(through).astype(np.int32))
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(through.astype(np.int32)), found.flatten().cast(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(run.column(4 + i) for i in range(len(keep))), last], names)
+
+    names = [*keep, "tokens" if count else "ids"]
+    types = dict(placed.dtypes)
+    return met.mapInArrow(assemble, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "tokens int" if count else "ids array<int>"]))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of `docs`."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return by_blocks(named, ["doc_id"], "text", path or tokenizer_path("byte_bpe_50k.tiktoken"), False, block_bytes)
+
+
+def token_counts(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(keep..., tokens int) for every row of `docs`; no list of ids is built."""
+    return by_blocks(docs.select(*keep, F.col(text_col).alias("text")), keep, "text", path or tokenizer_path("byte_bpe_50k.tiktoken"), True, block_bytes)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.encode import encode
+from graphloom.llm.encode import token_counts
 from graphloom.sources.tables import cut
 
 FAN_IN = 64
@@ -32,11 +32,8 @@ EPS = 1e-9
 
 def sizes(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, tokens): source trimmed and in lower case, tokens of the public tokenizer."""
-    src = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), "text").withColumn("row", F.xxhash64("doc_id", "source", "text"))
-    ids = encode(src.select("row", "text"), "row", path=path).select(F.col("doc_id").alias("row"), F.size("ids").alias("tokens"))
-    # rows that are equal in all columns share a key; each keeps its own place
-    counted = ids.groupBy("row").agg(F.max("tokens").alias("tokens"))
-    return src.drop("text").join(counted, "row").drop("row").filter(F.col("tokens") > 0)
+    src = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    return token_counts(src, ["doc_id", "source"], path=path).filter(F.col("tokens") > 0)
 
 
 def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -113,8 +110,9 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, rows_per_group: int
     n = sized.count()
     groups = max(1, -(-n // rows_per_group))
     want = sized.join(F.broadcast(rates.select("source", "rate")), "source").filter("rate > 0")  # one row per target
+    # `sized` is materialised, so the places of its rows are fixed; they keep repeated rows apart
     start = want.select(
-        "doc_id", "source", "tokens", F.xxhash64("doc_id", "source", "tokens").alias("slot"), F.lit(0).alias("part"),
+        "doc_id", "source", "tokens", F.xxhash64("doc_id", "source", "tokens", F.monotonically_increasing_id()).alias("slot"), F.lit(0).alias("part"),
         F.floor(F.col("rate") + EPS).cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - F.floor(F.col("rate") + EPS)).alias("fraction"),
     )
     fraction = F.col("fraction")

@@ -221,7 +221,24 @@ def test_encode_against_library(spark):
     alphabet = list("abcdefghij XYZ0123'\n\t.,;-_=<>|äß漢 🚧 ")
     texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 400, 60)] + ["<|endoftext|>", "=" * 500, "ha" * 400]
     got = {r.doc_id: r.ids for r in encode.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
-    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert got == want
+    # blocks of any size give the same ids and counts, also of repeated rows
+    many = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] * 3, "doc_id int, text string").repartition(3)
+    small = encode.encode(many, block_bytes=100).collect()
+    assert len(small) == 3 * len(texts) and {r.doc_id: r.ids for r in small} == want
+    assert sorted(map(tuple, encode.token_counts(many, ["doc_id"], block_bytes=100).collect())) == sorted((i, len(want[i])) for i in want for _ in range(3))
+
+
+def test_mix_misses_a_source_by_a_document_at_most(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, "word " * int(n), f"s{i % 4}") for i, n in enumerate(rng.integers(1, 60, 400))], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("s0", 0.4, 2), ("s1", 0.3, 2), ("s2", 0.2, 3), ("s3", 0.1, 1)], "source string, target_share double, max_repeats int")
+    copies, plan = mix.mix(docs, targets, rows_per_group=16)
+    got = {r.source: r for r in mix.report(copies, plan).collect()}
+    largest = {r.source: r.m for r in mix.sizes(docs).groupBy("source").agg({"tokens": "max"}).withColumnRenamed("max(tokens)", "m").collect()}
+    for r in plan.collect():
+        assert abs(got[r.source].tokens - r.rate * r.supply) <= largest[r.source] + 1e-6
 
 
 def test_mix_edges(spark):
