@@ -7,7 +7,7 @@ files, however large it is.
 * heavy x heavy: each heavy file is a row of bits over the repository's commits, 64 commits to a word; the shared
   commits of two files are the popcount of the words' conjunction.
 * light x light: pairs inside a commit, counted by hash with partial aggregation before the shuffle.
-* heavy x light: each occurrence of a light file probes the bits of its commit's word.
+* heavy x light: each occurrence of a light file probes the list of its commit's heavy files.
 
 Commits are numbered inside hash buckets, so that no window or group holds a whole repository, and the statistics
 of files are joined on salted keys, so that a file in every commit is no hot key.
@@ -30,7 +30,8 @@ SALTS = 8
 
 def clean_path(path: Column) -> Column:
     """Forward slashes, no leading './'."""
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.when(path.startswith(".") | path.contains("\\"), F.regexp_replace(slashed, r"^(\./)+", "")).otherwise(path)
 
 
 def keyed(rows: DataFrame, group: str, basket: str, item: str, path_items: bool = True) -> DataFrame:
@@ -57,53 +58,53 @@ def cooccurrence(
     support counts baskets of `min_items` to `max_items` items; n_a, n_b and n count baskets of every size.
     """
     flat = keyed(rows, group, basket, item, path_items)
-    all_rows = flat.select("bk", "ik").distinct()
-    # names and owners are looked up once per item and basket; the rows in between carry keys only
-    names = flat.select("ik", "g", "item").distinct()
-    owners = flat.select("bk", "g").distinct()
-    sizes = all_rows.groupBy("bk").agg(F.count(F.lit(1)).alias("size"))
+    all_rows = flat.select("g", "bk", "ik").distinct()
+    # names are looked up once per item; the rows in between carry keys only
+    names = flat.select("ik", "item").distinct()
+    sizes = all_rows.groupBy("g", "bk").agg(F.count(F.lit(1)).alias("size"))
     counted = F.col("size").between(min_items, max_items)
-    totals = sizes.join(owners, "bk").groupBy("g").agg(F.count(F.lit(1)).alias("baskets"), F.count_if(counted).alias("counted"))
+    totals = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("baskets"), F.count_if(counted).alias("counted"))
     # a basket above the limit, of whatever size, leaves here; the join splits it if it fills a partition
-    occurrences = all_rows.join(sizes.filter(counted).select("bk"), "bk")
-    per_item = all_rows.groupBy("ik").agg(F.count(F.lit(1)).alias("n_item"))
+    occurrences = all_rows.drop("g").join(sizes.filter(counted).select("bk"), "bk")
+    per_item = all_rows.groupBy("g", "ik").agg(F.count(F.lit(1)).alias("n_item"))
     per_counted = occurrences.groupBy("ik").agg(F.count(F.lit(1)).alias("n_counted"))
     # an item of fewer counted baskets than min_support is in no pair
     frequent = per_counted.filter(F.col("n_counted") >= min_support).join(per_item, "ik").join(names, "ik").join(totals, "g")
     frequent = cut(frequent.withColumn("heavy", F.col("n_counted") * dense >= F.col("counted")))
 
     spread = occurrences.withColumn("salt", F.pmod(F.xxhash64("bk"), F.lit(SALTS)).cast("int"))
-    salted = frequent.select("ik", "g", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    known = spread.join(salted, ["ik", "salt"]).select("g", "bk", "ik", "heavy")
+    salted = frequent.select("ik", "g", "counted", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    known = spread.join(salted, ["ik", "salt"]).select("g", "counted", "bk", "ik", "heavy")
 
     # one row a basket, its light and its heavy items; at most max_items of them
     split = known.groupBy("g", "bk").agg(
         F.sort_array(F.collect_list(F.when(~F.col("heavy"), F.col("ik")))).alias("light"),
         F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("ik")))).alias("dense"),
+        F.max("counted").alias("counted"),
     )
-    split = cut(split)  # read by each of the three ways of counting
+    split = cut(split)  # read by both ways of counting
     # baskets are numbered inside hash buckets of about 4,000, by repository
     numbered = (
-        split.join(totals.select("g", F.greatest(F.lit(1), F.expr("counted div 4096")).alias("buckets")), "g")
-        .withColumn("bucket", F.pmod(F.xxhash64("bk"), F.col("buckets")).cast("int"))
+        split.filter(F.size("dense") > 1)
+        .withColumn("bucket", F.pmod(F.xxhash64("bk"), F.greatest(F.lit(1), F.expr("counted div 4096"))).cast("int"))
         .withColumn("k", F.row_number().over(W.partitionBy("g", "bucket").orderBy("bk")) - 1)
-        .select("g", "bucket", F.expr("k div 64").cast("int").alias("word"), F.expr("k % 64").cast("int").alias("bit"), "light", "dense")
+        .select("g", "bucket", F.expr("k div 64").cast("int").alias("word"), F.expr("k % 64").cast("int").alias("bit"), "dense")
     )
     at = ["g", "bucket", "word"]
 
+    # pairs that hold a light item: a light item with the light ones after it, and with the heavy ones of its basket
     light = F.col("light")
     light_pairs = (
-        split.filter(F.size("light") > 1)
-        .select(F.posexplode("light").alias("i", "a"), "light")
-        .select("a", F.explode(F.slice(light, F.col("i") + 2, F.size(light))).alias("b"))
+        split.filter((F.size("light") > 1) | (F.size("light") == 1) & (F.size("dense") > 0))
+        .select(F.posexplode("light").alias("i", "a"), "light", "dense")
+        .select("a", F.explode(F.concat(F.slice(light, F.col("i") + 2, F.size(light)), F.col("dense"))).alias("b"))
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("support"))
     )
 
     # the bit matrix: one word of 64 baskets, one long per heavy item
     bits = (
-        numbered.filter(F.size("dense") > 0)
-        .select(*at, "bit", F.explode("dense").alias("ik"))
+        numbered.select(*at, "bit", F.explode("dense").alias("ik"))
         .groupBy(*at, "ik")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         .groupBy(*at)
@@ -120,18 +121,7 @@ def cooccurrence(
         .agg(F.sum("shared").alias("support"))
     )
 
-    mixed = (
-        numbered.filter(F.size("light") > 0)
-        .join(bits, at)
-        .select("bit", "row", F.explode("light").alias("ik"))
-        .select("ik", "bit", F.explode("row").alias("h"))
-        .filter(F.expr("(shiftrightunsigned(h.bits, bit) & 1L) = 1L"))
-        .select(F.col("ik").alias("a"), F.col("h.ik").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("support"))
-    )
-
-    pairs = light_pairs.unionByName(heavy_pairs).unionByName(mixed).filter(F.col("support") >= min_support)
+    pairs = light_pairs.unionByName(heavy_pairs).filter(F.col("support") >= min_support)
     stat = lambda k: frequent.select(F.col("ik").alias(k), F.struct("item", "n_item").alias(f"s{k}"))
     one = frequent.select(F.col("ik").alias("a"), "g", F.col("baskets").alias("n"), F.struct("item", "n_item").alias("sa"))
     named = pairs.join(one, "a").join(stat("b"), "b").select("g", "support", "n", F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"))
