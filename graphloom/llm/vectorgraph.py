@@ -1,9 +1,9 @@
 """Most similar vectors for every vector (problem 3): robust-pruned directed graphs in shards, searched by beams.
 
-1. Vectors are checked, scaled to length one and routed to shards: centroids are fitted on a bounded sample
-   (`sample` rows, a parameter), every vector is indexed in the shard of its nearest centroid and queried against
-   the shards of its nearest centroids (`probes`, more where there are many).  A shard that the sample shows to outgrow `shard_rows` twice is
-   divided by a hash of the id, and queries of that shard go to all its parts.
+1. Vectors are checked, scaled to length one and routed to shards by a tree of centroids: those of its root are fitted
+   on a bounded sample (`sample` rows, a parameter), and every cell that its sample shows to outgrow `shard_rows` twice
+   is divided by centroids fitted on a bounded sample of its own, in the cluster.  Every vector is indexed in the shard
+   of its nearest centroids and queried against the shards of the next nearest (`probes`, more where there are many).
 2. In a shard a graph is built: neighbours proposed inside blocks and then by greedy searches from every vector are
    pruned so that an edge stays only if no kept neighbour is `alpha` times closer to its end; reverse edges are added.
 3. Beam searches over the graph answer the queries of a shard, many at once as array operations.
@@ -244,10 +244,6 @@ class Shard:
 
 def shard_answers(x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, effort: int) -> tuple[np.ndarray, np.ndarray]:
     """k + 1 best nodes of a shard for every query; own: the node that a query is, -1 for visitors; effort 1 or more."""
-    if len(x) <= 64:  # no graph is needed to look at a handful
-        s = queries @ x.T
-        order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
-        return order.astype(np.int32), np.take_along_axis(s, order, 1)
     graph = Shard(x, degree=12 + 4 * effort, beam=16 + 8 * effort, steps=6 + 2 * effort)
     nodes, sims = graph.search(queries, steps=4 + 4 * effort, start=own)
     return nodes[:, : k + 1], sims[:, : k + 1]
@@ -303,28 +299,98 @@ def _sample(vectors: DataFrame, provider: str, dim: int, share: float, most: int
     return np.array([np.frombuffer(r.v, np.float32) for r in rows], np.float32).reshape(-1, dim)
 
 
-def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_rows: int = 16_384, probes: int = 6, effort: int = 3, sample: int = 20_000) -> DataFrame:
+#: Sub-cells of a cell are routed to in this many parts of its rows, so that a cell of a third of all rows is no hot key.
+SALTS = 16
+#: Every level divides by up to `fan`; with three levels of 512 a shard is left of 2 ** 41 vectors at 16,384 a shard.
+MOST_LEVELS = 4
+
+
+def divided(routed: DataFrame, big: DataFrame, fan: int, shard_rows: int, probes: int, sample: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """`routed` with the cells of `big` (cell, size) divided, and the sizes (cell, size) of the cells that this gave.
+
+    Sub-cells get the ids cell * fan + number; undivided cells keep their rows, as cell * fan.
+    """
+    spark = routed.sparkSession
+    asked = cut(big.withColumn("share", sample / F.col("size")))  # one row per cell of thousands of vectors
+    limit = F.col("share") * 1_000_000
+    drawn = routed.filter("home").join(asked, "cell").filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < limit)
+
+    def fit(t: pa.Table) -> pa.Table:
+        size = t.column("size")[0].as_py()
+        x = np.unique(np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(len(t), -1), axis=0)
+        c = fit_centroids(x, min(fan, math.ceil(size / shard_rows)), seed)
+        share = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)) / len(x) * size
+        n = len(c)
+        return pa.table([pa.array([t.column("cell")[0].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([e.tobytes() for e in c], pa.binary()), pa.array(share, pa.float64())], names=["cell", "number", "c", "size"])
+
+    # a cell's sample is bounded by the parameter, whatever the cell's size
+    fitted = cut(drawn.select("cell", "size", "v").groupBy("cell").applyInArrow(fit, "cell bigint, number int, c binary, size double"))
+    sizes = fitted.select((F.col("cell") * fan + F.col("number")).alias("cell"), "size")
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    known = fitted.select("cell", salts, F.lit(0).alias("kind"), "number", "c")
+    # the divided cells are known by now: one row each, checked, decide which rows are routed on
+    rows = routed.join(F.broadcast(asked.select("cell", F.lit(True).alias("parted"))) if asked.count() <= 1_000_000 else asked.select("cell", F.lit(True).alias("parted")), "cell", "left")
+    still = rows.filter(F.col("parted").isNull()).drop("parted").withColumn("cell", F.col("cell") * fan)
+    columns = ["provider", "dim", "id", "v", "home"]
+    going = rows.filter("parted").select("cell", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), *columns)
+    met = known.unionByName(going, allowMissingColumns=True).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind", "number")
+
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, c = None, [], None
+        for batch in batches:
+            of, kind = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            salt = batch.column(1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (salt[1:] != salt[:-1])) + 1), len(of)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                run = batch.slice(a, b - a)
+                if (of[a], salt[a]) != cell:
+                    cell, parts, c = (of[a], salt[a]), [], None
+                if kind[a] == 0:
+                    parts += run.column(4).to_pylist()
+                    continue
+                if c is None:
+                    c = np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1)
+                x = np.frombuffer(b"".join(run.column(8).to_pylist()), np.float32).reshape(b - a, -1)
+                home = run.column(9).to_numpy(zero_copy_only=False).astype(bool)
+                take, fewer = visits(probes, len(c)), min(len(c), max(1, probes // 2))
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :take]
+                for j in range(take):
+                    here = np.flatnonzero(home | (j < fewer))
+                    pick = pa.array(here)
+                    yield pa.RecordBatch.from_arrays([*(run.column(i).take(pick) for i in (5, 6, 7, 8)), pa.array(home[here] & (j == 0)), pa.array(of[a] * fan + near[here, j])], [*columns, "cell"])
+
+    moved = met.select("cell", "salt", "kind", "number", "c", *columns).mapInArrow(on, "provider string, dim int, id string, v binary, home boolean, cell bigint")
+    return still.select(*columns, "cell").unionByName(moved), sizes
+
+
+def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_rows: int = 8_192, probes: int = 6, effort: int = 3, sample: int = 20_000, fan: int = 512) -> DataFrame:
     """(provider, dim, id, neighbour, similarity, rank): the k most similar vectors that the search finds, per vector.
 
     probes and effort (beam, degree, steps) buy recall with time.  Answers below `at_least` are not passed on: they
-    cannot change the rank of those above.  An answer counts for both of its ends.
+    cannot change the rank of those above.  An answer counts for both of its ends.  A cell is divided into `fan` at most.
     """
     census = _census(vectors)
     per_id = census.groupBy("provider", "dim", "id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     # one row per provider and length: what the vectors were made by, not how many there are
     groups = per_id.groupBy("provider", "dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("torn"), F.countDistinct("lo").alias("distinct")).collect()
     centroids: dict[tuple[str, int], np.ndarray] = {}
-    parts: dict[tuple[str, int], list[int]] = {}
+    first_cell: dict[tuple[str, int], int] = {}
+    sizes: list[tuple[int, float]] = []
+    shards = 0  # at the end, about
     for g in groups:
         key = (g["provider"], g["dim"])
-        shards = min(4096, math.ceil(g["distinct"] / shard_rows))
-        if shards > 1:
+        first_cell[key] = len(sizes)
+        wanted = math.ceil(g["distinct"] / shard_rows)
+        shards += wanted
+        if wanted > 1:
             x = np.unique(_sample(vectors, *key, min(1.0, sample / g["n"]), 2 * sample), axis=0)
-            centroids[key] = c = fit_centroids(x, shards)
+            centroids[key] = c = fit_centroids(x, min(fan, wanted))
             share = np.bincount(np.argmax(x @ c.T, 1), minlength=len(c)) / max(1, len(x))
-            parts[key] = [max(1, round(r * g["distinct"] / shard_rows)) if r * g["distinct"] > 2 * shard_rows else 1 for r in share]
         else:
-            centroids[key], parts[key] = np.zeros((1, g["dim"]), np.float32), [1]
+            centroids[key], share = np.zeros((1, g["dim"]), np.float32), [1.0]
+        sizes += [(len(sizes) + i, float(r * g["distinct"])) for i, r in enumerate(share)]
 
     def route(batches):
         for b in batches:
@@ -332,7 +398,7 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
             for d, at, x in usable(b):
                 names = np.array(providers.take(pa.array(at)).to_pylist(), object)
                 for p in set(names):
-                    c, split = centroids.get((p, d)), parts.get((p, d))
+                    c = centroids.get((p, d))
                     if c is None:
                         continue
                     mine = names == p
@@ -342,19 +408,15 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
                     near = np.argsort(-s, axis=1, kind="stable")[:, :take] if take > 1 else np.argmax(s, 1)[:, None]
                     raw = pa.array([v.tobytes() for v in y], pa.binary())
                     h = pa.array(_hashes(y)) if torn else pa.nulls(len(y), pa.int64())
-                    own = np.array([zlib.crc32(n.encode()) for n in ids.to_pylist()]) if max(split) > 1 else np.zeros(len(y), np.int64)
+                    n = len(y)
                     for j in range(take):
-                        many = np.array(split)[near[:, j]]
-                        for q in range(many.max()):
-                            here = np.flatnonzero(many > q)
-                            pick = pa.array(here)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([p] * len(here), pa.string()), pa.array(np.full(len(here), d, np.int32)), ids.take(pick), raw.take(pick), pa.array(near[here, j].astype(np.int32)), pa.array(np.full(len(here), q, np.int32)), pa.array((j == 0) & (own[here] % many[here] == q)), h.take(pick)],
-                                ["provider", "dim", "id", "v", "shard", "part", "home", "h"],
-                            )
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([p] * n, pa.string()), pa.array(np.full(n, d, np.int32)), ids, raw, pa.array(np.full(n, j == 0)), pa.array(first_cell[p, d] + near[:, j].astype(np.int64)), h],
+                            ["provider", "dim", "id", "v", "home", "cell", "h"],
+                        )
 
     torn = sum(g["torn"] for g in groups) > 0
-    schema = "provider string, dim int, id string, v binary, shard int, part int, home boolean, h bigint"
+    schema = "provider string, dim int, id string, v binary, home boolean, cell bigint, h bigint"
     routed = vectors.select(*INPUT).mapInArrow(route, schema)
     if torn:  # ids with several vectors: the one with the smallest hash holds
         held = per_id.filter(F.col("lo") != F.col("hi")).select("provider", "dim", "id", "lo")
@@ -367,6 +429,16 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
         copies = cut(per_id.select("provider", "dim", "id", "lo").join(alike, ["provider", "dim", "lo"]).select("provider", "dim", "id", "first"))
         routed = routed.join(copies.filter("id <> first"), ["provider", "dim", "id"], "left_anti")
 
+    spark = vectors.sparkSession
+    big = spark.createDataFrame([z for z in sizes if z[1] > 2 * shard_rows], "cell bigint, size double")
+    over = any(z[1] > 2 * shard_rows for z in sizes)
+    for level in range(1, MOST_LEVELS):
+        if not over:
+            break
+        routed, below = divided(routed, big, fan, shard_rows, probes, sample, level)
+        big = below.filter(F.col("size") > 2 * shard_rows)
+        over = big.count() > 0
+
     def answer(t: pa.Table) -> pa.Table:
         names = ["provider", "dim", "id", "neighbour", "similarity"]
         provider, dim = t.column("provider")[0].as_py(), t.column("dim")[0].as_py()
@@ -390,7 +462,10 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
             hit, value = base[nodes[rows, places]], sims[rows, places]
         return pa.table([pa.array([provider] * len(rows), pa.string()), pa.array(np.full(len(rows), dim, np.int32)), pa.array(ids[rows], pa.string()), pa.array(ids[hit], pa.string()), pa.array(value.astype(np.float32))], names=names)
 
-    answers = routed.groupBy("provider", "dim", "shard", "part").applyInArrow(answer, "provider string, dim int, id string, neighbour string, similarity float")
+    # a shard to a partition: their hashes would collide, and some tasks hold several
+    tasks = min(max(1, len(sizes), shards), 100_000)
+    placed = routed.withColumn("task", F.pmod("cell", F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task"))
+    answers = placed.groupBy("task", "cell").applyInArrow(answer, "provider string, dim int, id string, neighbour string, similarity float")
     ends = F.array(F.struct("id", "neighbour"), F.struct(F.col("neighbour").alias("id"), F.col("id").alias("neighbour")))
     both = answers.select("provider", "dim", "similarity", F.explode(ends).alias("e")).select("provider", "dim", "e.id", "e.neighbour", "similarity")
     once = both.groupBy("provider", "dim", "id", "neighbour").agg(F.max("similarity").alias("similarity"))

@@ -87,6 +87,10 @@ def test_neighbours_recall_with_many_shards(spark):
     want = {(f"{i:05d}", f"{j:05d}") for i, row in enumerate(np.argsort(-s, 1)[:, :5]) for j in row}
     got = {(r.id, r.neighbour) for r in vectorgraph.neighbours(v, shard_rows=10).collect()}
     assert len(got & want) / len(want) >= 0.98  # six visits reach 0.962 at most
+    # a tree of centroids of three levels: cells are divided by samples of their own
+    deep = vectorgraph.neighbours(v, shard_rows=20, fan=6, sample=400).collect()
+    assert len({(r.id, r.neighbour) for r in deep} & want) / len(want) >= 0.9
+    assert len({(r.id, r["rank"]) for r in deep}) == len(deep) == 15_000
 
 
 def test_equal_vectors_pair_by_smallest_id(spark):
