@@ -5,8 +5,8 @@
    header, its layout and its path say by themselves.  Contents are read once and go no further.
 2. Merkle hashes are built bottom-up over the directory trees: a directory's hash combines its children's, whatever
    they are called; each level is one aggregation with partial sums, so no directory is collected anywhere.
-3. A subtree (file or directory) whose hash occurs in unrelated repositories is a third-party copy; repositories
-   whose roots have one hash are the same repository and count once.
+3. Repositories that share most of the hand-written files of both are one family (clones, forks, renamed copies).
+4. A subtree (file or directory) whose hash occurs in more than one family is a third-party copy.
 
 Defined results: null content is no case and takes no part in any hash; empty files are hand-written; files shared
 with fewer than `min_code` characters of code are too common to be copies; repeated rows of a file count once.
@@ -181,53 +181,73 @@ def leaves(files: DataFrame) -> DataFrame:
     return spread(files.select("repo_id", "path", "raw_content")).mapInArrow(scan, schema).dropDuplicates(["repo_id", "path"])
 
 
-def merkle(leaves_: DataFrame, max_depth: int) -> DataFrame:
+STEPS = "split(replace(path, '\\\\', '/'), '/')"
+
+
+def merkle(leaves_: DataFrame) -> DataFrame:
     """(repo_id, node, depth, hash, code_chars, n_files): hashes of directories, bottom-up; '' is the root.
 
-    Directories below `max_depth` levels are hashed as part of the directory at that depth.
+    One aggregation a level, each materialised once: the level above reads it.
     """
-    steps = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
-    placed = leaves_.filter(F.col("leaf").isNotNull()).withColumn("steps", steps)
-    placed = placed.withColumn("depth", F.least(F.size("steps") - 1, F.lit(max_depth)))
-    items = placed.select("repo_id", "depth", F.array_join(F.slice("steps", 1, F.greatest(F.col("depth"), F.lit(0))), "/").alias("dir"), F.col("leaf").alias("hash"), F.col("code_chars").cast("long").alias("code_chars"), F.lit(1).cast("long").alias("n_files"))
+    placed = leaves_.filter(F.col("leaf").isNotNull()).withColumn("steps", F.expr(STEPS)).withColumn("depth", F.size("steps") - 1)
+    items = placed.select("repo_id", "depth", F.array_join(F.expr("slice(steps, 1, depth)"), "/").alias("dir"), F.col("leaf").alias("hash"), F.col("code_chars").cast("long").alias("code_chars"), F.lit(1).cast("long").alias("n_files"))
+    deepest = items.agg(F.max("depth")).first()[0] or 0
     levels: list[DataFrame] = []
-    below: DataFrame | None = None
-    for depth in range(max_depth, -1, -1):
+    for depth in range(deepest, -1, -1):
         here = items.filter(F.col("depth") == depth).drop("depth")
-        if below is not None:
-            up = below.select("repo_id", F.array_join(F.slice(F.split("dir", "/"), 1, depth), "/").alias("dir"), "hash", "code_chars", "n_files")
+        if levels:
+            up = levels[-1].select("repo_id", F.array_join(F.slice(F.split("dir", "/"), 1, depth), "/").alias("dir"), "hash", "code_chars", "n_files")
             here = here.unionByName(up)
         # a sum of mixed child hashes: partial sums combine, and neither names nor order matter
-        below = (
-            here.groupBy("repo_id", "dir")
-            .agg(F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("mix"), F.sum("code_chars").alias("code_chars"), F.sum("n_files").alias("n_files"))
-            .select("repo_id", "dir", F.xxhash64(F.col("mix").cast("string"), "n_files").alias("hash"), "code_chars", "n_files")
-        )
-        levels.append(below.withColumn("depth", F.lit(depth)))
+        sums = here.groupBy("repo_id", "dir").agg(F.sum(F.xxhash64("hash").cast("decimal(38,0)")).alias("mix"), F.sum("code_chars").alias("code_chars"), F.sum("n_files").alias("n_files"))
+        levels.append(cut(sums.select("repo_id", "dir", F.xxhash64(F.col("mix").cast("string"), "n_files").alias("hash"), "code_chars", "n_files", F.lit(depth).alias("depth"))))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
     return out.select("repo_id", F.col("dir").alias("node"), "depth", "hash", "code_chars", "n_files")
 
 
-def classify(files: DataFrame, min_code: int = 120, min_repos: int = 2, max_depth: int = 12) -> DataFrame:
+def families(all_leaves: DataFrame, min_code: int) -> DataFrame:
+    """(repo_id, family): repositories that share more than half of the hand-written files of both, linked in turn.
+
+    A leaf that several repositories hold links each of them with the smallest one that holds it, so a leaf in n
+    repositories gives n links; what nothing but its hash speaks against counts as hand-written.
+    """
+    own = all_leaves.filter(F.col("leaf").isNotNull() & F.col("says").isNull() & (F.col("code_chars") >= min_code) & F.col("repo_id").isNotNull()).select("repo_id", "leaf").distinct()
+    counts = own.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    least = own.groupBy("leaf").agg(F.min("repo_id").alias("parent"), F.count(F.lit(1)).alias("repos")).filter("repos > 1").drop("repos")
+    shared = own.join(least, "leaf").filter("repo_id <> parent").groupBy("repo_id", "parent").agg(F.count(F.lit(1)).alias("shared"))
+    above = counts.withColumnRenamed("repo_id", "parent").withColumnRenamed("n", "m")
+    # a leaf has one parent, so at most one parent holds more than half of a repository's leaves
+    links = shared.join(counts, "repo_id").join(above, "parent").filter("2 * shared > n and 2 * shared > m").select("repo_id", "parent")
+    links = cut(links)
+    while True:  # a link leads to a smaller id; pointers are doubled until all lead to the smallest
+        up = links.withColumnRenamed("repo_id", "p").withColumnRenamed("parent", "top")
+        further = cut(links.join(up, F.col("parent") == F.col("p"), "left").select("repo_id", F.coalesce("top", "parent").alias("parent"), F.col("top").isNotNull().alias("moved")))
+        links = further.select("repo_id", "parent")
+        if further.filter("moved").isEmpty():
+            break
+    every = all_leaves.select("repo_id").distinct()
+    return every.join(links, "repo_id", "left").select("repo_id", F.coalesce("parent", "repo_id").alias("family"))
+
+
+def classify(files: DataFrame, min_code: int = 120) -> DataFrame:
     """(repo_id, path, reason): reason is null for hand-written files, else generated, minified, data or vendored."""
     all_leaves = cut(leaves(files))
-    deepest = all_leaves.agg(F.max(F.size(F.split("path", "/"))).alias("d")).first()["d"] or 1
-    tree = cut(merkle(all_leaves, min(max_depth, deepest - 1)))
-    # repositories whose whole trees are equal are one repository
-    identity = tree.filter("node = ''").select("repo_id", F.col("hash").alias("whole"))
+    tree = merkle(all_leaves)
+    family = cut(families(all_leaves, min_code))
     nodes = (
         tree.filter("node <> '' and n_files > 1").select("repo_id", "hash", "code_chars", F.col("node"))
         .unionByName(all_leaves.filter(F.col("leaf").isNotNull()).select("repo_id", F.col("leaf").alias("hash"), F.col("code_chars").cast("long").alias("code_chars"), F.lit(None).cast("string").alias("node")))
         .filter(F.col("code_chars") >= min_code)
-        .join(identity, "repo_id")
     )
-    shared = nodes.select("hash", "whole").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repos")).filter(F.col("repos") >= min_repos).select("hash")
-    shared = cut(shared)
+    # one and another family are enough: the smallest and the largest differ
+    of_hash = nodes.join(family, "repo_id").groupBy("hash").agg(F.min("family").alias("one"), F.max("family").alias("other"))
+    shared = cut(of_hash.filter("one <> other").select("hash"))
     shared_leaf = all_leaves.join(shared, F.col("leaf") == F.col("hash"), "left_semi").filter(F.col("code_chars") >= min_code).select("repo_id", "path")
     shared_dir = nodes.filter(F.col("node").isNotNull()).join(shared, "hash", "left_semi").select("repo_id", "node").distinct()
-    ups = all_leaves.select("repo_id", "path", F.explode(F.expr(f"transform(sequence(1, greatest(1, least({max_depth}, size(split(path, '/')) - 1))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("node"))
+    above = F.expr(f"transform(sequence(1, size({STEPS}) - 1), i -> array_join(slice({STEPS}, 1, i), '/'))")
+    ups = all_leaves.filter(F.expr(f"size({STEPS}) > 1")).select("repo_id", "path", F.explode(above).alias("node"))
     below_shared = ups.join(shared_dir, ["repo_id", "node"], "left_semi").select("repo_id", "path")
     copies = shared_leaf.unionByName(below_shared).distinct().withColumn("copied", F.lit(True))
     return all_leaves.join(copies, ["repo_id", "path"], "left").select(

@@ -54,6 +54,22 @@ def test_handwritten_edges(spark, odd_files):
     assert ("r", "l.py") in {(r.repo_id, r.path) for r in out if r.reason == "data"}
 
 
+def _module(name, n=12):
+    return "".join(f"def {name}_{i}(first, second):\n    return first * {i} + second\n" for i in range(n)).encode()
+
+
+def test_related_repositories_hold_no_copies_of_each_other(spark):
+    own = [(r, f"src/m{i}.py", _module(f"m{i}")) for r in ("one", "two") for i in range(9)] + [("one", "src/last.py", _module("x")), ("two", "src/last.py", _module("y"))]
+    deep = "/".join(f"d{i}" for i in range(20))
+    lib = [("third", f"{deep}/{n}.py", _module(n)) for n in ("lib", "more")] + [("fourth", f"other/{n}2.py", _module(n)) for n in ("lib", "more")]
+    alone = [(r, f"a{i}.py", _module(f"{r}{i}")) for r in ("third", "fourth") for i in range(5)]
+    out = {(r.repo_id, r.path): r.reason for r in handwritten.classify(file_rows(spark, own + lib + alone)).collect()}
+    assert {k for k, v in out.items() if v} == {(r, p) for r, p, _ in lib}
+    forks = [(f"f{i}", f"m{j}.py", _module(f"m{j}")) for i in range(5) for j in range(8)] + [(f"f{i}", "own.py", _module(f"own{i}")) for i in range(5)]
+    family = {r.repo_id: r.family for r in handwritten.families(handwritten.leaves(file_rows(spark, forks + lib)), 120).collect()}
+    assert {family[f"f{i}"] for i in range(5)} == {"f0"} and family["third"] in ("third", "fourth")
+
+
 def test_credentials_edges(spark):
     key = "AKIA" + "Q3ZX7PLM2KJH8WRT"
     text = f'a = 1\r\nkey = "{key}"\n'.encode()
