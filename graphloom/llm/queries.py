@@ -34,6 +34,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.found(table(spark, d, "symbols"))
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "symbols"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find(table(spark, d, "files"))
 

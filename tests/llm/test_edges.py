@@ -135,6 +135,20 @@ def test_docpair_edges(spark):
     assert rows(docpairs.found(s.limit(0))) == []
 
 
+def test_assignment_runs_to_the_end(spark):
+    """Stray comments that contend for overloads are all settled, and no function loses its own comment for nothing."""
+    stray = "mergeRows keeps the order of whatever arrives late.\n@param left the side that wins"
+    data = [(f"o{i}", "r", "mergeRows", "function", "a.py", 100 * i, 9, "mergeRows(left, right)", None) for i in range(6)]
+    data += [(f"s{i}", "r", f"other{i}", "function", "a.py", 100 * i + 7, 9, f"other{i}(x)", stray) for i in range(6)]
+    data += [("z", "r", "plain", "function", "a.py", 5, 9, "plain(x)", "Drops rows that nobody reads.")]
+    s = spark.createDataFrame(data, SYMBOLS)
+    got = docpairs.pairs(s).collect()
+    assert len({r.id for r in got}) == len(got) and {"z"} < {r.id for r in got}
+    # each of the six stray comments has its own function or an overload, no comment is used twice
+    assert len(got) == 7 and all(r.description for r in got)
+    assert {r.id for r in docpairs.found(s).collect()} == {r.id for r in got}
+
+
 def test_split_edges(spark):
     body = ("é" * 10 + " word;\n").encode() * 400
     f = file_rows(spark, [("r", "a.py", body), ("r", "a.py", body), ("r", "n.py", None), (None, None, body)])

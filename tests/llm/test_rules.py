@@ -171,6 +171,7 @@ def test_key_block():
     [
         ("closeCell", "Closes the cell.", False), ("closeCell", "// TODO", False), ("closeCell", "See docs", False), ("closeCell", "@inheritDoc", False), ("closeCell", "/** Retries twice before giving up. */", True), ("closeCell", "return cache[key];", False),
         ("closeCell", "--------", False), ("closeCell", "删除没有引用的条目", True), ("closeCell", "待补充", False), ("closeCell", "@param a\n@returns", False), ("closeCell", "Safe to call twice.\n@param a the a", True), ("closeCell", "function closeCell(a)", False),
+        ("closeCell", "Inspects and processes the count", False), ("closeCell", "Computes the thing", False), ("closeCell", "See also merge_all in utils for the other direction", False), ("closeCell", "Checks every row twice; see merge_all for why.", True),
     ],
 )
 def test_descriptions(name, summary, want):
