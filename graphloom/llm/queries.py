@@ -42,6 +42,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find(table(spark, d, "files"))
 
 
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return credentials.redact(table(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split.found(table(spark, d, "symbols"), table(spark, d, "files"))
 
