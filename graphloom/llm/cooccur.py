@@ -70,16 +70,17 @@ def cooccurrence(
     per_counted = occurrences.groupBy("ik").agg(F.count(F.lit(1)).alias("n_counted"))
     # an item of fewer counted baskets than min_support is in no pair
     frequent = per_counted.filter(F.col("n_counted") >= min_support).join(per_item, "ik").join(names, "ik").join(totals, "g")
-    frequent = cut(frequent.withColumn("heavy", F.col("n_counted") * dense >= F.col("counted")))
+    # materialised, so the numbers of its rows stay; pairs carry these instead of keys
+    frequent = cut(frequent.withColumn("heavy", F.col("n_counted") * dense >= F.col("counted")).withColumn("no", F.monotonically_increasing_id()))
 
     spread = occurrences.withColumn("salt", F.pmod(F.xxhash64("bk"), F.lit(SALTS)).cast("int"))
-    salted = frequent.select("ik", "g", "counted", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    known = spread.join(salted, ["ik", "salt"]).select("g", "counted", "bk", "ik", "heavy")
+    salted = frequent.select("ik", "no", "g", "counted", "heavy", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    known = spread.join(salted, ["ik", "salt"]).select("g", "counted", "bk", "no", "heavy")
 
     # one row a basket, its light and its heavy items; at most max_items of them
     split = known.groupBy("g", "bk").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("heavy"), F.col("ik")))).alias("light"),
-        F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("ik")))).alias("dense"),
+        F.sort_array(F.collect_list(F.when(~F.col("heavy"), F.col("no")))).alias("light"),
+        F.sort_array(F.collect_list(F.when(F.col("heavy"), F.col("no")))).alias("dense"),
         F.max("counted").alias("counted"),
     )
     split = cut(split)  # read by both ways of counting
@@ -104,26 +105,26 @@ def cooccurrence(
 
     # the bit matrix: one word of 64 baskets, one long per heavy item
     bits = (
-        numbered.select(*at, "bit", F.explode("dense").alias("ik"))
-        .groupBy(*at, "ik")
+        numbered.select(*at, "bit", F.explode("dense").alias("no"))
+        .groupBy(*at, "no")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
         .groupBy(*at)
-        .agg(F.sort_array(F.collect_list(F.struct("ik", "bits"))).alias("row"))
+        .agg(F.sort_array(F.collect_list(F.struct("no", "bits"))).alias("row"))
     )
     row = F.col("row")
     heavy_pairs = (
         bits.filter(F.size("row") > 1)
         .select(F.posexplode("row").alias("i", "x"), "row")
         .select("x", F.explode(F.slice(row, F.col("i") + 2, F.size(row))).alias("y"))
-        .select(F.col("x.ik").alias("a"), F.col("y.ik").alias("b"), F.bit_count(F.col("x.bits").bitwiseAND(F.col("y.bits"))).cast("long").alias("shared"))
+        .select(F.col("x.no").alias("a"), F.col("y.no").alias("b"), F.bit_count(F.col("x.bits").bitwiseAND(F.col("y.bits"))).cast("long").alias("shared"))
         .filter("shared > 0")
         .groupBy("a", "b")
         .agg(F.sum("shared").alias("support"))
     )
 
     pairs = light_pairs.unionByName(heavy_pairs).filter(F.col("support") >= min_support)
-    stat = lambda k: frequent.select(F.col("ik").alias(k), F.struct("item", "n_item").alias(f"s{k}"))
-    one = frequent.select(F.col("ik").alias("a"), "g", F.col("baskets").alias("n"), F.struct("item", "n_item").alias("sa"))
+    stat = lambda k: frequent.select(F.col("no").alias(k), F.struct("item", "n_item").alias(f"s{k}"))
+    one = frequent.select(F.col("no").alias("a"), "g", F.col("baskets").alias("n"), F.struct("item", "n_item").alias("sa"))
     named = pairs.join(one, "a").join(stat("b"), "b").select("g", "support", "n", F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"))
     return named.select(
         "g", F.col("x.item").alias("item_a"), F.col("y.item").alias("item_b"), "support", F.col("x.n_item").alias("n_a"), F.col("y.n_item").alias("n_b"), "n",
