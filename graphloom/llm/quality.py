@@ -120,25 +120,36 @@ def then(x: list[int], y: list[int]) -> list[int]:
     return [x[T_PROSE] + t[0], *t[1:], x[F_PROSE] + f[0], *f[1:]]
 
 
-def line_flow(kind: int, ends: bool, size: int) -> list[int]:
-    """A line that may be prose is, if a neighbour without a blank line between is: the line before goes on in it, or
-    it goes on in the line after."""
-    on = int(not ends)
-    if kind == PROSE:
-        return [size, on, 0, size, on, 0, 1, 0]
-    if kind == MAYBE:
-        return [size, on, 0, 0, 0, size * on, 0, on]
-    return [0] * 8
-
-
 def block_counts(lines: list[str], common: frozenset) -> list[int]:
-    """COUNTS of whole lines, and their flow."""
-    total, flow = [0] * len(COUNTS), UNMOVED
+    """COUNTS of whole lines, and their flow.
+
+    A line that may be prose is, if a neighbour without a blank line between is: the line before goes on in it, or it
+    goes on in the line after.
+    """
+    if not lines:
+        return [0] * len(COUNTS) + UNMOVED
+    rows = []
+    t_prose, t_on, t_pending = 0, 1, 0
+    f_prose, f_on, f_pending, claims, passes = 0, 0, 0, 0, 1
     for line in lines:
         c, kind, ends = line_counts(line, common)
-        flow = then(flow, line_flow(kind, ends, c[SOLID]))
-        total = [a + b for a, b in zip(total, c, strict=True)]
-    return total + flow
+        rows.append(c)
+        on, size = int(not ends), c[SOLID]
+        if kind == PROSE:
+            t_prose, t_on, t_pending = t_prose + size + t_pending, on, 0
+            f_prose, f_on, f_pending, claims, passes = f_prose + size + f_pending, on, 0, claims | passes, 0
+        elif kind == MAYBE:
+            if t_on:
+                t_prose, t_on = t_prose + size, on
+            else:
+                t_pending = (t_pending + size) * on
+            if f_on:
+                f_prose, f_on = f_prose + size, on
+            else:
+                f_pending, passes = (f_pending + size) * on, passes & on
+        else:
+            t_on = t_pending = f_on = f_pending = passes = 0
+    return [*map(sum, zip(*rows, strict=True)), t_prose, t_on, t_pending, f_prose, f_on, f_pending, claims, passes]
 
 
 def joined(a: list[int], b: list[int]) -> list[int]:
