@@ -22,11 +22,11 @@ file = BOF NL? stmt* EOF
 stmt = simple NL | compound
 block = NLC INDENT stmt+
 simple = small (';' small)* ';'?
-small = exprs | exprs (EQ exprs)+ | exprs AUG exprs | target ANN expr (EQ exprs)? | pass | break | continue | return exprs? | raise (expr (from expr)?)? | assert expr (',' expr)? | del exprs | import dotted (as ID)? (',' dotted (as ID)?)* | from ('.' | '...')* dotted? import (STAR | names | '(' names ','? ')') | (global | nonlocal) ID (',' ID)* | type ID EQ expr
+small = exprs | exprs (EQ exprs)+ | exprs AUG exprs | target ANN expr (EQ exprs)? | pass | break | continue | return exprs? | raise (expr (from expr)?)? | assert expr (',' expr)? | del exprs | import dotted (as ID)? (',' dotted (as ID)?)* | from ('.' | '...')* dotted? import (STAR | names | '(' names ','? ')') | (global | nonlocal) ID (',' ID)* | type ID tsub? EQ expr
 names = ID (as ID)? (',' ID (as ID)?)*
 dotted = ID ('.' ID)*
 target = postfix
-compound = deco* (async? def ID sub? '(' params? ')' ('->' expr)? COLON suite D_def | class ID sub? ('(' args? ')')? COLON suite D_def) | if_ | for_ | while_ | with_ | try_ | match_
+compound = deco* (async? def ID tsub? '(' params? ')' ('->' expr)? COLON suite D_def | class ID tsub? ('(' args? ')')? COLON suite D_def) | if_ | for_ | while_ | with_ | try_ | match_
 deco = '@' expr NL
 suite = block | simple NL
 if_ = if expr COLON suite D_if (elif expr COLON suite D_if)* (else COLON suite D_end)?
@@ -45,7 +45,8 @@ unary = (ADD | not | '~' | await)* postfix
 postfix = atom ('.' ID | '(' args? ')' | '[' subs ']')*
 subs = sub1 (',' sub1)* ','?
 sub1 = expr? (SLICE expr?)* | STAR expr
-sub = '[' args ']'
+tsub = '[' tpar (',' tpar)* ','? ']'
+tpar = (STAR | POW)? ID (SLICE expr)? (EQ expr)?
 atom = ID | NUM | STR+ | '...' | '(' (exprs | expr comp | yield exprs)? ')' | '[' (exprs | expr comp)? ']' | '{' (pairs | exprs | expr comp | pair comp)? '}'
 pairs = pair (',' pair)* ','?
 pair = expr KCOLON expr | POW expr
@@ -106,12 +107,12 @@ tsuffix = NEVER
 TYPED = """
 deco = '@' ANAME ('(g' args ')g')?
 mod = static | ASYNC | get | set | public | private | protected | readonly | abstract | declare | override
-generic = 'T<' type (extends type)? (EQ type)? (',' type (extends type)? (EQ type)?)* 'T>'
+generic = 'T<' const? type (extends type)? (EQ type)? (',' const? type (extends type)? (EQ type)?)* ','? 'T>'
 note = 'A:' type
-ret = 'A:' (ID is type | asserts ID | type)
+ret = 'A:' (ID is type | asserts ID (is type)? | type)
 types = type (',' type)*
-tdecl = declare? (interface ID generic? (extends types)? '{t' tmembers '}t' | const? enum ID '{t' enums '}t' | (namespace | module) (ID | STR) ('.' ID)* '{b' body '}b' | abstract klass | declare (vars end | funct | klass)) | TYPEKW ID generic? EQ type end
-tm = readonly? (key | '[' ID 'A:' type ']') 'O?'? (note | params ret?)? | params ret?
+tdecl = declare? (interface ID generic? (extends types)? '{t' tmembers '}t' | const? enum ID '{t' enums '}t' | (namespace | module) (ID | STR) ('.' ID)* '{b' body '}b' | declare ID '{b' body '}b' | abstract klass | declare (vars end | funct | klass)) | TYPEKW ID generic? EQ type end
+tm = (ADD? readonly)? (key | '[' ID 'A:' type ']' | '[' ID in type (as type)? ']') (ADD? 'O?')? (note | params ret?)? | params ret?
 tmembers = (tm (';' | ',' | ASI))* tm?
 enums = (key (EQ expr)? ',')* (key (EQ expr)?)?
 type = PIPE? tunary (PIPE tunary)* | tunary extends tunary 'T?' type 'T:' type
@@ -120,7 +121,8 @@ typeof_ = PRE
 tatom = ID ('.' ID)* generic? | STR | NUM | TPL | '{t' tmembers '}t' | '(g' (tparam (',' tparam)*)? ')g' ('=>' type)? | '[' (type (',' type)*)? ']' | new '(g' (tparam (',' tparam)*)? ')g' '=>' type
 tparam = '...'? type 'O?'? note?
 tsuffix = NOT | generic | (as | satisfies) type
-arrow = ASYNC? (ID | '(g' (tsparam (',' tsparam)*)? ')g' note?) '=>' (expr | '{b' body '}b')
+unary = (PRE | ADD | INC | NOT | await | 'T<' type 'T>')* postfix
+arrow = ASYNC? (ID | generic? '(g' (tsparam (',' tsparam)*)? ')g' note?) '=>' (expr | '{b' body '}b')
 tsparam = '...'? target 'O?'? note? (EQ expr)?
 """
 
@@ -168,9 +170,9 @@ mods = (mod | anno)*
 mod = public | private | protected | static | final | abstract | native | synchronized | transient | volatile | strictfp | default | sealed
 anno = '@' ANAME ('(g' annoargs? ')g')?
 annoargs = expr (EQ expr)? (',' expr (EQ expr)?)*
-typedecl = mods (class ID generic? (extends TYPE)? (implements TYPE (',' TYPE)*)? '{c' members '}c' | interface ID generic? (extends TYPE (',' TYPE)*)? '{c' members '}c' | enum ID (implements TYPE (',' TYPE)*)? '{e' enums? (';' members)? '}e' | record ID generic? params (implements TYPE (',' TYPE)*)? '{c' members '}c' | AT interface ID '{c' members '}c')
+typedecl = mods (class ID generic? (extends TYPE)? (implements TYPE (',' TYPE)*)? (permits TYPE (',' TYPE)*)? '{c' members '}c' | interface ID generic? (extends TYPE (',' TYPE)*)? (permits TYPE (',' TYPE)*)? '{c' members '}c' | enum ID (implements TYPE (',' TYPE)*)? '{e' enums? (';' members)? '}e' | record ID generic? params (implements TYPE (',' TYPE)*)? '{c' members '}c' | AT interface ID '{c' members '}c')
 generic = 'T<' TYPE 'T>'
-enums = anno* ID ('(g' args? ')g')? ('{c' members '}c')? (',' anno* ID ('(g' args? ')g')? ('{c' members '}c')?)* ','?
+enums = anno* ID ('(k' args? ')k')? ('{c' members '}c')? (',' anno* ID ('(k' args? ')k')? ('{c' members '}c')?)* ','?
 members = (mods generic? TYPE ID params dims? throws_? ('{b' body '}b' | default expr ';' | ';') | mods generic? ID params throws_? '{b' body '}b' | mods TYPE ID dims? init? (',' ID dims? init?)* ';' | typedecl | static? '{b' body '}b' | ';' | mods ID '{b' body '}b')*
 throws_ = throws TYPE (',' TYPE)*
 params = '(f' (param (',' param)*)? ')f'
@@ -186,15 +188,17 @@ forhead = forinit? ';' expr? ';' exprs? | final? TYPE ID 'C:' expr
 forinit = final? TYPE ID init? (',' ID init?)* | exprs
 exprs = expr (',' expr)*
 cases = ((case label | default) ('C:' body | '->' (expr ';' | '{b' body '}b' | throw expr ';')))*
-label = (expr | TYPE ID) (',' expr)*
-expr = unary ((BIN | ADD | STAR | EQ | AUG | 'T?' expr 'T:') unary | instanceof final? (name | TYPE ID))* | lambda
+label = (expr | TYPE ID | pattern) (',' (expr | TYPE ID | pattern | default))* (when expr)?
+pattern = ID '(k' (component (',' component)*)? ')k'
+component = final? TYPE ID | pattern
+expr = unary ((BIN | ADD | STAR | EQ | AUG | 'T?' expr 'T:') unary | instanceof final? (name | TYPE ID | pattern))* | lambda
 lambda = (ID | '(g' (lparam (',' lparam)*)? ')g') '->' (expr | '{b' body '}b')
 lparam = TYPE? ID
 unary = (PRE | ADD | INC | '(g' name ')g' | '(g' TYPE ')g')* postfix
-postfix = atom ('.' (ID | new ID | class | this | 'T<' TYPE 'T>' ID) | '(g' args? ')g' | '[' expr ']' | INC | '::' (ID | new))*
+postfix = atom ('.' (ID | new ID | class | this | 'T<' TYPE 'T>' ID) | '(k' args? ')k' | '[' expr ']' | INC | '::' (ID | new))*
 args = expr (',' expr)*
 atom = ID | NUM | STR | this | '(g' expr ')g' | lambda | new creator | switch '(h' expr ')h' '{b' cases '}b' | ID dims '.' class | ID dims '::' new
-creator = name generic? (dims arrayinit | ('[' expr ']')+ dims? | '(g' args? ')g' ('{c' members '}c')?)
+creator = name generic? (dims arrayinit | ('[' expr ']')+ dims? | '(k' args? ')k' ('{c' members '}c')?)
 """
 
 

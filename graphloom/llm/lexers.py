@@ -61,9 +61,13 @@ def lex_json(text: str) -> tuple[set, list[str]]:
 
 #: patterns that look ahead from a token
 _P0 = re.compile(r"\s+(def|for|with)\b")
+_TYPE_ALIAS = re.compile(r"[ \t]+[^\W\d]\w*[ \t]*[=\[]")
 _P1 = re.compile(r"[(\[{]|[)\]}]|\belse\b|\bfor\b|\bif\b|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _P2 = re.compile(r"[ \t]*(?:function\b|\(|[A-Za-z_$][\w$]*[ \t]*(?:=>|\()|\*|\[)")
-_P3 = re.compile(r"\s*const")
+_P3 = re.compile(r"\s*const\b")
+_ARROW = re.compile(r"\s*(?:=>|:[^;{}]*=>)")
+_BRACKET = re.compile(r"[(\[{]|[)\]}]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//[^\n]*", re.S)
+_GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*(?:\s+extends\s[^()=;]*?)?(?:\s*=[^()>;]*)?\s*(?:,[^()=;]*)?>\s*\(|<[\w\s.,\[\]|&<>]*>\s*[\w({\[\"'`]")
 _P4 = re.compile(r"[ \t]+[A-Za-z_$][\w$]*\s*[=<]|[ \t]+\{|[ \t]+[A-Za-z_$][\w$]*[ \t]*(?:,|from\b|\})")
 _P5 = re.compile(r"[ \t]+[A-Za-z_$][\w$]*")
 _P6 = re.compile(r"\s*=")
@@ -71,12 +75,10 @@ _P7 = re.compile(r"[ \t]+[A-Za-z_$\"'{\[#*]")
 _P8 = re.compile(r"\s*[:),;=}]")
 _P9 = re.compile(r"\(")
 _P10 = re.compile(r"[^\n]*\}\s*\{")
-_P11 = re.compile(r"(?:^|[;{}\n])\s*\w+\s*$")
 _P12 = re.compile(r"[A-Za-z_$][\w$.]*(?:<[^;(){}=]*>)?")
 _P13 = re.compile(r"\s*(\w+|\.\.\.)")
 _P14 = re.compile(r"\s+\w")
 _P15 = re.compile(r"\s*[A-Za-z_$][\w$.]*(?:<[^;(){}=]*>)?")
-_P16 = re.compile(r"\s*(?:@|public|private|protected|[A-Z][\w<>\[\], .]*\s+\w+\s*\(|\}|\{)")
 _P17 = re.compile(r"<[\w\s,.\[\]&?<>@]*>")
 _P18 = re.compile(r"\s*(?:\(|::)")
 _P19 = re.compile(r"interface\b")
@@ -95,24 +97,66 @@ _PY_SIMPLE = {
     **dict.fromkeys(["==", "!=", "<=", ">=", "<", ">", "//", "%", "|", "&", "^", "<<", ">>"], "BIN"), **dict.fromkeys(["+", "-"], "ADD"), "*": "STAR", "**": "POW", "=": "EQ",
     **dict.fromkeys(["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="], "AUG"), ".": ".", ",": ",", "->": "->", "/": "/", "...": "...", ":=": ":=", "~": "~", ";": ";",
 }
+#: labels that no target of an assignment holds outside brackets, and labels that end none
+_NO_TARGET = frozenset(["BIN", "ADD", "POW", "/", "~", ":=", "not", "and", "or", "is", "in", "lambda", "TIF", "await", "yield"])
+_NO_TARGET_END = frozenset(["NUM", "STR", "CONST", ")call", "..."])
 _PY_AUG = frozenset(["+=", "-=", "*=", "/=", "//=", "%=", "@=", "&=", "|=", "^=", ">>=", "<<=", "**="])
 
 
+class _Elements:
+    """What the elements of a bracket have been so far: of a call's arguments, a function's parameters or a display."""
+
+    __slots__ = ("kind", "named", "double", "bare", "pairs", "plain", "default", "star", "now_named", "now_star", "now_pair")
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.named = self.double = self.bare = self.pairs = self.plain = self.default = self.star = False
+        self.now_named, self.now_star, self.now_pair = False, "", False
+
+    def end(self, empty: bool) -> bool:
+        """An element ends; whether the elements so far may stand in this order."""
+        named, star, pair = self.now_named, self.now_star, self.now_pair
+        self.now_named, self.now_star, self.now_pair = False, "", False
+        if empty:
+            return True
+        if self.kind == "call":
+            if star == "**":
+                self.double = True
+            elif named:
+                self.named = True
+            elif self.double or not star and self.named:
+                return False
+        elif self.kind == "def":
+            if star == "*":
+                self.star = True
+            elif star != "**":
+                if self.default and not named and not self.star:
+                    return False
+                self.default |= named
+        elif self.kind == "{":
+            self.pairs |= pair
+            self.plain |= not pair and star != "**"
+            return not (self.pairs and self.plain)
+        return True
+
+
 def lex_python(text: str) -> tuple[set, list[str]]:
     pairs: set = set()
     brackets: list[str] = []
-    stack: list[list] = []  # [bracket, saw comprehension for, ternaries, lambdas, slice?]
-    indents = [0]
+    stack: list[list] = []  # [bracket, saw comprehension for, ternaries, lambdas, elements, call?]
+    indents = [(0, 0)]  # columns with tabs of eight, and of one
     owners: list[str] = []  # the owner of each indented block
     prev, head, colon, tern, lam, start, ann = "BOF", "", False, 0, 0, True, False
     pending = ""  # the owner whose block must come next
-    text = text.expandtabs(8) if "\t" in text and re.search(r"^ *\t", text, re.M) else text
     last_if = ""
+    last = ""  # what ends the element before the current place: CONST and )call are no labels
+    target, listed = True, False  # whether what stands since the last = may be a target, and holds a comma
+    lambdas: list[tuple[int, _Elements]] = []  # of lambdas whose parameters are being read: depth, elements
 
     def put(label: str) -> None:
-        nonlocal prev
+        nonlocal prev, last
         pairs.add((prev, label, False))
-        prev = label
+        prev = last = label
 
     def close(owner: str) -> None:
         put(owner)
@@ -124,12 +168,46 @@ def lex_python(text: str) -> tuple[set, list[str]]:
             if kind == "id":
                 if tok not in _PY_KW:
                     pairs.add((prev, "ID", False))
-                    prev = "ID"
+                    prev = last = "ID"
                     continue
             elif tok in _PY_SIMPLE:
                 label = _PY_SIMPLE[tok]
+                if lambdas and lambdas[-1][0] == len(stack):
+                    e = lambdas[-1][1]
+                    if label == ",":
+                        if not e.end(False):
+                            put("BAD")
+                    elif label == "EQ":
+                        e.now_named = True
+                    elif label in ("STAR", "POW") and prev in ("lambda", ","):
+                        e.now_star = tok
+                elif stack:
+                    e = stack[-1][4]
+                    if e is not None:
+                        if label == ",":
+                            e.bare = e.kind == "def" and prev == "STAR"
+                            if not e.end(prev in ("(", "{", ",")):
+                                put("BAD")
+                        elif label == "EQ":
+                            e.now_named = True
+                        elif label in ("STAR", "POW") and prev in ("(", "{", ","):
+                            e.now_star = tok
+                            if e.bare:
+                                put("BAD")
+                elif label == "EQ" or label == "AUG":
+                    if not ann and (not target or last in _NO_TARGET_END or label == "AUG" and listed):
+                        put("BAD")
+                    target, listed = True, False
+                elif label == ",":
+                    listed = True
+                    if last in _NO_TARGET_END:
+                        target = False
+                elif label in _NO_TARGET:
+                    target = False
+                elif label == ";":
+                    target, listed, ann = True, False, False
                 pairs.add((prev, label, False))
-                prev = label
+                prev = last = label
                 continue
         at = m.start(kind)
         if kind == "com" or kind == "fin":
@@ -149,18 +227,21 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                 if head:  # a suite on the header's line
                     put(_PY_HEAD[head] if head != "else" else "D_end")
                 pending = ""
-            start, head, colon, tern, lam, ann = True, "", False, 0, 0, False
+            start, head, colon, tern, lam, ann, target, listed = True, "", False, 0, 0, False, True, False
+            lambdas.clear()
             continue
         if start and not stack:
-            begin = at - (text.rfind("\n", 0, at) + 1)
-            if begin > indents[-1]:
-                put("INDENT") if pending else put("BAD")
+            white = text[text.rfind("\n", 0, at) + 1 : at]
+            begin = (len(white.expandtabs(8)), len(white)) if "\t" in white else (len(white), len(white))
+            wide = begin[0] - indents[-1][0]
+            if wide > 0:
+                put("INDENT") if pending and begin[1] > indents[-1][1] else put("BAD")
                 indents.append(begin)
                 owners.append(pending)
             else:
                 if pending:
                     put("BAD")
-                while begin < indents[-1]:
+                while begin[0] < indents[-1][0]:
                     indents.pop()
                     last_if = owners.pop()
                     close(last_if)
@@ -172,6 +253,9 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                 head = tok
                 put(tok)
                 continue
+            if kind == "id" and tok == "type" and _TYPE_ALIAS.match(text, m.end()):
+                put(tok)
+                continue
             if kind == "id" and tok == "async":
                 head = ""
                 put("async")
@@ -195,6 +279,7 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                     stack[-1][2] += 1
                 else:
                     tern += 1
+                    target = False
                 put("TIF")
                 if head == "case" and not stack:
                     tern -= 1
@@ -215,10 +300,19 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                     stack[-1][3] += 1
                 else:
                     lam += 1
+                    target = False
                 put("lambda")
+                lambdas.append((len(stack), _Elements("def")))
             elif tok in ("None", "True", "False"):
                 put("ID")
+                last = "CONST"
             elif tok in _PY_KW:
+                if not stack:
+                    if tok == "in" and head == "for" and not colon:
+                        if not target or last in _NO_TARGET_END:
+                            put("BAD")
+                    elif tok in _NO_TARGET:
+                        target = False
                 put(tok)
             else:
                 put("ID")
@@ -229,17 +323,32 @@ def lex_python(text: str) -> tuple[set, list[str]]:
         elif kind == "bad":
             put("BAD")
         elif tok in OPEN:
+            called = tok == "(" and prev in ("ID", ")", "]", "STR")
+            params = called and head == "def" and not stack and not colon
             put(tok)
-            stack.append([tok, False, 0, 0])
+            stack.append([tok, False, 0, 0, _Elements("def" if params else "call" if called else "{") if called or tok == "{" else None, called])
             brackets.append(tok)
         elif tok in CLOSE:
             brackets.append(tok)
+            called = False
             if stack:
-                if stack[-1][2] or stack[-1][3] or stack[-1][0] != OPEN[CLOSE.index(tok)]:
+                while lambdas and lambdas[-1][0] == len(stack):
+                    lambdas.pop()
+                frame = stack.pop()
+                e = frame[4]
+                if frame[2] or frame[3] or frame[0] != OPEN[CLOSE.index(tok)]:
                     put("BAD")
-                stack.pop()
+                elif e is not None:
+                    if e.kind == "def" and prev == "STAR" or not frame[1] and not e.end(prev in ("(", "{", ",")):
+                        put("BAD")
+                called = frame[5]
             put(tok)
+            if called:
+                last = ")call"
         elif tok == ":":
+            if lambdas and lambdas[-1][0] == len(stack):
+                if not lambdas.pop()[1].end(prev == "lambda"):
+                    put("BAD")
             if stack:
                 top = stack[-1]
                 if top[3]:
@@ -248,6 +357,7 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                 elif top[0] == "[":
                     put("SLICE")
                 elif top[0] == "{":
+                    top[4].now_pair = True
                     put("KCOLON")
                 else:
                     put("ANN")
@@ -256,26 +366,19 @@ def lex_python(text: str) -> tuple[set, list[str]]:
                 put("ANN")
             elif head and not colon:
                 colon = True
+                target, listed = True, False
                 put("COLON")
-            elif not ann and not head:
+            elif not ann and (not head or colon):
                 ann = True
                 put("ANN")
             else:
                 put("BAD")
-        elif tok == "=":
-            put("EQ")
-        elif tok in _PY_AUG:
-            put("AUG")
-        elif tok in ("+", "-"):
-            put("ADD")
-        elif tok == "*":
-            put("STAR")
-        elif tok == "**":
-            put("POW")
-        elif tok in ("/", ".", "...", ",", ";", "->", ":=", "~"):
-            put(tok)
         elif tok == "@":
             put("@" if at == 0 or text[text.rfind("\n", 0, at) + 1 : at].strip() == "" else "BIN")
+            if not stack and prev == "BIN":
+                target = False
+        elif tok in _PY_SIMPLE:
+            put(_PY_SIMPLE[tok])
         else:
             put("BIN")
     if prev != "BOF":
@@ -301,7 +404,7 @@ def lex_python(text: str) -> tuple[set, list[str]]:
 def _tern_ahead(text: str, at: int) -> bool:
     """Whether an else follows before the bracket closes: then the if is a conditional expression."""
     depth = 0
-    for m in _P1.finditer(text, at, at + 2000):
+    for m in _P1.finditer(text, at):
         t = m[0]
         if t in OPEN:
             depth += 1
@@ -342,6 +445,23 @@ _TYPE_ARGS = re.compile(r"<[\w\s,.\[\]|&<>\"'{}:;?]*?>(?=\s*[({=,)\];>|\[]|\s*$|
 _MEMBER = re.compile(r"\s*[:(,}?=;<!]")
 
 
+def _arrow_ahead(text: str, at: int) -> bool:
+    """Whether the bracket that opens at `at` is closed and an arrow follows: then it holds parameters."""
+    depth = 0
+    for m in _BRACKET.finditer(text, at):
+        if m[0] in OPEN:
+            depth += 1
+        elif m[0] in CLOSE:
+            depth -= 1
+            if depth == 0:
+                return _ARROW.match(text, m.end()) is not None
+    return False
+
+
+#: what a statement may begin after
+_STATEMENT = frozenset([";", "{b", "}b", "}try", "BOF", "C:", ")h", "else", "do", "}c", "}t"])
+
+
 def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
     pairs: set = set()
     brackets: list[str] = []
@@ -353,7 +473,9 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
     klass = ""  # pending class or type body
     mod_list = False
     owner_paren = ""
-    stmt_start = True
+    before_id, before_async = "BOF", "BOF"  # what stands before the last name, and the last async; "" after a line end
+    constant, valued = 0, False  # depth of a declaration of constants, and whether its last name has a value
+    alias = 0  # depth of a type alias whose = is to come
     if text.startswith("#!"):
         pos = text.find("\n") if "\n" in text else n
     match = _JS.match
@@ -370,6 +492,9 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
         if kind == "id":
             if tok not in _WORDS and prev != "@":
                 pairs.add((prev, "ID", line))
+                if prev == "declare" and tok == "global":
+                    klass = "{b"
+                before_id = "" if line else prev
                 prev, line, pos = "ID", False, m.end()
                 continue
         elif tok in _JS_SIMPLE:
@@ -411,7 +536,7 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                 put("ID")
                 continue
             if top[4] and typed:
-                if tok in ("keyof", "infer", "readonly", "unique", "is", "asserts", "extends") and prev not in ("A:",) or tok == "extends":
+                if tok in ("keyof", "infer", "readonly", "unique", "is", "asserts", "extends") and prev not in ("A:",) or tok == "extends" or tok in ("asserts", "keyof", "unique", "readonly") and _P14.match(text, pos):
                     put(tok)
                 elif tok in ("typeof",):
                     put("PRE")
@@ -429,10 +554,14 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
             if tok in ("typeof", "void", "delete"):
                 put("PRE")
             elif tok == "of":
+                if constant == len(stack) and not valued and prev in ("ID", "}o", "]"):
+                    constant = 0
                 put("of" if top[0] == "(h" and prev in ("ID", "}o", "]") else "ID")
             elif tok == "async":
                 nx = _P2.match(text, pos)
-                put("ASYNC" if nx and not (text[pos : pos + 1] == "(" and "=>" not in text[pos : pos + 300]) else "ID")
+                opening = nx is not None and nx[0].endswith("(") and nx[0].strip() == "("
+                before_async = "" if line else prev
+                put("ASYNC" if nx and not (opening and top[0] not in ("{c", "{o") and not _arrow_ahead(text, nx.end() - 1)) else "ID")
             elif tok in ("get", "set", "static"):
                 put(tok if top[0] in ("{c", "{o") and key_place else "ID")
             elif tok in ("as", "from"):
@@ -458,8 +587,8 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                 if nx and (at_start or prev in ("export", "import", "declare", "{m", ",")):
                     put("TYPEKW")
                     if "=" in nx[0] or "<" in nx[0]:
-                        klass = klass or ""
                         stack[-1][4] = False
+                        alias = len(stack)
                         # the alias's right side is a type
                         eq = _P5.match(text, pos)
                         put("ID")
@@ -470,12 +599,13 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                             if eq2:
                                 put("EQ")
                                 pos = eq2.end()
+                                alias = 0
                         stack[-1][4] = True
                 else:
                     put("ID")
             elif typed and tok in _TS_SOFT:
                 nx = _P7.match(text, pos)
-                place = at_start or prev in ("export", "default", "declare", "abstract", "{c", "(f", ",", "public", "private", "protected", "static", "readonly", "const", "}b", ";", ")g", "@", "override") or line
+                place = at_start or prev == "ADD" and top[0] == "{t" or prev in ("export", "default", "declare", "abstract", "{c", "(f", ",", "public", "private", "protected", "static", "readonly", "const", "}b", ";", ")g", "@", "override") or line
                 if tok in ("implements", "satisfies"):
                     put(tok)
                     if tok == "satisfies":
@@ -494,9 +624,18 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                 if tok == "enum":
                     put("BAD")
                     continue
+                if tok == "in" and typed and top[0] == "[" and stack[-2][0] == "{t":
+                    put(tok)
+                    top[4] = True
+                    continue
+                ahead = before_async if prev == "ASYNC" else "" if line and prev in _END_OPERAND else prev
+                if tok == "const" and not typed and prev != "ID":
+                    constant, valued = len(stack), False
+                elif tok == "in" and constant == len(stack) and not valued:
+                    constant = 0
                 put(tok)
                 if tok == "function":
-                    fn_header = "decl" if pairs and _decl_before(text, at) else "expr"
+                    fn_header = "decl" if ahead in _STATEMENT or ahead in ("", "export", "default", "declare") else "expr"
                 elif tok == "class":
                     klass = "{c"
                 elif tok in ("if", "while", "for", "switch", "catch"):
@@ -597,6 +736,10 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                     put("}" + frame[0][1:] if frame[0][0] == "{" else "}b")
             continue
         if tok == ";":
+            if constant == len(stack):
+                if not valued:
+                    put("BAD")
+                constant = 0
             if top[1] > 0:
                 put("BAD")
                 top[1] = 0
@@ -607,6 +750,10 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
                 fn_header = ""
             continue
         if tok == ",":
+            if constant == len(stack):
+                if not valued:
+                    put("BAD")
+                valued = False
             put(",")
             if top[0] == "{o":
                 top[3] = True
@@ -631,7 +778,7 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
             elif top[0] == "{o" and top[3]:
                 top[3] = False
                 put("K:")
-            elif prev == "default" or top[0] == "{b" and prev == "ID" and re.search(r"(?:^|[;{}])\s*[\w$]+\s*$", text[max(0, at - 120) : at].rsplit("\n", 1)[-1]) and not fn_header:
+            elif prev == "default" or top[0] == "{b" and prev == "ID" and (before_id == "" or before_id in _STATEMENT) and not fn_header:
                 put("C:")
             else:
                 put("A:")
@@ -639,12 +786,15 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
             continue
         if tok == "=":
             put("EQ")
-            if not (top[4] and prev == "T>" and False):
-                top[4] = False
+            if constant == len(stack):
+                valued = True
+            top[4] = alias == len(stack)
+            if top[4]:
+                alias = 0
             if top[0] == "{c":
                 top[3] = True
             continue
-        if tok == "<" and typed and (top[4] or prev in ("ID", "function") and text[at - 1 : at].strip() and _TYPE_ARGS.match(text, at)):
+        if tok == "<" and typed and (top[4] or prev in ("ID", "function") and text[at - 1 : at].strip() and _TYPE_ARGS.match(text, at) or prev not in _END_OPERAND and prev != "super" and _GENERIC_ARROW.match(text, at)):
             put("T<")
             stack.append(["<", 0, False, False, True, "<"])
             continue
@@ -683,17 +833,6 @@ def lex_ecma(text: str, typed: bool) -> tuple[set, list[str]]:
     return pairs, brackets
 
 
-def _decl_before(text: str, at: int) -> bool:
-    """Whether a function keyword at `at` begins a declaration."""
-    before = text[max(0, at - 200) : at].rstrip(" \t")
-    before = re.sub(r"(?:\basync|\bdefault|\bexport|\bdeclare)\s*$", "", before).rstrip(" \t")
-    before = re.sub(r"(?:\basync|\bdefault|\bexport|\bdeclare)\s*$", "", before).rstrip(" \t")
-    if before.endswith("\n"):
-        tail = re.sub(r"/\*.*?\*/|//[^\n]*", "", before, flags=re.S).rstrip()
-        return not tail or tail[-1] not in "=(,:?&|+[" and not tail.endswith("return")
-    return not before or before[-1] in ";{}" or before.endswith("*/")
-
-
 _GO = re.compile(
     r"[ \t\r]*(?:(?P<nl>\n)|" + _COMMENT + r"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\[^\n]{1,10}?)')|" + _NUMBER.replace("$", "")
     + r"|(?P<id>[^\W\d]\w*)|(?P<op>&\^=|<<=|>>=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|<<|>>|&\^|[-+*/%&|^]=|[-+*/%&|^!<>=.,;:()\[\]{}~])|(?P<bad>.)|(?P<fin>\Z))",
@@ -806,7 +945,7 @@ def lex_go(text: str) -> tuple[set, list[str]]:
             elif header == "func" and prev in (")f", "ID", "]", ")g", "}s", "MUL"):
                 label, header = "{b", ""
             elif prev in ("ID", "]", "}s"):
-                label = "{o" if stack[-1][0] in ("(g", "{o", "[", "(d", "(f") or prev == "]" or not _P11.search(text[max(0, at - 100) : at]) else "{o"
+                label = "{o"
             elif stack[-1][0] == "{o" and prev in ("{o", ",", ":"):
                 label = "{o"
             elif prev in (";", "{b", "}b", ":", "BOF"):
@@ -864,6 +1003,8 @@ _JAVA_SIMPLE = {
     **dict.fromkeys(["+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="], "AUG"), "*": "STAR", "!": "PRE", "~": "PRE", ".": ".", ",": ",", "...": "...", "->": "->", "::": "::",
 }
 _JAVA_KW = frozenset("abstract assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized this throw throws transient try volatile while".split())
+_JAVA_SOFT = frozenset(["record", "sealed", "yield", "permits", "when", "non"])
+_RECORD_PATTERN = re.compile(r"[A-Za-z_$][\w$.]*(?:<[^;(){}=]*>)?\s*\((?=\s*(?:\)|(?:final\s+)?[A-Za-z_$][\w$.]*(?:<[^;(){}=]*>)?(?:\[\s*\])*\s*(?:\s[A-Za-z_$]|\()))")
 _JAVA_TYPE = re.compile(r"(?:[A-Za-z_$\u0080-￿][\w$\u0080-￿]*)(?:\.[A-Za-z_$][\w$]*)*(?:<[^;(){}=+\-\"]*?>+)?(?:\s*\[\s*\])*(?=\s+[A-Za-z_$\u0080-￿]|\s*\.\.\.)")
 _JAVA_NOTYPE = frozenset("return throw new else case package import assert break continue do instanceof yield goto extends implements throws public private protected static final abstract native synchronized transient volatile class interface enum default if for while switch try catch finally this super".split())
 _JAVA_LAMBDA_TYPE = re.compile(r"[^()]*\)\s*->")
@@ -876,6 +1017,9 @@ def lex_java(text: str) -> tuple[set, list[str]]:
     prev = "BOF"
     pos, n = 0, len(text)
     klass, owner_paren, record, last_h = "", "", False, ""
+    created = pattern = False  # a created type's arguments, a record pattern's components are to come
+    closed_new = False  # the last bracket closed held the arguments of a created type
+    asserting = False
 
     def put(label: str) -> None:
         nonlocal prev
@@ -909,11 +1053,25 @@ def lex_java(text: str) -> tuple[set, list[str]]:
                 continue
             caught = top[0] == "(h" and top[3] == "catch"
             if (prev == "ID" or prev == "BIN" or prev == "EQ") and not caught:
-                if tok not in _JAVA_KW and tok not in ("record", "sealed", "yield"):
+                if tok not in _JAVA_KW and tok not in _JAVA_SOFT:
                     put("ID")
                     continue
-            type_place = prev in starts or caught and prev == "BIN" or prev == "instanceof" or prev == "," and top[0] == "(f" or prev in ("extends", "implements", "throws") or prev == "," and klass or prev == ")g" and stack[-1][3] == "anno" or prev == "(g" and _JAVA_LAMBDA_TYPE.match(text, at)
-            if prev in ("extends", "implements", "throws") or prev == "," and klass and top[0] in ("{top", "{c"):
+            type_place = prev in starts or caught and prev == "BIN" or prev in ("instanceof", "case") or prev == "," and (top[0] == "(f" or top[2]) or prev in ("extends", "implements", "throws") or prev == "," and klass or prev == ")g" and stack[-1][3] == "anno" or prev == "(g" and _JAVA_LAMBDA_TYPE.match(text, at) or prev in ("(k", ",") and top[3] == "pattern"
+            if tok == "permits" and klass and prev in ("ID", "TYPE", "T>"):
+                put(tok)
+                continue
+            if tok == "non" and text.startswith("-sealed", pos):
+                put("sealed")
+                pos += 7
+                continue
+            if tok == "when" and top[2] and prev in ("ID", ")k"):
+                put(tok)
+                continue
+            if (prev in ("instanceof", "case") or prev in ("(k", ",") and top[3] == "pattern") and (t := _RECORD_PATTERN.match(text, at)):
+                put("ID")
+                pos, pattern = t.end() - 1, True
+                continue
+            if prev in ("extends", "implements", "throws", "permits") or prev == "," and klass and top[0] in ("{top", "{c"):
                 t = _P12.match(text, at)
                 put("TYPE")
                 pos = t.end()
@@ -949,6 +1107,9 @@ def lex_java(text: str) -> tuple[set, list[str]]:
                     if t:
                         put("ID")
                         pos = t.end()
+                        created = True
+                elif tok == "assert":
+                    asserting = True
             else:
                 put("ID")
             continue
@@ -964,14 +1125,14 @@ def lex_java(text: str) -> tuple[set, list[str]]:
                 label = "(h"
             elif record and prev == "ID":
                 label, record = "(f", False
-            elif top[0] in ("{c", "{e") and prev == "ID" and not _in_init(top):
-                label = "(f" if not _anno_before(text, at) else "(g"
-                if top[0] == "{e" and top[3] != "members":
-                    label = "(g"
+            elif top[0] in ("{c", "{e") and prev == "ID" and top[3] != "init" and not (top[0] == "{e" and top[3] != "members"):
+                label = "(f"
             else:
-                label = "(g"
+                label = "(k" if prev in ("ID", "this") else "(g"
+            owner = owner_paren if label == "(h" else "new" if created and prev == "ID" else "pattern" if pattern else ""
+            created = pattern = False
             put(label)
-            stack.append([label, 0, False, owner_paren if label == "(h" else ""])
+            stack.append([label, 0, False, owner])
             if label == "(h":
                 owner_paren = ""
         elif tok == "[":
@@ -985,7 +1146,7 @@ def lex_java(text: str) -> tuple[set, list[str]]:
                 label, klass = klass, ""
             elif prev in ("EQ", "]", "{o") or prev == "," and top[0] == "{o":
                 label = "{o"
-            elif prev == ")g" and top[3] != "anno" and _P16.match(text, pos) and _new_before(text, at):
+            elif prev == ")k" and closed_new:
                 label = "{c"
             else:
                 label = "{b"
@@ -1006,6 +1167,7 @@ def lex_java(text: str) -> tuple[set, list[str]]:
                 put("BAD")
             if frame[0] == "(h":
                 last_h = frame[3]
+            closed_new = frame[3] == "new"
             if tok == "]":
                 put("]")
             else:
@@ -1017,7 +1179,7 @@ def lex_java(text: str) -> tuple[set, list[str]]:
             if top[1] > 0:
                 put("BAD")
                 top[1] = 0
-            top[2] = False
+            top[2] = asserting = False
             if top[0] in ("{c", "{e"):
                 top[3] = "members"
             put(";")
@@ -1028,7 +1190,7 @@ def lex_java(text: str) -> tuple[set, list[str]]:
             if top[1] > 0:
                 top[1] -= 1
                 put("T:")
-            elif _assert_before(text, at):
+            elif asserting:
                 put("AC")
             else:
                 top[2] = False
@@ -1060,25 +1222,6 @@ def lex_java(text: str) -> tuple[set, list[str]]:
     return pairs, brackets
 
 
-
-
-
-def _in_init(frame: list) -> bool:
-    return frame[3] == "init"
-
-
-def _anno_before(text: str, at: int) -> bool:
-    return bool(re.search(r"@[\w.]+\s*$", text[max(0, at - 100) : at]))
-
-
-def _new_before(text: str, at: int) -> bool:
-    return bool(re.search(r"\bnew\s+[\w.<>, ]+\(", text[max(0, at - 400) : at]))
-
-
-def _assert_before(text: str, at: int) -> bool:
-    return bool(re.search(r"\bassert\b[^;{}]*$", text[max(0, at - 300) : at]))
-
-
 def lex(lang: str, text: str) -> tuple[set, list[str]]:
     """(pairs of adjacent labels, bracket windows) of a file; a byte order mark is no token, an empty file has no pair."""
     text = text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")

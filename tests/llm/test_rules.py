@@ -48,6 +48,121 @@ BAD = {
 }
 
 
+MORE_GOOD = {
+    "ts": [
+        'type A<T> = T extends Array<infer U> ? U : never;\n',
+        'type B = { [K in keyof T]?: T[K] };\n',
+        'type C = { -readonly [K in keyof T]-?: T[K]; };\n',
+        'type C2 = { readonly [K in keyof T as Foo<K>]: T[K]; };\n',
+        'const f = <T,>(a: T) => a;\n',
+        'const g = <T>(a: T): T => a;\n',
+        'function h(x: unknown): asserts x is string { if (!x) throw new Error(); }\n',
+        'function h(x: unknown): asserts x { if (!x) throw new Error(); }\n',
+        'type D<T> = T extends (infer U)[] ? D<U> : T extends object ? 1 : 2;\n',
+        'declare const a: number;\n',
+        'const a: number = 1;\n',
+        'declare global { const x: string; }\n',
+        'abstract class A { abstract f(): void; }\n',
+    ],
+    "java": [
+        'record P(int x, int y) { P { if (x < 0) throw new IllegalArgumentException(); } }\n',
+        'record P(int x) { public P { } }\n',
+        'class A { int f(int k) { return switch (k) { case 1 -> 2; default -> { yield 3; } }; } }\n',
+        'class A { int f(Object o) { if (o instanceof P(int x, int y)) { return x; } return 0; } }\n',
+        'class A { int f(Object o) { return switch (o) { case P(int x, int y) -> x; case Q q when q.a > 1 -> 2; case null, default -> 0; }; } }\n',
+        'sealed interface S permits A, B {}\nfinal class A implements S {}\n',
+        'public sealed class S permits A, B { }\nnon-sealed class B extends S {}\n',
+        'class A { Object o = new Foo() { int y; }; }\n',
+        'class A { Object o = new Foo() { int get() { return 1; } }; void f() { new Foo(1, b) { String s = ""; void g() {} }; } }\n',
+        'class A { void f() { foo(); bar(); } }\n',
+    ],
+    "py": [
+        'type X[T] = list[T]\n',
+        'type X = int\n',
+        'type Y[T: int, *Ts, **P] = dict[T, int]\n',
+        'type = 3\nprint(type)\n',
+        'def f(a, /, b=1, *, c, d=2, **k): pass\n',
+        'def f(a=1, *args, b, **k): pass\n',
+        'f(a, b=1, *c, **d)\n',
+        'x = y = 1\n',
+        'a[0] = b.c = 3\n',
+        '(a, b) = c\n[a, b] = c\na, *b = c\n',
+        '{1: 2, **d}\n',
+        '{1: 2, 3: 4}\n',
+        'x = {1, 2}\n',
+        'x: int = 3\na.b: int = 4\n',
+        'if x:\n\ty = 1\n\tz = 2\n',
+        'f(x)[0] = 3\nf(x).y = 4\n',
+        'lambda a, b=1: a\n',
+        'for i, (a, b) in x: pass\n',
+        'with a as (b, c): pass\n',
+        'f(**a, b=1)\n',
+        'f(a for a in b)\n',
+        'x = a if b else c\nx = (yield)\n',
+        'd = {k: v for k, v in x}\n',
+        "print(a, end='')\n",
+        'class A(B, metaclass=C): pass\n',
+        'x = [\n  1,\n\t2]\n',
+        'def f(a: int = 3, *, b: dict[str, int] = {1: 2}) -> x: pass\n',
+        'def f(x, y=(1, 2), z=lambda a: a): pass\n',
+        'f(x=lambda a: a, y={1: 2})\n',
+    ],
+    "js": [
+        'const a = 1, b = 2;\n',
+        'for (const a of b) c();\n',
+        'for (const a in b) c();\n',
+        'const {a, b} = c;\nconst [x] = y;\n',
+        'let a;\nvar b;\n',
+        'for (const i = 0; i < 1;) {}\n',
+        'export const a = 1;\n',
+    ],
+}
+MORE_BAD = {
+    "py": [
+        '1 = x\n',
+        'f() = 3\n',
+        'f(a=1, 2)\n',
+        '{1: 2, 3}\n',
+        'def f(a=1, b): pass\n',
+        'if x:\n        y = 1\n\tz = 2\n',
+        "'a' = b\n",
+        'x = f() = 3\n',
+        'a + b = c\n',
+        'f(**a, *b)\n',
+        '{1, 2: 3}\n',
+        'lambda a=1, b: a\n',
+        'def f(*, **k): pass\n',
+        'f(a b)\n',
+        'for 1 in x: pass\n',
+        'f() += 1\n',
+        'a, b += 1\n',
+        'None = 1\n',
+        'def f(a, a=1, b): pass\n',
+        "x = {'a': 1, 'b'}\n",
+        'def f():\n\tx = 1\n        y = 2\n',
+    ],
+    "js": [
+        'const a;\n',
+        'const a, b = 1;\n',
+        'for (const a; ;) {}\n',
+        'export const a;\n',
+    ],
+    "java": [
+        'class A { void f() { foo() bar(); } }\n',
+        'class A { void f() { int x = foo() bar; } }\n',
+        'class A { int f( { } }\n',
+    ],
+}
+for more, of in ((MORE_GOOD, GOOD), (MORE_BAD, BAD)):
+    for lang_, texts_ in more.items():
+        of[lang_] = of[lang_] + texts_
+#: far from what decides about them
+FAR = " " * 5_000
+GOOD["js"] += [f"f(async ({FAR}a, b) => a);\n", f"x = 1;{FAR}\nlabel{FAR}: for (;;) break label;\n", f"/*{FAR}*/ function f() {{}}\n"]
+GOOD["java"] += ["class A { void f() { assert a " + "+ b " * 400 + ': "m"; Object o = new B(' + "1, " * 400 + "2) { int y; }; } }\n"]
+GOOD["py"] += ["x = [a for b in c if d if (" + "d, " * 900 + ")]\n", "x = [a for b in (" + "d, " * 900 + ") if e]\n"]
+
+
 def parses(lang: str, text: str) -> bool:
     pairs, rest = lexers.lex(lang, text)
     return not [p for p in pairs if p not in grammars.tables()[lang]] and not lexers.reduced("".join(rest))
