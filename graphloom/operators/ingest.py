@@ -2,24 +2,78 @@
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.extract.process import process
 from graphloom.functions.scalars import short_id
-from graphloom.sources.tables import spread
 
 
-def discover(spark, root: str, limit: int = 10_000, max_bytes: int = 524_288) -> DataFrame:
-    """(path, raw_content, content_hash, size): files below a folder that are neither too large nor binary."""
+#: Folders of tools and caches, and names of files that hold secrets; neither is read.
+SKIPPED = r"/(\.git|\.hg|\.svn|node_modules|\.venv|venv|__pycache__|\.tox|\.mypy_cache|\.gradle|\.idea|\.next|\.nuxt)/"
+SECRET_FILE = r"(?i)(^|/)(\.env(\.[^/]*)?|id_rsa|id_dsa|id_ecdsa|id_ed25519|[^/]*\.(pem|key|p12|pfx|jks|keystore)|\.netrc|\.npmrc|\.pypirc|credentials(\.json)?)$"
+#: Folders that hold other people's code.
+LIBRARY = r"(^|/)(node_modules|bower_components|vendor|third_party|third-party|site-packages|dist-packages|Pods|Carthage|deps|external)/"
+
+
+def is_library_path(path: Column) -> Column:
+    return path.rlike(LIBRARY)
+
+
+def judged(found: DataFrame, max_bytes: int = 524_288, extensions: list[str] | None = None) -> DataFrame:
+    """(path, content, length) rows with `dropped`, why a file is not read: folder, secret, size, type or binary; else null."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    why = (
+        F.when(F.concat(F.lit("/"), "path").rlike(SKIPPED), "folder").when(F.col("path").rlike(SECRET_FILE), "secret").when(F.col("length") > max_bytes, "size")
+        .when(~ext.isin(extensions) if extensions else F.lit(False), "type").when(F.expr("position(X'00' in substring(content, 1, 8000)) > 0"), "binary")
+    )
+    return found.withColumn("dropped", why)
+
+
+def discover(spark, root: str, max_bytes: int = 524_288, extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, report): files (path, raw_content, content_hash, size) below a folder that are read, every one of them, and
+    (dropped, files) how many are not and why."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    kept = raw.filter((F.col("length") <= max_bytes) & ~F.col("path").rlike(r"/(\.git|node_modules|\.venv|__pycache__)/"))
-    text = kept.filter(F.expr("position(X'00' in substring(content, 1, 8000)) = 0"))
-    return text.select("path", F.col("content").alias("raw_content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size")).orderBy("path").limit(limit)
+    every = judged(raw, max_bytes, extensions)
+    kept = every.filter(F.col("dropped").isNull())
+    report = every.filter(F.col("dropped").isNotNull()).groupBy("dropped").agg(F.count(F.lit(1)).alias("files"))
+    return kept.select("path", F.col("content").alias("raw_content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size")), report
+
+
+def first_by_directory(files: DataFrame, limit: int, first: tuple[str, ...] = ("src", "lib", "app", "packages")) -> DataFrame:
+    """(path, size): the `limit` files that an index of a bounded size keeps: those in `first` folders, then by path; ranks
+    are made of paths only."""
+    top = F.regexp_extract("path", r"(?:^|/)([^/]+)/[^/]+$", 1)
+    rank = F.coalesce(*[F.when(F.col("path").rlike(f"(^|/){d}/"), i) for i, d in enumerate(first)], F.lit(len(first)))
+    return files.select("path", "size", rank.alias("_r"), top.alias("_t")).orderBy("_r", "path").limit(limit).select("path", "size")
+
+
+def only_changed(files: DataFrame, changed_paths: DataFrame) -> DataFrame:
+    """Files of a set of changed paths (repo_id, path), as a diff between two commits gives them."""
+    return files.join(changed_paths.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+
+
+def insert_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored rows, and those incoming ones whose key is not there yet, each key once (the smallest row)."""
+    fresh = incoming.join(stored.select(*keys), keys, "left_anti")
+    rest = [c for c in stored.columns if c not in keys]
+    one = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return stored.unionByName(one.select(*stored.columns))
+
+
+def write_chunked(rows: DataFrame, path: str, rows_per_file: int = 500_000, by: str = "repo_id", mode: str = "overwrite") -> None:
+    """Write rows in files of at most `rows_per_file` rows, one folder per value of `by`; a large value is split by hash."""
+    rows.repartition(by, F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(by).parquet(path)
+
+
+def clone(rows: DataFrame, repo_id: str, new_id: str) -> DataFrame:
+    """The rows of a repository under another id, to be appended."""
+    return rows.filter(F.col("repo_id") == repo_id).withColumn("repo_id", F.lit(new_id))
+
+
+def collectable(blobs: DataFrame, files: DataFrame, as_of_ms: int, grace_ms: int = 86_400_000) -> DataFrame:
+    """Blobs (content_hash, created_at) that no file holds and that are older than the grace period."""
+    return orphan_blobs(blobs, files).filter(F.col("created_at") < as_of_ms - grace_ms)
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -56,88 +110,10 @@ def orphan_blobs(blobs: DataFrame, files: DataFrame) -> DataFrame:
     return blobs.join(files.select("content_hash"), "content_hash", "left_anti")
 
 
-_DECL = {
-    "ts": re.compile(r"^(?P<export>export\s+)?(?:default\s+)?(?:async\s+)?(?P<kind>function|class|interface|enum|const|type)\s+(?P<name>[A-Za-z_$][\w$]*)", re.M),
-    "go": re.compile(r"^(?P<kind>func|type|const|var)\s+(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_]\w*)", re.M),
-    "java": re.compile(r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?P<kind>class|interface|enum)\s+(?P<name>\w+)", re.M),
-    "rb": re.compile(r"^\s*(?P<kind>def|class|module)\s+(?P<name>[\w.?!]+)", re.M),
-    "rs": re.compile(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?P<kind>fn|struct|enum|trait|const|type|mod)\s+(?P<name>\w+)", re.M),
-    "c": re.compile(r"^(?P<kind>struct|enum|typedef|\w[\w *]*?)\s+\*?(?P<name>\w+)\s*(?:\(|\{)", re.M),
-    "sh": re.compile(r"^(?:function\s+)?(?P<name>[A-Za-z_]\w*)\s*\(\)\s*(?P<kind>\{)", re.M),
-    "sql": re.compile(r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?P<kind>table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"]+)", re.M),
-    "proto": re.compile(r"^\s*(?P<kind>message|service|enum|rpc)\s+(?P<name>\w+)", re.M),
-}
-_LANG = {"ts": "ts", "tsx": "ts", "js": "ts", "jsx": "ts", "mjs": "ts", "go": "go", "java": "java", "kt": "java", "cs": "java", "rb": "rb", "rs": "rs", "c": "c", "h": "c", "sh": "sh", "bash": "sh", "sql": "sql", "proto": "proto"}
-_KIND = {"func": "function", "def": "function", "fn": "function", "{": "function", "rpc": "method", "message": "class", "service": "interface", "table": "class", "view": "class", "procedure": "function", "mod": "namespace", "module": "namespace", "trait": "interface", "var": "const"}
-_IMPORT = {
-    "ts": re.compile(r"(?:^|\n)\s*(?:import|export)\b[^'\"\n;]*?from\s*['\"]([^'\"]+)['\"]|\b(?:require|import)\(\s*['\"]([^'\"]+)['\"]\s*\)|(?:^|\n)\s*import\s*['\"]([^'\"]+)['\"]"),
-    "go": re.compile(r"(?:^|\n)\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./\-]+)\"\s*(?=\n)"),
-    "java": re.compile(r"(?:^|\n)import\s+(?:static\s+)?([\w.*]+)"),
-}
-
-
-def _python(text: str) -> tuple[list, list]:
-    try:
-        tree = ast.parse(text.lstrip("﻿"))
-    except (SyntaxError, ValueError):
-        return [], []
-    names, imports = [], []
-
-    def visit(node: ast.AST, inside: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                names.append((child.name, "method" if inside else "function", child.lineno, child.end_lineno))
-                visit(child, False)
-            elif isinstance(child, ast.ClassDef):
-                names.append((child.name, "class", child.lineno, child.end_lineno))
-                visit(child, True)
-            elif isinstance(child, ast.Import):
-                imports.extend(a.name for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                imports.append("." * child.level + (child.module or ""))
-            else:
-                visit(child, inside)
-
-    visit(tree, False)
-    return names, imports
-
-
-def extract_text(path: str, text: str) -> tuple[list, list]:
-    """([(name, kind, first line, last line)], [imported specifier]) of one file."""
-    ext = path.rsplit(".", 1)[-1].lower()
-    if ext == "py":
-        return _python(text)
-    lang = _LANG.get(ext)
-    if lang is None:
-        return [], []
-    text = text.replace("\r\n", "\n")
-    names = []
-    for m in _DECL[lang].finditer(text):
-        line = text.count("\n", 0, m.start("name")) + 1
-        kind = m["kind"].split()[-1] if m["kind"].strip() else "function"
-        names.append((m["name"], _KIND.get(kind, kind if kind in ("class", "interface", "enum", "const", "type", "struct", "function") else "function"), line, line))
-    imports = []
-    if lang in _IMPORT:
-        for m in _IMPORT[lang].finditer(text):
-            imports.append(next(g for g in m.groups() if g))
-    return names, imports
-
-
 def extract(files: DataFrame) -> DataFrame:
-    """(repo_id, path, what, name, kind, line, end_line): symbols and imports that files declare; what is symbol or import."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for repo, path, raw in zip(pdf["repo_id"], pdf["path"], pdf["raw_content"], strict=True):
-                if raw is None or path is None:
-                    continue
-                names, imports = extract_text(path, bytes(raw).decode("utf-8", "replace"))
-                out += [(repo, path, "symbol", n, k, a, b) for n, k, a, b in names]
-                out += [(repo, path, "import", i, None, None, None) for i in imports]
-            yield pd.DataFrame(out, columns=["repo_id", "path", "what", "name", "kind", "line", "end_line"])
-
-    return spread(files.select("repo_id", "path", "raw_content")).mapInPandas(run, "repo_id string, path string, what string, name string, kind string, line int, end_line int")
+    """(repo_id, path, what, name, kind, start_byte, end_byte): symbols and imports that files declare; what is symbol or import."""
+    rows = process(files, with_uses=False).filter("what in ('symbol', 'import')")
+    return rows.select("repo_id", "path", "what", F.coalesce("name", "specifier").alias("name"), "kind", "start_byte", "end_byte")
 
 
 def symbol_ids(symbols: DataFrame) -> DataFrame:

@@ -34,11 +34,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _complete() -> None:
+    """The catalogue's other modules register their queries when they are imported."""
+    from graphloom.plans import indexing  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _complete()
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    _complete()
     return dict(_SQL)
 
 
@@ -560,7 +567,7 @@ def incremental_edges(spark, d):
 def extracted_symbols(spark, d):
     """Symbols that the extractors find, per repository and kind; counted over distinct files."""
     x = ingest.symbol_ids(ingest.extract(table(spark, d, "files")))
-    return x.groupBy("repo_id", "kind").agg(F.count_distinct("path", "name", "line").alias("symbols"))
+    return x.groupBy("repo_id", "kind").agg(F.count_distinct("path", "name", "start_byte").alias("symbols"))
 
 
 @query()

@@ -192,8 +192,9 @@ def test_extract(spark):
     ts = b'import { x } from "./x";\nexport function go() {}\nconst y = require("./y");\nexport class Z {}\n'
     f = spark.createDataFrame([("r", "a.py", py), ("r", "b.ts", ts), ("r", "bad.py", b"def ("), ("r", "n.py", None)], FILES)
     got = {(r.path, r.what, r.name, r.kind) for r in ingest.extract(f).collect()}
+    assert ("bad.py", "symbol") not in {x[:2] for x in got}
     assert got == {("a.py", "import", "os", None), ("a.py", "import", "a.b", None), ("a.py", "symbol", "K", "class"), ("a.py", "symbol", "m", "method"), ("a.py", "symbol", "f", "function"),
-                   ("b.ts", "import", "./x", None), ("b.ts", "import", "./y", None), ("b.ts", "symbol", "go", "function"), ("b.ts", "symbol", "Z", "class"), ("b.ts", "symbol", "y", "const")}
+                   ("b.ts", "import", "./x", None), ("b.ts", "import", "./y", None), ("b.ts", "symbol", "go", "function"), ("b.ts", "symbol", "Z", "class")}
 
 
 def test_discover(spark, tmp_path):
@@ -201,8 +202,11 @@ def test_discover(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"\0\1")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules" / "c.js").write_text("x")
-    got = [r.path.rsplit("/", 1)[-1] for r in ingest.discover(spark, str(tmp_path)).collect()]
-    assert got == ["a.py"]
+    (tmp_path / "server.key").write_text("x")
+    (tmp_path / "big.py").write_text("x = 1\n" * 500)
+    kept, report = ingest.discover(spark, str(tmp_path), max_bytes=2000)
+    assert [r.path.rsplit("/", 1)[-1] for r in kept.collect()] == ["a.py"]
+    assert rows(report) == [("binary", 1), ("folder", 1), ("secret", 1), ("size", 1)]
 
 
 def test_streams_equal_batches(spark, tmp_path):
