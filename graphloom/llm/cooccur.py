@@ -58,7 +58,7 @@ def cooccurrence(
     support counts baskets of `min_items` to `max_items` items; n_a, n_b and n count baskets of every size.
     """
     flat = keyed(rows, group, basket, item, path_items)
-    all_rows = flat.select("g", "bk", "ik").distinct()
+    all_rows = cut(flat.select("g", "bk", "ik").distinct())  # read four times below
     # names are looked up once per item; the rows in between carry keys only
     names = flat.select("ik", "item").distinct()
     sizes = all_rows.groupBy("g", "bk").agg(F.count(F.lit(1)).alias("size"))
