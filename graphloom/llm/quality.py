@@ -45,6 +45,9 @@ ODD = re.compile(r"[^\w\s.,;:!?'\"’‘“”«»()\-–—…¿¡`。，！？
 SYMBOL = re.compile(r"[^\w\s]|_")
 DIGIT = re.compile(r"\d")
 AROUND = ".,;:!?'\"’‘“”«»()–—…¿¡`*_"
+#: ASCII characters that SYMBOL and ODD match; deleting them is faster than finding them.
+ASCII_SYMBOL = {i: None for i in range(128) if SYMBOL.match(chr(i))}
+ASCII_ODD = {i: None for i in range(128) if ODD.match(chr(i))}
 NO, MAYBE, PROSE = 0, 1, 2
 SOLID = COUNTS.index("solid_chars")
 LINE_END = re.compile(r"\r\n?")
@@ -57,14 +60,16 @@ def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
     if not bare:
         return [len(text), 0, 0, 0, len(text), 0, 0, 0, 0, 0], NO, True
     body = bare[LEAD.match(bare).end() :] or bare
+    ascii_ = bare.isascii()
     tokens = WORD.findall(body)
-    unspaced = len(UNSPACED.findall(body)) if not body.isascii() else 0
-    letters = sum(map(len, tokens))
+    unspaced = len(UNSPACED.findall(body)) if not ascii_ else 0
+    sizes = list(map(len, tokens))
+    letters = sum(sizes)
     parts = body.split()
     solid = sum(map(len, parts))
-    odd = len(ODD.findall(body))
+    odd = len(body) - len(body.translate(ASCII_ODD)) if ascii_ else len(ODD.findall(body))
     ends = bool(SENTENCE_END.search(bare))
-    hits = sum(t in common for t in map(str.lower, tokens))
+    hits = sum(map(common.__contains__, map(str.lower, tokens)))
     kind = NO
     if unspaced * 2 >= max(1, letters):
         words = sum(1 for t in tokens if not UNSPACED.search(t)) + max(1, unspaced // 2)
@@ -74,7 +79,7 @@ def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
             kind = PROSE if marks or ends else MAYBE
     else:
         words = len(tokens)
-        wordlike = sum(1 for w in parts if WORD.fullmatch(w.strip(AROUND)) or w[0] == "`" and w.strip(AROUND).isidentifier())
+        wordlike = sum([w.isalpha() or (x := w.strip(AROUND)).isalpha() or WORD.fullmatch(x) is not None or w[0] == "`" and x.isidentifier() for w in parts])
         n = len(parts)
         commas = body.count(",") + body.count("|") + body.count(";")
         if (
@@ -85,7 +90,7 @@ def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
             and not bare.startswith(("//", "/*", '"""', "<"))
             and not CODE_MARK.search(re.sub(r"`[^`]*`", "x", body) if "`" in body else body)
         ):
-            short = sum(len(t) <= 3 for t in tokens)
+            short = sum([n_ <= 3 for n_ in sizes])
             glue = hits + 0.4 * short
             if n >= 4 and hits >= 1 and glue >= 0.2 * n or n >= 8 and glue >= 0.25 * n and hits:
                 kind = PROSE
@@ -95,7 +100,7 @@ def line_counts(line: str, common: frozenset) -> tuple[list[int], int, bool]:
                 kind = MAYBE
             elif n >= 5:
                 kind = MAYBE if hits or short else NO
-    counts = [len(text), words, letters, len(SYMBOL.findall(bare)), len(text) - solid, 1, int(bool(LINE_PUNCT.search(bare))), hits, 0, len("".join(bare.split()))]
+    counts = [len(text), words, letters, len(bare) - len(bare.translate(ASCII_SYMBOL)) if ascii_ else len(SYMBOL.findall(bare)), len(text) - solid, 1, int(bool(LINE_PUNCT.search(bare))), hits, 0, len("".join(bare.split()))]
     return counts, kind, ends
 
 
