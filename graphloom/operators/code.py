@@ -92,19 +92,6 @@ def missing_partners(baskets: DataFrame, co: DataFrame, at_least: float = 0.4, m
     return predicted.join(held, ["g", "b", "item"], "left_anti").select("g", "b", F.col("item").alias("missing"))
 
 
-def refactoring(s: DataFrame) -> DataFrame:
-    """(repo_id, id, finding, impact): functions to split, simplify, flatten or narrow; names declared in many files."""
-    f = s.filter(F.col("kind").isin("function", "method"))
-    tests = [
-        ("split_function", F.col("m_line_count") > 30, "high"), ("simplify_branches", F.col("m_cyclomatic_complexity") >= 8, "high"),
-        ("flatten_nesting", F.col("m_nesting_depth") >= 4, "medium"), ("narrow_parameters", F.col("m_param_count") >= 5, "medium"), ("single_exit", F.col("m_return_count") >= 4, "low"),
-    ]
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("finding"), F.lit(i).alias("impact"))) for n, c, i in tests]))
-    per = f.select("repo_id", "id", F.explode(found).alias("x")).select("repo_id", "id", "x.finding", "x.impact")
-    many = f.groupBy("repo_id", "name").agg(F.count_distinct("file_path").alias("n"), F.min("id").alias("id")).filter((F.col("n") >= 3) & F.col("name").isNotNull())
-    return per.unionByName(many.select("repo_id", "id", F.lit("extract_duplicate").alias("finding"), F.lit("medium").alias("impact")))
-
-
 def symbol_history(symbols: DataFrame, commits: DataFrame, as_of: int) -> DataFrame:
     """(repo_id, id, commits, first_at, last_at, churn): commits of the symbol's file; churn per 90 days since the first."""
     per = commits.filter(F.col("at") <= as_of).groupBy("repo_id", F.col("path").alias("file_path")).agg(F.count_distinct("sha").alias("commits"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))

@@ -72,54 +72,65 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return walk.join(back, (F.col(f"n{length}") == F.col("_end")) & (F.col("n1") == F.col("_root")), "left_semi")
 
 
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
-    Nodes without incoming or outgoing edges are components of their own and leave first.  Then, in rounds: the
-    smallest label flows forward to a fixed point; from each label's root it flows back within the label's nodes;
-    what is met is a component and leaves.
+    Nodes without incoming or outgoing edges are components of their own and leave first, layer by layer as long as a
+    layer is a good part of what is left.  Then, in rounds, the smallest label flows forward and backward over all edges,
+    and at each step labels jump to the label of their label's node, so that a chain of n nodes takes log n steps; nodes
+    whose forward and backward labels agree are a component and leave, and edges between different labels fall away.
+    Nothing is left out: if nodes are still there after `most_rounds`, the call fails.
     """
     e = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    parts: list[DataFrame] = [nodes.limit(0).withColumn("component", F.col("node"))]
-    left = nodes
-    for _ in range(most_rounds):
-        # trim: what has no way in or no way out is alone
+    left = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    parts: list[DataFrame] = [left.limit(0).withColumn("component", F.col("node"))]
+
+    def within(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+        return edges_.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+    def reached(edges_: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
+        """(node, label): the smallest node from which an edge path a -> b leads to each node; by pointer doubling."""
+        label = nodes.withColumn("label", F.col("node"))
+        step = edges_.select(F.col(a).alias("from"), F.col(b).alias("to"))
         while True:
-            live = left.join(e.select(F.col("src").alias("node")), "node", "left_semi").join(e.select(F.col("dst").alias("node")), "node", "left_semi")
-            live = cut(live)
-            gone = cut(left.join(live, "node", "left_anti"))
-            if gone.isEmpty():
-                break
-            parts.append(gone.withColumn("component", F.col("node")))
-            left = live
-            keep = left.select("node")
-            e = cut(e.join(keep.withColumnRenamed("node", "src"), "src", "left_semi").join(keep.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            flow = step.join(label.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node"), "label")
+            near = label.unionByName(flow).groupBy("node").agg(F.min("label").alias("label"))
+            # what reaches my label's node reaches me
+            up = near.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            new = cut(near.join(up, "label").select("node", F.least("label", "above").alias("label")))
+            still = new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
+            label = new
+            if still:
+                return label
+
+    for _ in range(most_rounds):
         if left.isEmpty():
             break
-        label = left.withColumn("label", F.col("node"))
-        while True:
-            flow = e.join(label, e.src == label.node).select(F.col("dst").alias("node"), "label")
-            new = cut(label.unionByName(flow).groupBy("node").agg(F.min("label").alias("label")))
-            moved = new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
-            label = new
-            if moved:
+        while True:  # trim
+            live = cut(left.join(e.select(F.col("src").alias("node")), "node", "left_semi").join(e.select(F.col("dst").alias("node")), "node", "left_semi"))
+            n, m = left.count(), live.count()
+            if n == m:
                 break
-        inside = cut(
-            e.join(label.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src")
-            .join(label.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst").filter("ls = ld").select("src", "dst")
-        )
-        core = label.filter("node = label")
-        frontier = core.select("node", "label")
-        while True:
-            back = inside.join(frontier.select(F.col("node").alias("dst"), "label"), "dst").select(F.col("src").alias("node"), "label").distinct()
-            frontier = cut(back.join(core, ["node", "label"], "left_anti"))
-            if frontier.isEmpty():
+            parts.append(left.join(live, "node", "left_anti").withColumn("component", F.col("node")))
+            left = live
+            e = cut(within(e, left))
+            if n - m < n // 8:  # a thin layer: the rounds below are quicker
                 break
-            core = cut(core.unionByName(frontier))
-        parts.append(core.select("node", F.col("label").alias("component")))
-        left = cut(left.join(core, "node", "left_anti"))
-        e = cut(inside.join(core.select(F.col("node").alias("src")), "src", "left_anti").join(core.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        if left.isEmpty():
+            break
+        forward = reached(e, left, "src", "dst").withColumnRenamed("label", "f")
+        backward = reached(e, left, "dst", "src").withColumnRenamed("label", "b")
+        both = cut(forward.join(backward, "node"))
+        done = both.filter("f = b").select("node", F.col("f").alias("component"))
+        parts.append(done)
+        left = cut(both.filter("f <> b").select("node"))
+        ends = both.filter("f <> b").select("node", "f", "b")
+        a_ = ends.select(F.col("node").alias("src"), F.col("f").alias("f1"), F.col("b").alias("b1"))
+        b_ = ends.select(F.col("node").alias("dst"), F.col("f").alias("f2"), F.col("b").alias("b2"))
+        # a component lies inside one forward and one backward label
+        e = cut(e.join(a_, "src").join(b_, "dst").filter("f1 = f2 and b1 = b2").select("src", "dst"))
+    else:
+        raise RuntimeError("components: nodes are left after most_rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -80,18 +80,37 @@ def midrank(values: DataFrame, group: list[str], value: str, out: str) -> DataFr
     return hist.select(*group, value, half_up((less + F.col("_n") / 2.0) / total, 6).alias(out))
 
 
-def symbol_risk(symbols: DataFrame, churn: DataFrame, co: DataFrame, tested: DataFrame) -> DataFrame:
-    """(repo_id, id, churn_pct, complexity_pct, test_gap, co_change, risk, band).
+def midrank_of(values: DataFrame, distribution: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """(group, value, out) of every value of `values` in the distribution of another table, where it may be absent: half of
+    its equals and all below it count; without a distribution the rank is 0."""
+    hist = distribution.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    asked = values.select(*group, value).distinct().withColumn("_n", F.lit(0).cast("bigint"))
+    both = hist.unionByName(asked).groupBy(*group, value).agg(F.sum("_n").alias("_n"))
+    order = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    less = F.coalesce(F.sum("_n").over(order), F.lit(0))
+    total = F.sum("_n").over(W.partitionBy(*group))
+    ranked = both.select(*group, value, F.when(total > 0, half_up((less + F.col("_n") / 2.0) / total, 6)).otherwise(0.0).alias(out))
+    return ranked.join(asked.select(*group, value), [*group, value], "left_semi")
+
+
+def symbol_risk(symbols: DataFrame, churn: DataFrame, co: DataFrame, tested: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, id, churn_pct, centrality_pct, complexity_pct, test_gap, co_change, risk, band).
 
-    Churn .25, complexity .20, missing test .15, co-change partners of confidence .4 or more (five are full) .15 and
-    centrality .25, which stands at the file's number of partners; percentiles are midranks within the repository.
+    Churn .25, centrality .25 (files that import the symbol's file), complexity .20, missing test .15, co-change partners
+    of confidence .4 or more (five are full) .15.  Percentiles are midranks within the repository: commits among the
+    files that have any, importers among all symbols, with zeros.
     symbols: distinct (repo_id, id, path, cc); churn: (repo_id, path, commits); co: (g, target, partner, confidence);
-    tested: (repo_id, id).
+    tested: (repo_id, id); edges: (repo_id, src, dst).
     """
-    partners = co.groupBy(F.col("g").alias("repo_id"), F.col("target").alias("path")).agg(F.count(F.lit(1)).alias("partners"), F.count_if(F.col("confidence") >= 0.4).alias("strong"))
-    s = symbols.join(churn.select("repo_id", "path", "commits"), ["repo_id", "path"], "left").join(partners, ["repo_id", "path"], "left").na.fill(0, ["commits", "partners", "strong", "cc"])
+    strong = co.filter(F.col("confidence") >= 0.4).groupBy(F.col("g").alias("repo_id"), F.col("target").alias("path")).agg(F.count(F.lit(1)).alias("strong"))
+    importers = edges.groupBy("repo_id", F.col("dst").alias("path")).agg(F.count_distinct("src").alias("importers"))
+    # what belongs to a file is joined per file, before its symbols
+    commits_ = churn.select("repo_id", "path", "commits")
+    per_file = symbols.select("repo_id", "path").distinct().join(commits_, ["repo_id", "path"], "left").join(strong, ["repo_id", "path"], "left").join(importers, ["repo_id", "path"], "left").na.fill(0, ["commits", "strong", "importers"])
+    per_file = per_file.join(midrank_of(per_file, commits_, ["repo_id"], "commits", "churn_pct"), ["repo_id", "commits"])
+    s = symbols.join(per_file, ["repo_id", "path"]).na.fill(0, ["cc"])
     s = s.join(tested.select("repo_id", "id").distinct().withColumn("t", F.lit(1)), ["repo_id", "id"], "left")
-    for value, out in (("commits", "churn_pct"), ("cc", "complexity_pct"), ("partners", "centrality_pct")):
+    for value, out in (("cc", "complexity_pct"), ("importers", "centrality_pct")):
         s = s.join(midrank(s, ["repo_id"], value, out), ["repo_id", value])
     gap = F.when(F.col("t").isNull(), 1.0).otherwise(0.0)
     spread = F.least(F.col("strong") / 5.0, F.lit(1.0))

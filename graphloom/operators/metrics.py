@@ -78,88 +78,28 @@ def outline(s: DataFrame) -> DataFrame:
     )
 
 
-def complexity_debt(s: DataFrame) -> DataFrame:
-    """(repo_id, file_path, complexity_score): the worst symbol of a file, 50 / 25 / 15 / 10."""
-    cc = F.coalesce("cyclomatic_complexity", F.lit(0))
-    score = capped(cc, 20, 0.5) + capped(F.col("m_nesting_depth"), 5, 0.25) + capped(F.col("m_param_count"), 6, 0.15) + capped(F.col("m_line_count"), 60, 0.1)
-    return s.groupBy("repo_id", "file_path").agg(F.max(score).alias("complexity_score"))
-
-
-def size_debt(s: DataFrame) -> DataFrame:
-    """(repo_id, file_path, size_score): many symbols, undocumented symbols."""
-    undocumented = F.count_if(F.length(F.coalesce("summary", F.lit(""))) <= 5) / F.count(F.lit(1))
-    return s.groupBy("repo_id", "file_path").agg((capped(F.count(F.lit(1)), 40, 0.5) + undocumented * 50).alias("size_score"))
-
-
-def debt_report(s: DataFrame, churn: DataFrame) -> DataFrame:
-    """(repo_id, file_path, debt, grade): complexity .6 and size .4 at 80 %, volatility at 20 %."""
-    vol = churn.select("repo_id", F.col("path").alias("file_path"), capped(F.col("commits"), 25, 1.0).alias("volatility"))
-    j = complexity_debt(s).join(size_debt(s), ["repo_id", "file_path"], "full").join(vol, ["repo_id", "file_path"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    debt = half_up((z("complexity_score") * 0.6 + z("size_score") * 0.4) * 0.8 + z("volatility") * 0.2)
-    grade = F.when(F.col("debt") < 20, "A").when(F.col("debt") < 40, "B").when(F.col("debt") < 60, "C").when(F.col("debt") < 80, "D").otherwise("F")
-    return j.select("repo_id", "file_path", debt.alias("debt")).withColumn("grade", grade)
-
-
-def health_radar(s: DataFrame, churn: DataFrame) -> DataFrame:
-    """(repo_id, complexity, maintainability, documentation, stability, overall, grade), 100 is best."""
-    functions = s.filter(F.col("kind").isin("function", "method"))
-    a = functions.groupBy("repo_id").agg(
-        half_up(100 - F.least(F.avg("m_cyclomatic_complexity") / 10.0, F.lit(1.0)) * 100).alias("complexity"),
-        half_up(100 - F.least(F.avg("m_line_count") / 60.0, F.lit(1.0)) * 100).alias("maintainability"),
-        half_up(F.count_if(F.length("summary") > 5) / F.count(F.lit(1)) * 100).alias("documentation"),
-    )
-    b = churn.groupBy("repo_id").agg(half_up(100 - F.count_if(F.col("commits") >= 10) / F.count(F.lit(1)) * 100).alias("stability"))
-    j = a.join(b, "repo_id", "left")
-    weight = F.lit(0.65) + F.when(F.col("stability").isNull(), 0.0).otherwise(0.10)
-    total = F.col("complexity") * 0.30 + F.col("maintainability") * 0.25 + F.col("documentation") * 0.10 + F.coalesce("stability", F.lit(0.0)) * 0.10
-    overall = half_up(total / weight)
-    return j.withColumn("overall", overall).withColumn("grade", F.when(F.col("overall") >= 80, "A").when(F.col("overall") >= 60, "B").when(F.col("overall") >= 40, "C").when(F.col("overall") >= 20, "D").otherwise("F"))
-
-
-def antipatterns(s: DataFrame) -> DataFrame:
-    """(repo_id, file_path, pattern, n): files of more than 20 methods, of more than 15 symbols of 3 kinds, and long functions."""
-    per = s.groupBy("repo_id", "file_path").agg(
-        F.count_if(F.col("kind") == "method").alias("methods"), F.count(F.lit(1)).alias("symbols"), F.count_distinct("kind").alias("kinds"),
-        F.count_if((F.col("m_line_count") > 40) & F.col("kind").isin("function", "method")).alias("long"), F.count_if(F.col("m_param_count") > 5).alias("wide"),
-    )
-    found = F.array(
-        F.struct(F.lit("god_file").alias("pattern"), F.when(F.col("methods") > 20, F.col("methods")).alias("n")),
-        F.struct(F.lit("mixed_file").alias("pattern"), F.when((F.col("symbols") > 15) & (F.col("kinds") >= 3), F.col("symbols")).alias("n")),
-        F.struct(F.lit("long_function").alias("pattern"), F.when(F.col("long") > 0, F.col("long")).alias("n")),
-        F.struct(F.lit("many_parameters").alias("pattern"), F.when(F.col("wide") > 0, F.col("wide")).alias("n")),
-    )
-    return per.select("repo_id", "file_path", F.explode(found).alias("f")).select("repo_id", "file_path", "f.pattern", "f.n").filter(F.col("n").isNotNull())
-
-
-def antipattern_health(findings: DataFrame) -> DataFrame:
-    """(repo_id, errors, warnings, health): 100 - 10 per error - 2 per warning, in 0 .. 100."""
-    error = F.col("pattern") == "god_file"
-    return findings.groupBy("repo_id").agg(F.count_if(error).alias("errors"), F.count_if(~error).alias("warnings")).withColumn(
-        "health", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("errors") * 10 - F.col("warnings") * 2)).cast("bigint")
-    )
-
-
 def similar_names(s: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(repo_id, id_a, id_b, jaccard): functions of one repository and kind in different files whose names share words.
+    """(repo_id, id_a, id_b, jaccard): functions of one repository and kind whose names share words.
 
-    Candidates share a word; a pair is counted by the words that both names hold, so nothing is compared that shares
-    none.  Names are grouped first: equal token sets are one class, represented by its smallest id.
+    Equal token sets are one class, represented by its smallest id.  Words are ranked by rarity: two sets of that
+    similarity share one of the rarest n - ceil(threshold n) + 1 words of each (prefix filter), so only rare words make
+    candidates, which are then compared as sets.
     """
     named = s.filter(F.col("kind").isin("function", "method") & F.col("name").isNotNull()).select("repo_id", "kind", "id", name_tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
-    classes = named.groupBy("repo_id", "kind", "t").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    w = classes.select("repo_id", "kind", "id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    pairs = w.alias("a").join(w.alias("b"), (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")))
-    agg = pairs.groupBy(F.col("a.repo_id").alias("repo_id"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("both"))
-    jac = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return agg.filter(jac >= threshold).select("repo_id", "id_a", "id_b", half_up(jac, 3).alias("jaccard"))
-
-
-def snapshot(s: DataFrame, paths: DataFrame) -> DataFrame:
-    """(repo_id, files, symbols, avg_cc): one row per repository, to be appended to a snapshot table."""
-    a = paths.groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"))
-    b = s.groupBy("repo_id").agg(F.count(F.lit(1)).alias("symbols"), half_up(F.avg("cyclomatic_complexity"), 3).alias("avg_cc"))
-    return a.join(b, "repo_id", "full").na.fill(0, ["files", "symbols"])
+    classes = named.groupBy("repo_id", "kind", "t").agg(F.min("id").alias("id"))
+    w = classes.select("repo_id", "kind", "id", F.explode("t").alias("w"))
+    frequency = w.groupBy("repo_id", "kind", "w").agg(F.count(F.lit(1)).alias("f"))
+    ranked = w.join(frequency, ["repo_id", "kind", "w"]).groupBy("repo_id", "kind", "id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
+    n = F.size("r")
+    prefix = F.slice("r", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    words = ranked.select("repo_id", "kind", "id", F.transform("r", lambda x: x["w"]).alias("t"), F.explode(prefix).alias("p")).select("repo_id", "kind", "id", "t", F.col("p.w").alias("w"))
+    a, b = words.alias("a"), words.alias("b")
+    same = (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
+    near = F.size("a.t") >= threshold * F.size("b.t") - 1e-9
+    far = F.size("b.t") >= threshold * F.size("a.t") - 1e-9  # sets of very different sizes are not alike
+    both = F.size(F.array_intersect("a.t", "b.t"))
+    jac = both / (F.size("a.t") + F.size("b.t") - both)
+    return a.join(b, same & near & far).filter(jac >= threshold).select(F.col("a.repo_id").alias("repo_id"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), half_up(jac, 3).alias("jaccard")).distinct()
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,16 +17,11 @@ def lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
     text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.col("raw_content").cast("string").alias("text"))
     if keep is not None:
         text = text.filter(keep)
-    split = text.select("repo_id", "path", F.split("text", "\n", -1).alias("all"))
-    # offsets are running sums inside the row; no window over the file is needed
-    size = F.transform("all", lambda x: F.octet_length(x) + 1)
-    starts = F.aggregate(
-        size, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
-        lambda acc, n: F.struct(F.array_append(acc["out"], acc["at"]).alias("out"), (acc["at"] + n).alias("at")), lambda acc: acc["out"],
-    )
-    return split.select("repo_id", "path", F.posexplode(F.arrays_zip("all", starts.alias("starts"))).alias("i", "z")).select(
-        "repo_id", "path", (F.col("i") + 1).alias("line_no"), F.regexp_replace("z.all", "\r$", "").alias("line"), F.col("z.starts").alias("offset")
-    )
+    # a line begins where those before it end: a running sum over the lines of a file, after the explode
+    each = text.select("repo_id", "path", F.xxhash64("text").alias("_v"), F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).distinct()
+    before = W.partitionBy("repo_id", "path", "_v").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))
+    return each.select("repo_id", "path", (F.col("i") + 1).alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"), offset.alias("offset"))
 
 
 def plain_lines(files: DataFrame, keep: Column | None = None) -> DataFrame:
@@ -46,14 +41,18 @@ def search(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def context(files: DataFrame, pattern: str, around: int = 1) -> DataFrame:
-    """(repo_id, path, line_no, before, after): hits with the lines around them, joined by newlines."""
-    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.split(F.col("raw_content").cast("string"), "\n", -1).alias("all"))
-    hits = text.select("repo_id", "path", "all", F.posexplode("all").alias("i", "line")).filter(F.regexp_replace("line", "\r$", "").rlike(pattern))
-    first = F.greatest(F.lit(0), F.col("i") - around)
-    clean = lambda a: F.array_join(F.transform(a, lambda x: F.regexp_replace(x, "\r$", "")), "\n")
-    return hits.select(
-        "repo_id", "path", (F.col("i") + 1).alias("line_no"), clean(F.slice("all", first + 1, F.col("i") - first)).alias("before"), clean(F.slice("all", F.col("i") + 2, around)).alias("after")
-    ).distinct()
+    """(repo_id, path, line_no, before, after): hits with the lines around them, joined by newlines.
+
+    The places of hits are found first; each takes its own few lines out of the file, so that no line carries all others.
+    """
+    text = files.filter(F.col("raw_content").isNotNull()).select("repo_id", "path", F.col("raw_content").cast("string").alias("text"))
+    lines_ = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, "\r$", ""))
+    held = text.filter(F.regexp_replace("text", "\r\n", "\n").rlike("(?m)" + pattern)).select("repo_id", "path", lines_.alias("all"))
+    at = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).rlike(pattern))
+    cut_out = lambda i: F.struct(
+        (i + 1).alias("line_no"), F.array_join(F.slice("all", F.greatest(F.lit(0), i - around) + 1, i - F.greatest(F.lit(0), i - around)), "\n").alias("before"), F.array_join(F.slice("all", i + 2, around), "\n").alias("after")
+    )
+    return held.select("repo_id", "path", F.explode(F.transform(at, cut_out)).alias("h")).select("repo_id", "path", "h.line_no", "h.before", "h.after").distinct()
 
 
 def tagged(files: DataFrame) -> DataFrame:
@@ -92,7 +91,10 @@ def mentions(names: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def overlaps(ranges: DataFrame, hunks: DataFrame) -> DataFrame:
-    """(repo_id, path, id): ranges (start, end) that overlap a hunk (lo, hi) of the same file; ends are exclusive."""
+    """(repo_id, path, id): ranges (start, end) that overlap a hunk (lo, hi) of the same file; ends are exclusive.
+
+    The join is on the file; ranges and hunks of a file are few, and a file of many is divided by adaptive execution.
+    """
     return ranges.join(hunks, ["repo_id", "path"]).filter((F.col("start") < F.col("hi")) & (F.col("end") > F.col("lo"))).select("repo_id", "path", "id").distinct()
 
 

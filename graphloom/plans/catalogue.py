@@ -36,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _complete() -> None:
     """The catalogue's other modules register their queries when they are imported."""
-    from graphloom.plans import indexing  # noqa: F401
+    from graphloom.plans import health, indexing  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -240,23 +240,6 @@ _TESTED = f"""tested as (select distinct n.repo_id, n.id from (select distinct r
 join (select distinct repo_id, unnest(regexp_extract_all(decode(raw_content), '[A-Za-z_][A-Za-z0-9_]*')) as w from files where raw_content is not null and regexp_matches(path, '{TEST_SQL}')) f on f.repo_id = n.repo_id and f.w = n.name)"""
 
 
-@query(f"""with {COMMITS}, {CHURN}, {BASKETS}{CO}, {_TESTED},
-base as (select distinct repo_id, id, file_path as path, coalesce(cyclomatic_complexity, 0) as cc from symbols where id is not null),
-pt as (select g as repo_id, target as path, count(*) as partners, count(*) filter (confidence >= 0.4) as strong from co group by 1, 2),
-x as (select base.*, coalesce(commits, 0) as commits, coalesce(partners, 0) as partners, coalesce(strong, 0) as strong, tested.id is null as gap from base
-  left join churn on churn.repo_id = base.repo_id and churn.path = base.path left join pt on pt.repo_id = base.repo_id and pt.path = base.path left join tested on tested.repo_id = base.repo_id and tested.id = base.id),
-h1 as (select repo_id, v, {_MID} as p from (select repo_id, commits as v, count(*) as n from x group by 1, 2)),
-h2 as (select repo_id, v, {_MID} as p from (select repo_id, cc as v, count(*) as n from x group by 1, 2)),
-h3 as (select repo_id, v, {_MID} as p from (select repo_id, partners as v, count(*) as n from x group by 1, 2)),
-y as (select x.repo_id, x.id, h1.p as churn_pct, h3.p as centrality_pct, h2.p as complexity_pct, case when gap then 1.0::double else 0.0::double end as test_gap, least(strong / 5.0::double, 1.0::double) as co_change
-  from x join h1 on h1.repo_id = x.repo_id and h1.v = commits join h2 on h2.repo_id = x.repo_id and h2.v = cc join h3 on h3.repo_id = x.repo_id and h3.v = partners),
-z as (select *, floor((0.25::double * churn_pct + 0.25::double * centrality_pct + 0.20::double * complexity_pct + 0.15::double * test_gap + 0.15::double * co_change) * 100 + 0.5) as risk from y)
-select repo_id, id, churn_pct, centrality_pct, complexity_pct, test_gap, co_change, risk, case when risk > 66 then 'high' when risk >= 33 then 'review' else 'low' end as band from z""")
-def symbol_risk(spark, d):
-    s = table(spark, d, "symbols").filter("id is not null").select("repo_id", "id", F.col("file_path").alias("path"), F.coalesce("cyclomatic_complexity", F.lit(0)).alias("cc")).distinct()
-    return history.symbol_risk(s, _churn(spark, d), history.co_change(sub.baskets(spark, d)), _tested(spark, d))
-
-
 def _tested(spark: SparkSession, d: str) -> DataFrame:
     """(repo_id, id): symbols that a test file mentions."""
     tests = table(spark, d, "files").filter(is_test_path(F.col("path")))
@@ -344,42 +327,6 @@ def file_outline(spark, d):
     return _symbols(spark, d).select("id", "name", "kind", "start_byte", F.row_number().over(W.partitionBy("repo_id", "file_path").orderBy(F.asc_nulls_first("start_byte"), "id")).alias("position"))
 
 
-_ANTI = f"""{SYM}, per as (select repo_id, file_path, count(*) filter (kind = 'method') as methods, count(*) as symbols, count(distinct kind) as kinds, count(*) filter (lc > 40 and kind in ('function', 'method')) as long, count(*) filter (pc > 5) as wide from s group by 1, 2),
-f as (select repo_id, file_path, 'god_file' as pattern, methods as n from per where methods > 20 union all select repo_id, file_path, 'mixed_file', symbols from per where symbols > 15 and kinds >= 3
-union all select repo_id, file_path, 'long_function', long from per where long > 0 union all select repo_id, file_path, 'many_parameters', wide from per where wide > 0)"""
-
-
-@query(f"with {_ANTI} select * from f")
-def antipattern_union(spark, d):
-    return metrics.antipatterns(_symbols(spark, d))
-
-
-@query(f"with {_ANTI} select repo_id, count(*) filter (pattern = 'god_file') as errors, count(*) filter (pattern <> 'god_file') as warnings, greatest(0, least(100, 100 - count(*) filter (pattern = 'god_file') * 10 - count(*) filter (pattern <> 'god_file') * 2)) as health from f group by 1")
-def antipattern_health(spark, d):
-    return metrics.antipattern_health(metrics.antipatterns(_symbols(spark, d)))
-
-
-@query(f"""with {SYM}, {COMMITS}, {CHURN}, cx as (select repo_id, file_path, max(least(coalesce(cyclomatic_complexity, 0) / 20.0::double, 1) * 100 * 0.5::double + least(nd / 5.0::double, 1) * 100 * 0.25::double + least(pc / 6.0::double, 1) * 100 * 0.15::double + least(lc / 60.0::double, 1) * 100 * 0.1::double) as c1,
-least(count(*) / 40.0::double, 1) * 100 * 0.5::double + count(*) filter (length(coalesce(summary, '')) <= 5) / count(*)::double * 50 as c2 from s group by 1, 2),
-x as (select cx.repo_id, cx.file_path, floor((c1 * 0.6::double + c2 * 0.4::double) * 0.8::double + case when commits is null then 0 else least(commits / 25.0::double, 1) * 100 end * 0.2::double + 0.5) as debt from cx left join churn on churn.repo_id = cx.repo_id and path = file_path)
-select *, case when debt < 20 then 'A' when debt < 40 then 'B' when debt < 60 then 'C' when debt < 80 then 'D' else 'F' end as grade from x""")
-def debt_report_files(spark, d):
-    return metrics.debt_report(_symbols(spark, d), _churn(spark, d))
-
-
-@query(f"""with {SYM}, {COMMITS}, {CHURN}, a as (select repo_id, floor(100 - least(avg(cc) / 10.0::double, 1) * 100 + 0.5) as complexity, floor(100 - least(avg(lc) / 60.0::double, 1) * 100 + 0.5) as maintainability,
-floor(count(*) filter (length(summary) > 5) / count(*)::double * 100 + 0.5) as documentation from s where kind in ('function', 'method') group by 1), b as (select repo_id, floor(100 - count(*) filter (commits >= 10) / count(*)::double * 100 + 0.5) as stability from churn group by 1),
-x as (select a.*, stability, floor((complexity * 0.30::double + maintainability * 0.25::double + documentation * 0.10::double + coalesce(stability, 0) * 0.10::double) / (0.65::double + case when stability is null then 0.0::double else 0.10::double end) + 0.5) as overall from a left join b using (repo_id))
-select *, case when overall >= 80 then 'A' when overall >= 60 then 'B' when overall >= 40 then 'C' when overall >= 20 then 'D' else 'F' end as grade from x""")
-def health_radar_axes(spark, d):
-    return metrics.health_radar(_symbols(spark, d), _churn(spark, d))
-
-
-@query(f"with {SYM}, a as (select repo_id, count(distinct path) as files from files group by 1), b as (select repo_id, count(*) as symbols, floor(avg(cyclomatic_complexity) * 1000 + 0.5) / 1000 as avg_cc from s group by 1) select coalesce(a.repo_id, b.repo_id) as repo_id, coalesce(files, 0) as files, coalesce(symbols, 0) as symbols, avg_cc from a full join b on a.repo_id = b.repo_id")
-def architecture_snapshot(spark, d):
-    return metrics.snapshot(_symbols(spark, d), sub.paths(spark, d))
-
-
 @query("""with f as (select repo_id, path, max(content_hash) as h from files group by 1, 2), o as (select repo_id, path, h from f where not path like '%/%/%'), n as (select repo_id, path, case when path like '%.json' then 'x' else h end as h from f where path not like 'tests/%')
 select coalesce(o.repo_id, n.repo_id) as repo_id, coalesce(o.path, n.path) as path, case when o.h is null then 'added' when n.h is null then 'removed' else 'changed' end as change from o full join n on o.repo_id = n.repo_id and o.path = n.path where o.h is null or n.h is null or o.h <> n.h""")
 def snapshot_diff(spark, d):
@@ -655,13 +602,6 @@ def verify_change_missing(spark, d):
     return code.missing_partners(b, history.co_change(b))
 
 
-@query(f"""with {SYM}, f as (select * from s where kind in ('function', 'method')) select repo_id, id, 'split_function' as finding, 'high' as impact from f where lc > 30 union all select repo_id, id, 'simplify_branches', 'high' from f where cc >= 8
-union all select repo_id, id, 'flatten_nesting', 'medium' from f where nd >= 4 union all select repo_id, id, 'narrow_parameters', 'medium' from f where pc >= 5 union all select repo_id, id, 'single_exit', 'low' from f where rc >= 4
-union all select repo_id, min(id), 'extract_duplicate', 'medium' from f where name is not null group by repo_id, name having count(distinct file_path) >= 3""")
-def refactoring_union(spark, d):
-    return code.refactoring(_symbols(spark, d))
-
-
 @query(f"""with {COMMITS}, p as (select repo_id, path, count(distinct sha) as commits, min(sec) as first_at, max(sec) as last_at from c where sec <= {AS_OF} group by 1, 2)
 select distinct s.repo_id, s.id, commits, first_at, last_at, floor(commits / greatest(1.0::double, ({AS_OF} - first_at) / 86400.0::double) * 90 * 100 + 0.5) / 100 as churn from symbols s join p on p.repo_id = s.repo_id and p.path = s.file_path where s.id is not null""")
 def symbol_history(spark, d):

@@ -115,7 +115,6 @@ def test_metrics(spark, symbols):
     hot = {r.file_path: r.score for r in metrics.hotspots(symbols).collect()}
     assert hot["a.ts"] == scalars_round(12 / 30 * 35 + 12 / 50 * 30 + 20 + 0.2 * 15)
     assert metrics.hotspots(symbols.limit(0)).collect() == []
-    assert metrics.debt_report(symbols.limit(0), spark.createDataFrame([], "repo_id string, path string, commits bigint")).collect() == []
 
 
 def scalars_round(x):
