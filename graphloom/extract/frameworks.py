@@ -21,7 +21,7 @@ JVM_MAPPING = (
     ("route", r"@RequestMapping\s*\([^)]*?\"(?P<path>[^\"]*)\"(?:[^)]*RequestMethod\.(?P<verb>\w+))?[^)]*\)"),
 )
 SPRING_BEANS = r"@(?:RestController|Controller|Service|Repository|Component|Configuration)\b(?:\([^)]*\))?\s*(?:@[\w.]+(?:\([^)]*\))?\s*)*(?:(?:public|open|final|abstract|internal|data)\s+)*class\s+(?P<name>\w+)"
-JAX_RS = (("route", r"@(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:\s*@\w+(?:\((?!\s*\")[^)]*\))?)*\s*(?:@Path\(\s*\"(?P<path>[^\"]*)\"\s*\))?"), ("route", r"@Path\(\s*\"(?P<path>[^\"]*)\"\s*\)\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+)?(?:class|interface)\s+(?P<name>\w+)"))
+JAX_RS = (("route", r"@(?P<verb>GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\b(?:\s*@(?!Path\b)\w+(?:\([^)]*\))?)*\s*(?:@Path\(\s*\"(?P<path>[^\"]*)\"\s*\))?"), ("route", r"@Path\(\s*\"(?P<path>[^\"]*)\"\s*\)\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:public\s+)?(?:class|interface)\s+(?P<name>\w+)"))
 MARKUP_SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script>", re.S)
 
 

@@ -36,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _complete() -> None:
     """The catalogue's other modules register their queries when they are imported."""
-    from graphloom.plans import health, indexing  # noqa: F401
+    from graphloom.plans import health, indexing, safety, searching  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

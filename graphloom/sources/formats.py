@@ -23,6 +23,12 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*cols, F.get(head, F.lit(3)).cast("bigint").alias("commit_date"), F.get(head, F.lit(4)).alias("message"), F.explode(files).alias("file_path"))
 
 
+def co_change_rows(log: DataFrame, repo_id: str, depth: int = 300) -> DataFrame:
+    """(repo_id, commit_sha, file_path, commit_date) of the latest `depth` commits of a log without merges, each row once."""
+    latest = log.select("commit_sha", "commit_date").distinct().orderBy(F.desc("commit_date"), "commit_sha").limit(depth)
+    return log.join(latest.select("commit_sha"), "commit_sha", "left_semi").select(F.lit(repo_id).alias("repo_id"), "commit_sha", "file_path", "commit_date").distinct()
+
+
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
@@ -60,6 +66,16 @@ def istanbul(reports: DataFrame) -> DataFrame:
     return stmts.select("path", F.col("at.start.line").alias("line"), F.coalesce(F.element_at("s", F.col("id")), F.lit(0)).alias("hits")).groupBy("path", "line").agg(F.max("hits").alias("hits"))
 
 
+def v8(reports: DataFrame) -> DataFrame:
+    """(path, function, first, last, calls) from (report) JSON texts of V8 coverage: named functions, byte range of the first
+    block, the most calls."""
+    schema = "struct<result:array<struct<url:string, functions:array<struct<functionName:string, ranges:array<struct<startOffset:int, endOffset:int, count:int>>>>>>>"
+    scripts = reports.select(F.explode(F.from_json("report", schema)["result"]).alias("r")).select(F.regexp_replace("r.url", "^file://", "").alias("path"), F.explode("r.functions").alias("f"))
+    named = scripts.filter(~F.coalesce(F.col("f.functionName"), F.lit("")).rlike(r"^$|^\((top-level|anonymous)"))
+    one = named.select("path", F.col("f.functionName").alias("function"), F.col("f.ranges")[0]["startOffset"].alias("first"), F.col("f.ranges")[0]["endOffset"].alias("last"), F.array_max(F.transform("f.ranges", lambda x: x["count"])).alias("calls"))
+    return one.groupBy("path", "function", "first", "last").agg(F.max("calls").alias("calls"))
+
+
 def dbt_columns(schemas: DataFrame) -> DataFrame:
     """(path, entity, column, description, tags) from (path, text) of dbt schema files; a file that is no YAML gives none."""
 

@@ -43,10 +43,18 @@ def apply_changes(stream: DataFrame, apply: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def token_bucket(events: DataFrame, key: str, rate: float, burst: float, column: str = "ts") -> DataFrame:
-    """(key, event_id, allowed) for every event of a stream: a bucket per key refills `rate` tokens a second up to `burst`."""
+def token_bucket(events: DataFrame, key: str, rate: float, burst: float, column: str = "ts", late: str = "1 minute") -> DataFrame:
+    """(key, event_id, allowed) for every event of a stream: a bucket per key refills `rate` tokens a second up to `burst`.
+
+    A key's state leaves once the watermark is past the time at which its bucket is full again: a full bucket is what a
+    key without state has, so nothing is lost.
+    """
+    full = int(1000 * burst / rate) + 1
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, at = state.get if state.exists else (burst, None)
         for pdf in frames:
             pdf = pdf.sort_values([column, "event_id"])
@@ -61,6 +69,9 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float, column:
                 out.append((k[0], e, allowed))
             state.update((tokens, at))
             yield pd.DataFrame(out, columns=[key, "event_id", "allowed"])
+        if state.exists:
+            state.setTimeoutTimestamp(max(int(1000 * state.get[1]) + full, state.getCurrentWatermarkMs() + 1))
 
     kind = dict(events.dtypes)[key]
-    return with_time(events, column).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id bigint, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.NoTimeout)
+    timed = with_time(events, column).withWatermark(column, late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id bigint, allowed boolean", "tokens double, at double", "append", GroupStateTimeout.EventTimeTimeout)
