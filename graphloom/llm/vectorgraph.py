@@ -354,7 +354,8 @@ def divided(routed: DataFrame, big: DataFrame, fan: int, shard_rows: int, probes
                     c = np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1)
                 x = np.frombuffer(b"".join(run.column(8).to_pylist()), np.float32).reshape(b - a, -1)
                 home = run.column(9).to_numpy(zero_copy_only=False).astype(bool)
-                take, fewer = visits(probes, len(c)), min(len(c), max(1, probes // 2))
+                take = visits(probes, len(c))
+                fewer = max(1, math.ceil(0.8 * take))
                 near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :take]
                 for j in range(take):
                     here = np.flatnonzero(home | (j < fewer))
@@ -392,6 +393,10 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
             centroids[key], share = np.zeros((1, g["dim"]), np.float32), [1.0]
         sizes += [(len(sizes) + i, float(r * g["distinct"])) for i, r in enumerate(share)]
 
+    over = any(z[1] > 2 * shard_rows for z in sizes)
+    if over:  # a level more to miss a neighbour at: a third more visits at each
+        probes = math.ceil(4 * probes / 3)
+
     def route(batches):
         for b in batches:
             providers = b.column(1)
@@ -431,7 +436,6 @@ def neighbours(vectors: DataFrame, k: int = 5, at_least: float = -2.0, shard_row
 
     spark = vectors.sparkSession
     big = spark.createDataFrame([z for z in sizes if z[1] > 2 * shard_rows], "cell bigint, size double")
-    over = any(z[1] > 2 * shard_rows for z in sizes)
     for level in range(1, MOST_LEVELS):
         if not over:
             break
