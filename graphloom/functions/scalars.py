@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What marks a path as a test.
 TEST_PATH = r"(?i)([._](test|spec)\.[a-z]+$)|(^|/)(test|spec)_[^/]*$|(^|/)(test|tests|__tests__|spec|specs|androidtest|testfixtures|[^/]*\.tests?)/"
 
 
@@ -66,19 +67,39 @@ def exported(signature: Column) -> Column:
     return signature.rlike(r"^export( |$|\n)")
 
 
-def entry_point(name: Column, kind: Column, path: Column, signature: Column) -> Column:
-    """Kind of entry point, the first rule that holds; null if none does."""
-    stem, low = file_stem(path), F.lower(name)
-    root = ~path.contains("/")
-    tells = [
-        ("lambda_handler", (name == "handler") & kind.isin("function", "const", "method") & signature.rlike(r"\b(event|context|callback)\b")),
-        ("main_function", (name == "main") & kind.isin("function", "method", "const")),
-        ("cli_handler", kind.isin("function", "const", "class") & path.rlike(r"(?i)(^|/)(bin|cmd|cli)/") & low.isin("main", "run", "execute", "cli", "command", "program")),
-        ("server_startup", (kind == "function") & name.isin("bootstrap", "startServer", "startApp", "listenOn", "serve", "createServer")),
-        ("server_startup", kind.isin("function", "const", "class") & stem.isin("server", "app") & root & low.isin("main", "start", "run", "init", "boot", "bootstrap")),
-        ("script", (kind == "function") & path.rlike(r"(?i)(^|/)scripts?/")),
+#: Names of functions that start a server, and of those that a program runs.
+STARTS_SERVER = ("bootstrap", "startServer", "startApp", "listenOn", "serve", "createServer")
+RUNS_PROGRAM = ("main", "run", "execute", "cli", "command", "program")
+BOOTS = ("main", "start", "run", "init", "boot", "bootstrap")
+
+
+def entry_rules(name: Column, kind: Column, path: Column, signature: Column) -> list[tuple[str, str, str, Column]]:
+    """(kind of entry point, confidence, reason, condition), in order; the first that holds decides."""
+    stem, low, root = file_stem(path), F.lower(name), ~path.contains("/")
+    code = kind.isin("function", "const", "method")
+    return [
+        ("lambda_handler", "high", "a handler that takes an event, a context or a callback", (name == "handler") & code & signature.rlike(r"\b(event|context|callback)\b")),
+        ("main_function", "high", "named main", (name == "main") & code),
+        ("cli_handler", "high", "named like a command, in a folder of commands", kind.isin("function", "const", "class") & path.rlike(r"(?i)(^|/)(bin|cmd|cli)/") & low.isin(*RUNS_PROGRAM)),
+        ("server_startup", "medium", "named like a server's start", (kind == "function") & name.isin(*STARTS_SERVER)),
+        ("server_startup", "medium", "starts something in the root's server or app file", kind.isin("function", "const", "class") & stem.isin("server", "app") & root & low.isin(*BOOTS)),
+        ("script", "low", "a function in a folder of scripts", (kind == "function") & path.rlike(r"(?i)(^|/)scripts?/")),
     ]
-    out = F.when(tells[0][1], tells[0][0])
-    for label, holds in tells[1:]:
-        out = out.when(holds, label)
+
+
+def _first(rules: list, at: int) -> Column:
+    out = F.when(rules[0][3], rules[0][at])
+    for r in rules[1:]:
+        out = out.when(r[3], r[at])
     return out
+
+
+def entry_point(name: Column, kind: Column, path: Column, signature: Column) -> Column:
+    """Kind of entry point, the first rule that holds; null if none does."""
+    return _first(entry_rules(name, kind, path, signature), 0)
+
+
+def entry_detail(name: Column, kind: Column, path: Column, signature: Column) -> Column:
+    """struct<kind, confidence, reason> of the first rule that holds; null fields if none does."""
+    rules = entry_rules(name, kind, path, signature)
+    return F.struct(_first(rules, 0).alias("kind"), _first(rules, 1).alias("confidence"), _first(rules, 2).alias("reason"))

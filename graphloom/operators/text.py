@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Tags of comments.
 TAGS = ("TODO", "FIXME", "HACK", "NOTE", "OPTIMIZE", "BUG", "XXX")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import substrate as sub
-from graphloom.functions.scalars import entry_point, half_up
+from graphloom.functions.scalars import entry_detail, entry_point, half_up
 from graphloom.operators import code, graph, health, history, safety, text
 from graphloom.plans.catalogue import _CALLS, _ENTRY, _SRC, BASKETS, CO, LINES, SYM, TEST_SQL, _symbols, query
 from graphloom.plans.health import EDGES, mention_edges
@@ -191,6 +191,14 @@ def generate_docs(spark, d):
     return rows.select("repo_id", "file_path", F.concat(F.lit("## "), "file_path", F.lit("\n"), "rows").alias("markdown"))
 
 
+@query(f"select repo_id, id, e as kind, case when e in ('lambda_handler', 'main_function', 'cli_handler') then 'high' when e = 'server_startup' then 'medium' else 'low' end as confidence from (select distinct repo_id, id, {_ENTRY} as e from symbols where id is not null) where e is not null")
+def entry_points(spark, d):
+    """Entry points with the confidence of the rule that found them."""
+    s = table(spark, d, "symbols").filter("id is not null")
+    e = s.select("repo_id", "id", entry_detail(F.col("name"), F.col("kind"), F.col("file_path"), F.col("signature")).alias("e")).filter("e.kind is not null")
+    return e.select("repo_id", "id", "e.kind", "e.confidence").distinct()
+
+
 @query("select id, root_path, symbol_count, file_count, json_array_length(languages) as languages, regexp_extract(root_path, '([^/]+)$', 1) as name from repos")
 def list_repos(spark, d):
     r = table(spark, d, "repos")
