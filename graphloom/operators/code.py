@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.tables import spread
+
 CALL = r"\b([A-Za-z_]\w*)\s*\("
 #: Words before a parenthesis that are no call.
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "return", "function", "func", "def", "class", "new", "typeof", "sizeof", "super", "with", "elif", "and", "or", "not", "in", "int", "string"]
@@ -107,3 +113,51 @@ def context_pool(seeds: DataFrame, edges: DataFrame, limit: int = 60) -> DataFra
     every = seeds.select("node", "score", F.lit("match").alias("why")).unionByName(out).unionByName(into)
     best = every.groupBy("node").agg(F.max_by(F.struct("score", "why"), F.struct("score", "why")).alias("b")).select("node", "b.score", "b.why")
     return best.orderBy(F.desc("score"), "node").limit(limit)
+
+
+def syntax_nodes(files: DataFrame, node_type: str) -> DataFrame:
+    """(repo_id, path, line, end_line, text): nodes of a type (a class of Python's `ast`) in Python files that parse, with
+    their source on one line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = getattr(ast, node_type)
+        for b in batches:
+            rows: list[tuple] = []
+            for repo, path, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                text = raw.decode("utf-8", "replace").lstrip("\ufeff")
+                try:
+                    tree = ast.parse(text)
+                except (SyntaxError, ValueError, RecursionError):
+                    continue
+                for n in ast.walk(tree):
+                    if isinstance(n, wanted) and hasattr(n, "lineno"):
+                        rows.append((repo, path, n.lineno, n.end_lineno, " ".join((ast.get_source_segment(text, n) or "").split())))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo_id", "path", "line", "end_line", "text"])
+
+    py = files.filter(F.col("raw_content").isNotNull() & F.col("path").endswith(".py")).select("repo_id", "path", "raw_content")
+    return spread(py).mapInArrow(run, "repo_id string, path string, line int, end_line int, text string").distinct()
+
+
+def members(symbols: DataFrame) -> DataFrame:
+    """(repo_id, owner, name): methods by the type in whose bytes they lie, the last-starting one that holds them.
+
+    The join is on the file; the container that starts last is taken by one aggregation.
+    """
+    s = spans(symbols)
+    types = s.filter(F.col("kind").isin("class", "interface", "struct")).select("repo_id", "path", F.col("id").alias("owner"), F.col("start").alias("a"), F.col("end").alias("z"))
+    methods = s.filter("kind = 'method'").select("repo_id", "path", "id", "name", "start", "end")
+    inside = methods.join(types, ["repo_id", "path"]).filter((F.col("a") <= F.col("start")) & (F.col("end") <= F.col("z")))
+    return inside.groupBy("repo_id", "path", "id", "name").agg(F.max_by("owner", F.struct("a", "owner")).alias("owner")).select("repo_id", "owner", "name").distinct()
+
+
+def missing_methods(relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(repo_id, id, target_id, implemented, missing): for every type and one it extends or implements, how many of the
+    target's methods it has itself and which it lacks."""
+    m = members(symbols).groupBy("repo_id", "owner").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    r = relations.filter("target_id is not null and id <> target_id").select("repo_id", "id", "target_id").distinct()
+    want = r.join(m.select("repo_id", F.col("owner").alias("target_id"), F.col("names").alias("wanted")), ["repo_id", "target_id"])
+    both = want.join(m.select("repo_id", F.col("owner").alias("id"), F.col("names").alias("own")), ["repo_id", "id"], "left")
+    own = F.coalesce("own", F.array().cast("array<string>"))
+    return both.select("repo_id", "id", "target_id", F.size(F.array_intersect("wanted", own)).alias("implemented"), F.array_join(F.array_except("wanted", own), ",").alias("missing"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import substrate as sub
 from graphloom.functions.scalars import entry_detail, entry_point, half_up
 from graphloom.operators import code, graph, health, history, safety, text
-from graphloom.plans.catalogue import _CALLS, _ENTRY, _SRC, BASKETS, CO, LINES, SYM, TEST_SQL, _symbols, query
+from graphloom.plans.catalogue import _CALLS, _ENTRY, _SRC, _TYPES, BASKETS, CO, LINES, SPARSE, SYM, TEST_SQL, _symbols, query
 from graphloom.plans.health import EDGES, mention_edges
 from graphloom.sources.tables import table
 
@@ -217,3 +217,50 @@ def type_ancestors(spark, d):
 def git_log_authors(spark, d):
     g = table(spark, d, "git_metadata").filter("author_email is not null and trim(author_email) <> '' and commit_sha is not null")
     return g.groupBy("repo_id", F.col("author_email").alias("author")).agg(F.count_distinct("commit_sha").alias("commits"))
+
+
+@query()
+def search_ast(spark, d):
+    """Assertions in Python files."""
+    return code.syntax_nodes(table(spark, d, "files"), "Assert")
+
+
+_MEMBERS = """sp as (select distinct repo_id, id, name, kind, file_path as path, start_byte as st, end_byte as en from symbols where id is not null and start_byte >= 0 and end_byte > start_byte),
+ow as (select m.repo_id, m.path, m.id, m.name, arg_max(t.id, (t.st, t.id)) as owner from sp m join sp t on t.repo_id = m.repo_id and t.path = m.path and t.kind in ('class', 'interface', 'struct') and t.st <= m.st and m.en <= t.en where m.kind = 'method' group by 1, 2, 3, 4),
+mb as (select distinct repo_id, owner, name from ow)"""
+
+
+@query(f"with {_MEMBERS} select repo_id, owner, count(*) as methods from mb group by 1, 2")
+def type_members(spark, d):
+    """Methods per type."""
+    return code.members(table(spark, d, "symbols")).groupBy("repo_id", "owner").agg(F.count(F.lit(1)).alias("methods"))
+
+
+@query(f"with {_TYPES}, {_MEMBERS}, w as (select distinct rel.repo_id, rel.id, target_id, mb.name from rel join mb on mb.repo_id = rel.repo_id and mb.owner = target_id where target_id is not null and rel.id <> target_id) select w.repo_id, w.id, target_id, count(m2.name)::int as implemented, coalesce(string_agg(case when m2.name is null then w.name end, ',' order by w.name), '') as missing from w left join mb m2 on m2.repo_id = w.repo_id and m2.owner = w.id and m2.name = w.name group by 1, 2, 3")
+def missing_methods(spark, d):
+    s = table(spark, d, "symbols")
+    return code.missing_methods(code.type_relations(s), s)
+
+
+@query(f"with {SPARSE}, c as (select 2 as length, least(a.src, a.dst) || '>' || greatest(a.src, a.dst) as cycle from edges a join edges b on a.dst = b.src and b.dst = a.src where a.src < a.dst union all select 3, a.src || '>' || a.dst || '>' || b.dst from edges a join edges b on a.dst = b.src join edges c on b.dst = c.src and c.dst = a.src where a.dst > a.src and b.dst > a.src and b.dst <> a.dst) select length, cycle, case when length <= 3 then 'error' else 'warning' end as severity from c")
+def find_cycles(spark, d):
+    """Simple cycles of two and three nodes, rooted at their smallest node; up to three nodes are errors."""
+    e = sub.part_edges(spark, d, 30)
+    two = graph.cycles(e, 2).select(F.lit(2).alias("length"), F.concat_ws(">", "n1", "n2").alias("cycle"))
+    three = graph.cycles(e, 3).select(F.lit(3).alias("length"), F.concat_ws(">", "n1", "n2", "n3").alias("cycle"))
+    return two.unionByName(three).withColumn("severity", F.when(F.col("length") <= 3, "error").otherwise("warning"))
+
+
+@query(f"with {EDGES}, {BASKETS}{CO}, se as (select repo_id, file_path as file, 1.0::double as score from (select distinct repo_id, file_path from symbols where name = 'main' or kind = 'interface') where file_path is not null), u as (select repo_id, file, score, 'match' as why from se union all select se.repo_id, dst, 0.6::double, 'uses' from se join ge on ge.repo_id = se.repo_id and src = file union all select se.repo_id, src, 0.4::double, 'used_by' from se join ge on ge.repo_id = se.repo_id and dst = file union all select se.repo_id, partner, 0.5::double * confidence, 'changes_with' from se join co on co.g = se.repo_id and co.target = file where confidence >= 0.4) select repo_id, file, max(score) as score, arg_max(why, (score, why)) as why from u group by 1, 2 order by score desc, repo_id, file limit 60")
+def get_task_context(spark, d):
+    """Files that a task about interfaces and main functions needs: seeds, what they use, what uses them, what changes with
+    them; the best sixty."""
+    s = table(spark, d, "symbols").filter("(name = 'main' or kind = 'interface') and file_path is not null").select("repo_id", F.col("file_path").alias("file")).distinct()
+    e = mention_edges(spark, d)
+    co = history.co_change(sub.baskets(spark, d)).filter("confidence >= 0.4")
+    out = s.join(e.withColumnRenamed("src", "file"), ["repo_id", "file"]).select("repo_id", F.col("dst").alias("file"), F.lit(0.6).alias("score"), F.lit("uses").alias("why"))
+    into = s.join(e.withColumnRenamed("dst", "file"), ["repo_id", "file"]).select("repo_id", F.col("src").alias("file"), F.lit(0.4).alias("score"), F.lit("used_by").alias("why"))
+    with_ = s.join(co.select(F.col("g").alias("repo_id"), F.col("target").alias("file"), "partner", "confidence"), ["repo_id", "file"]).select("repo_id", F.col("partner").alias("file"), (F.col("confidence") * 0.5).alias("score"), F.lit("changes_with").alias("why"))
+    every = s.select("repo_id", "file", F.lit(1.0).alias("score"), F.lit("match").alias("why")).unionByName(out).unionByName(into).unionByName(with_)
+    best = every.groupBy("repo_id", "file").agg(F.max_by(F.struct("score", "why"), F.struct("score", "why")).alias("b"))
+    return best.select("repo_id", "file", "b.score", "b.why").orderBy(F.desc("score"), "repo_id", "file").limit(60)

@@ -192,3 +192,10 @@ def test_library(spark, tmp_path):
     api.delete_index(spark, index, me, dry_run=False)
     spark.catalog.clearCache()
     assert spark.read.schema("path string, repo_id string").parquet(f"{index}/files").filter(f"repo_id = '{me}'").count() == 0
+
+
+def test_syntax_nodes(spark):
+    from graphloom.operators import code
+
+    f = files(spark, [("a.py", "def f():\n    assert x, \\\n        'm'\n"), ("b.py", "assert ("), ("c.js", "assert x"), ("n.py", None)])
+    assert rows(code.syntax_nodes(f, "Assert")) == [("r", "a.py", 2, 3, "assert x, \\ 'm'")]
