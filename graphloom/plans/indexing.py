@@ -9,11 +9,13 @@ from graphloom.extract import process as px
 from graphloom.extract import resolve as rs
 from graphloom.operators import edges as eg
 from graphloom.plans.catalogue import query
-from graphloom.sources.tables import table
+from graphloom.sources.tables import cut, table
 
 
-def _rows(spark: SparkSession, d: str, with_uses: bool = False) -> DataFrame:
-    return px.process(table(spark, d, "files"), with_uses=with_uses)
+def _rows(spark: SparkSession, d: str, with_uses: bool = False, once: bool = True) -> DataFrame:
+    """Rows of the index; with `once` the contents are read for one reader, otherwise the rows are kept for several."""
+    rows = px.process(table(spark, d, "files"), with_uses=with_uses)
+    return rows if once else cut(rows)
 
 
 def _resolved(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
@@ -65,21 +67,21 @@ def file_edges_scripts(spark, d):
 @query()
 def file_edges(spark, d):
     """File edges of all languages, with their types; injected edges included."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, once=False)
     return eg.file_edges(_resolved(spark, d, rows)).unionByName(eg.injected_edges(rows))
 
 
 @query()
 def symbol_refs(spark, d):
     """References between symbols of different files of a repository."""
-    rows = _rows(spark, d, with_uses=True)
+    rows = _rows(spark, d, with_uses=True, once=False)
     return eg.symbol_refs(px.name_uses(rows), _resolved(spark, d, rows), px.symbols(rows))
 
 
 @query()
 def unimported_symbols(spark, d):
     """Symbols of files that nothing imports, per repository and kind."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, once=False)
     dead = eg.dead_symbols(px.symbols(rows), eg.file_edges(_resolved(spark, d, rows)))
     return dead.groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("symbols"))
 
@@ -87,7 +89,7 @@ def unimported_symbols(spark, d):
 @query()
 def cross_repo_edges(spark, d):
     """Imports that only a linked repository answers to."""
-    rows = _rows(spark, d)
+    rows = _rows(spark, d, once=False)
     records, f = px.imports(rows), table(spark, d, "files")
     return eg.afferent_across(rs.cross_repo(records, rs.resolve(records, f), f, eg.links(table(spark, d, "repos"))))
 
